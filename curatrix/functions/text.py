@@ -56,25 +56,22 @@ def content_hash(text: Column) -> Column:
 
 def shingles(text: Column, size: int = K.SHINGLE_WORDS) -> Column:
     """Distinct word shingles of the normalised text; a short text is one shingle of its own."""
-    norm = normalize_text(text)
-    return _shingles(norm, size, lambda s: s)
+    return _shingles(normalize_text(text), size, lambda w: F.array_join(w, " "))
 
 
 def shingle_hashes(text: Column, size: int = K.SHINGLE_WORDS) -> Column:
     """[T7] The same shingles as sorted 64-bit hashes."""
-    return F.array_sort(_shingles(normalize_text(text), size, F.xxhash64))
+    return F.array_sort(_shingles(normalize_text(text), size, F.xxhash64))  # over the word array
 
 
 def _shingles(norm: Column, size: int, code: Callable[[Column], Column]) -> Column:
     def of_words(parts: Column) -> Column:
-        windows = F.transform(
-            F.sequence(F.lit(1), F.size(parts) - (size - 1)),
-            lambda i: code(F.array_join(F.slice(parts, i, size), " ")),
-        )
+        starts = F.sequence(F.lit(1), F.size(parts) - (size - 1))
+        windows = F.transform(starts, lambda i: code(F.slice(parts, i, size)))
         return F.when(F.size(parts) >= size, F.array_distinct(windows))
 
     parts = F.filter(F.split(norm, " "), lambda w: w != "")
-    return F.coalesce(let(parts, of_words), F.array(code(norm)))
+    return F.coalesce(let(parts, of_words), F.array(code(F.array(norm))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
