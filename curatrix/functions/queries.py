@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from curatrix import constants as K
-from curatrix.functions.text import clean_text, strip, words
+from curatrix.functions.text import clean_text, let, strip, words
 
 
 def extract_signals(task: Column) -> Column:
