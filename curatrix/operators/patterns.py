@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix import constants as K
 
 
+def _shows(code: Column, regex: str) -> Column:
+    """Whether lower-case code matches; a rule that only lists words needs no regex engine."""
+    if not re.fullmatch(r"\([\w@|]+\)", regex):
+        return code.rlike("(?d)" + regex.replace(r"\s", K.WS))
+    shown = F.lit(False)
+    for literal in regex[1:-1].split("|"):
+        shown = shown | F.contains(code, F.lit(literal))
+    return shown
+
+
+def folded_code(code: Column) -> Column:
+    """Lower case, with the letters that match i, s and k when case is ignored made plain."""
+    return F.translate(F.lower(code), "ıſK", "isk")
+
+
 def code_patterns(code: Column) -> Column:
-    """[C3] array<struct<pattern_type, tenths>> of the patterns a text shows: at least two of a
+    """[C3] array<struct<pattern_type, ..>> of the patterns a lower-case text shows: at least two of a
     type's rules match and their weights sum to over 1.0 (ten tenths, so 0.4 + 0.6 does not)."""
     found = []
     for name, rules in K.PATTERN_RULES.items():
-        hits = [F.when(code.rlike("(?idU)" + regex), F.lit(weight)) for regex, weight in rules]
+        hits = [F.when(_shows(code, regex), F.lit(weight)) for regex, weight in rules]
         matches = sum((F.when(h.isNotNull(), 1).otherwise(0) for h in hits), F.lit(0))
         tenths = sum((F.coalesce(h, F.lit(0)) for h in hits), F.lit(0))
         found.append(
@@ -29,7 +46,7 @@ def detect_patterns(snippets: DataFrame) -> DataFrame:
     others = [c for c in snippets.columns if c != "code"]
     names = F.array(*[F.lit(x) for x in K.PATTERN_RULES])
     texts = F.create_map(*[F.lit(x) for pair in K.PATTERN_TEXT.items() for x in pair])
-    rows = snippets.select(*others, "code", F.explode(code_patterns(F.lower("code"))).alias("p"))
+    rows = snippets.select(*others, "code", F.explode(code_patterns(folded_code(F.col("code")))).alias("p"))
     return rows.select(
         *others,
         F.array_position(names, F.col("p.pattern_type")).cast("int").alias("type_no"),

@@ -195,19 +195,19 @@ def chat_token_counts(t):
 def folded(units: str, budget: str) -> str:
     """CTE ``chunked(doc, chunk_no, text)`` by walking ``units(doc, pos, text, tokens, grp)`` of
     all documents in step, one unit at a time."""
-    return f"""walk AS (
+    return f"""fold AS (
         SELECT doc, pos, 0::BIGINT AS chunk_no, tokens AS total, grp FROM {units} WHERE pos = 1
         UNION ALL
         SELECT u.doc, u.pos,
-               CASE WHEN u.grp <> walk.grp OR walk.total + u.tokens > {budget} THEN chunk_no + 1 ELSE chunk_no END,
-               CASE WHEN u.grp <> walk.grp OR walk.total + u.tokens > {budget} THEN u.tokens ELSE walk.total + u.tokens END,
+               CASE WHEN u.grp <> fold.grp OR fold.total + u.tokens > {budget} THEN chunk_no + 1 ELSE chunk_no END,
+               CASE WHEN u.grp <> fold.grp OR fold.total + u.tokens > {budget} THEN u.tokens ELSE fold.total + u.tokens END,
                u.grp
-        FROM walk JOIN {units} u ON u.doc = walk.doc AND u.pos = walk.pos + 1),
+        FROM fold JOIN {units} u ON u.doc = fold.doc AND u.pos = fold.pos + 1),
     chunked AS (
-        SELECT walk.doc, chunk_no,
-               CASE WHEN u.grp = 0 THEN string_agg(u.text, chr(10) || chr(10) ORDER BY walk.pos)
-                    ELSE string_agg(u.text, chr(10) ORDER BY walk.pos) END AS text
-        FROM walk JOIN {units} u ON u.doc = walk.doc AND u.pos = walk.pos GROUP BY walk.doc, chunk_no, u.grp)"""
+        SELECT fold.doc, chunk_no,
+               CASE WHEN u.grp = 0 THEN string_agg(u.text, chr(10) || chr(10) ORDER BY fold.pos)
+                    ELSE string_agg(u.text, chr(10) ORDER BY fold.pos) END AS text
+        FROM fold JOIN {units} u ON u.doc = fold.doc AND u.pos = fold.pos GROUP BY fold.doc, chunk_no, u.grp)"""
 
 
 def units_of(source: str, key: str, budget: str) -> str:
