@@ -6,7 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from curatrix import constants as K
-from curatrix.functions.text import clean_text, let, lines, strip, text_or_empty
+from curatrix.functions.text import (
+    clean_text,
+    contains_any,
+    let,
+    lines,
+    strip,
+    text_or_empty,
+)
 
 # Named entities that web prose uses; & itself is undone last. Fixed values.
 ENTITIES = [
@@ -122,25 +129,26 @@ def markdown_headings(markdown: Column) -> Column:
 
 def guess_language(class_name: Column, code: Column) -> Column:
     """[E7] Ordered rules on the class name, then on the code."""
-    name = F.lower(text_or_empty(class_name))
-    low = F.lower(code)
+    def by_name(name: Column) -> Column:
+        return (
+            F.when(contains_any(name, ["python", "py"]), "python")
+            .when(contains_any(name, ["javascript", "js"]), "javascript")
+            .when(contains_any(name, ["bash", "shell"]) | F.startswith(strip(code), F.lit("$")), "bash")
+            .when(contains_any(name, ["yaml", "yml"]), "yaml")
+        )
 
-    def has(text: Column, *needles: str) -> Column:
-        hit = F.lit(False)
-        for needle in needles:
-            hit = hit | F.contains(text, F.lit(needle))
-        return hit
+    def by_code(low: Column) -> Column:
+        return F.when(
+            contains_any(low, ["import "]) & contains_any(low, ["def "]), "python"
+        ).when(contains_any(low, ["const ", "function "]), "javascript")
 
     keys = F.size(F.filter(lines(code), lambda x: x.rlike(r"(?U)^\s*[\w-]+\s*:")))
-    return (
-        F.when(has(name, "python", "py"), "python")
-        .when(has(name, "javascript", "js"), "javascript")
-        .when(has(name, "bash", "shell") | F.startswith(strip(code), F.lit("$")), "bash")
-        .when(has(name, "yaml", "yml"), "yaml")
-        .when(has(low, "import ") & has(low, "def "), "python")
-        .when(has(low, "const ", "function "), "javascript")
-        .when(~has(code, "{", "}") & (keys >= 3), "yaml")
-        .otherwise("text")
+    yaml = F.when(~contains_any(code, ["{", "}"]) & (keys >= 3), "yaml")
+    return F.coalesce(
+        let(F.lower(text_or_empty(class_name)), by_name),
+        let(F.lower(code), by_code),
+        yaml,
+        F.lit("text"),
     )
 
 
@@ -224,11 +232,8 @@ def best_practices(markdown: Column, limit: int = 12) -> Column:
     """[E9] Lines of 40 to 220 characters that give advice, as array<struct<practice, reason>>."""
 
     def advises(line: Column) -> Column:
-        low = F.lower(line)
-        hit = F.lit(False)
-        for word in K.PRACTICE_WORDS:
-            hit = hit | F.contains(low, F.lit(word))
-        return F.length(line).between(40, 220) & hit
+        advice = let(F.lower(line), lambda low: contains_any(low, K.PRACTICE_WORDS))
+        return F.length(line).between(40, 220) & advice
 
     found = F.filter(F.transform(lines(markdown), strip), advises)
     return F.transform(

@@ -153,8 +153,11 @@ def redact_secrets(text: Column) -> Column:
 
 def is_seo_spam(text: Column) -> Column:
     """The text holds one of the spam phrases."""
-    lowered = F.lower(text_or_empty(text))
+    return let(F.lower(text_or_empty(text)), lambda low: contains_any(low, K.SPAM_PHRASES))
+
+
+def contains_any(text: Column, needles: list[str]) -> Column:
     found = F.lit(False)
-    for phrase in K.SPAM_PHRASES:
-        found = found | F.contains(lowered, F.lit(phrase))
+    for needle in needles:
+        found = found | F.contains(text, F.lit(needle))
     return found

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from curatrix import constants as K
-from curatrix.functions.text import let, strip, text_or_empty
+from curatrix.functions.text import contains_any, let, strip, text_or_empty
 
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
@@ -42,14 +42,14 @@ def url_hostname(url: Column) -> Column:
 
 def url_rank(url: Column) -> Column:
     """[U2] Additive rank from site hints anywhere in the lower-case url."""
-    lowered = F.lower(text_or_empty(url))
-    rank = F.lit(0.0)
-    for needles, points in K.URL_RANK_RULES:
-        hit = F.lit(False)
-        for needle in needles:
-            hit = hit | F.contains(lowered, F.lit(needle))
-        rank = rank + F.when(hit, F.lit(points)).otherwise(F.lit(0.0))
-    return rank
+    def rank(lowered: Column) -> Column:
+        total = F.lit(0.0)
+        for needles, points in K.URL_RANK_RULES:
+            hit = contains_any(lowered, needles)
+            total = total + F.when(hit, F.lit(points)).otherwise(F.lit(0.0))
+        return total
+
+    return let(F.lower(text_or_empty(url)), rank)
 
 
 def _inside(domain: Column, parent: Column) -> Column:
@@ -58,11 +58,12 @@ def _inside(domain: Column, parent: Column) -> Column:
 
 def domain_boost(url: Column) -> Column:
     """[U3] Boost of the first preferred domain that is the url's domain or a parent of it."""
-    domain = url_domain(url)
-    boost = F.lit(None).cast("double")
-    for preferred, points in K.PREFERRED_DOMAINS:
-        boost = F.coalesce(boost, F.when(_inside(domain, F.lit(preferred)), F.lit(points)))
-    return F.coalesce(boost, F.lit(0.0))
+
+    def boost(domain: Column) -> Column:
+        points = [F.when(_inside(domain, F.lit(d)), F.lit(p)) for d, p in K.PREFERRED_DOMAINS]
+        return F.coalesce(*points, F.lit(0.0))
+
+    return let(url_domain(url), boost)
 
 
 def allowed_domain(url: Column, allowed: Column) -> Column:
@@ -85,11 +86,14 @@ def _v4_number(host: Column) -> Column:
 
 
 def _v4_private(number: Column) -> Column:
-    private = F.lit(False)
-    for base, bits in K.PRIVATE_V4:
-        block = ipaddress.ip_network(f"{base}/{bits}")
-        private = private | number.between(int(block[0]), int(block[-1]))
-    return F.coalesce(private, F.lit(False))
+    def inside(n: Column) -> Column:
+        private = F.lit(False)
+        for base, bits in K.PRIVATE_V4:
+            block = ipaddress.ip_network(f"{base}/{bits}")
+            private = private | n.between(int(block[0]), int(block[-1]))
+        return F.coalesce(private, F.lit(False))
+
+    return let(number, inside)
 
 
 def is_private_host(host: Column, strict: bool = False) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions import extract as X
-from curatrix.functions.text import text_or_empty
+from curatrix.functions.text import let, text_or_empty
 from curatrix.operators.filters import long_enough
+from curatrix.operators.rows import one_row_each
 
 DOC_BODY_CHARS = 30_000
 DOC_HEADINGS = 20
@@ -85,9 +86,11 @@ def doc_children(docs: DataFrame, column: str, dedupe: bool = False) -> DataFram
     ]
     items = F.col(column)
     if dedupe:
-        items = F.filter(
-            items,
-            lambda s, i: F.array_position(F.transform(items, lambda x: x["code"]), s["code"]) == i + 1,
+        items = let(
+            F.transform(items, lambda s: s["code"]),
+            lambda codes: F.filter(
+                F.col(column), lambda s, i: F.array_position(codes, s["code"]) == i + 1
+            ),
         )
-    rows = docs.select(*others, F.posexplode(items).alias("child_no", "child"))
+    rows = one_row_each(docs, others, items, "child", "child_no")
     return rows.select(*others, "child_no", "child.*")

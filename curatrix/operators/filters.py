@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curatrix import constants as K
-from curatrix.functions.text import is_seo_spam, let, lines, redact_secrets, strip, text_or_empty
+from curatrix.functions.text import (
+    contains_any,
+    is_seo_spam,
+    let,
+    lines,
+    redact_secrets,
+    strip,
+    text_or_empty,
+)
 from curatrix.functions.urls import domain_error, suspicious_pattern, url_origin, url_path
 
 
 def fetched_ok(pages: DataFrame) -> DataFrame:
     """Pages with a good status, a text-like type (case-sensitive) and a body within bounds."""
-    kind = F.lit(False)
-    for part in K.TEXT_CONTENT_TYPES:
-        kind = kind | F.contains("content_type", F.lit(part))
+    kind = contains_any(F.col("content_type"), K.TEXT_CONTENT_TYPES)
     return pages.filter(
         (F.col("status_code") < 400) & kind & (F.length("text") <= K.PAGE_MAX_CHARS)
     )

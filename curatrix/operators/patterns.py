@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix import constants as K
+from curatrix.functions.text import contains_any, let
+from curatrix.operators.rows import one_row_each
 
 
 def _shows(code: Column, regex: str) -> Column:
-    """Whether lower-case code matches; a rule that only lists words needs no regex engine."""
-    if not re.fullmatch(r"\([\w@|]+\)", regex):
-        return code.rlike("(?d)" + regex.replace(r"\s", K.WS))
-    shown = F.lit(False)
-    for literal in regex[1:-1].split("|"):
-        shown = shown | F.contains(code, F.lit(literal))
+    """Whether lower-case code matches. A rule that is one list of choices is asked choice by
+    choice, since most are plain words and need no regex engine."""
+    choices = [regex]
+    if re.fullmatch(r"\([^()]*\)", regex):
+        choices = regex[1:-1].split("|")
+    plain = [c.replace("\\.", ".") for c in choices if re.fullmatch(r"(\w|@|\\\.)+", c)]
+    others = [c for c in choices if not re.fullmatch(r"(\w|@|\\\.)+", c)]
+    shown = contains_any(code, plain)
+    for choice in others:
+        shown = shown | code.rlike("(?d)" + choice.replace(r"\s", K.WS))
     return shown
 
 
@@ -28,16 +35,19 @@ def folded_code(code: Column) -> Column:
 def code_patterns(code: Column) -> Column:
     """[C3] array<struct<pattern_type, ..>> of the patterns a lower-case text shows: at least two of a
     type's rules match and their weights sum to over 1.0 (ten tenths, so 0.4 + 0.6 does not)."""
+
+    def of_rules(name: str) -> Callable[[Column], Column]:
+        return lambda weights: F.struct(
+            F.lit(name).alias("pattern_type"),
+            F.size(weights).alias("matches"),
+            F.aggregate(weights, F.lit(0), lambda total, w: total + w).alias("tenths"),
+        )
+
     found = []
     for name, rules in K.PATTERN_RULES.items():
-        hits = [F.when(_shows(code, regex), F.lit(weight)) for regex, weight in rules]
-        matches = sum((F.when(h.isNotNull(), 1).otherwise(0) for h in hits), F.lit(0))
-        tenths = sum((F.coalesce(h, F.lit(0)) for h in hits), F.lit(0))
-        found.append(
-            F.struct(
-                F.lit(name).alias("pattern_type"), matches.alias("matches"), tenths.alias("tenths")
-            )
-        )
+        hits = F.array(*[F.when(_shows(code, regex), F.lit(weight)) for regex, weight in rules])
+        matched = F.filter(hits, lambda w: w.isNotNull())
+        found.append(let(matched, of_rules(name)))
     return F.filter(F.array(*found), lambda p: (p["matches"] >= 2) & (p["tenths"] > 10))
 
 
@@ -46,7 +56,8 @@ def detect_patterns(snippets: DataFrame) -> DataFrame:
     others = [c for c in snippets.columns if c != "code"]
     names = F.array(*[F.lit(x) for x in K.PATTERN_RULES])
     texts = F.create_map(*[F.lit(x) for pair in K.PATTERN_TEXT.items() for x in pair])
-    rows = snippets.select(*others, "code", F.explode(code_patterns(folded_code(F.col("code")))).alias("p"))
+    found = let(folded_code(F.col("code")), code_patterns)
+    rows = one_row_each(snippets, [*others, "code"], found, "p")
     return rows.select(
         *others,
         F.array_position(names, F.col("p.pattern_type")).cast("int").alias("type_no"),

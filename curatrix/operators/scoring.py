@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from curatrix import constants as K
 from curatrix.functions.text import task_terms, text_or_empty, text_relevance
 from curatrix.functions.urls import allowed_domain, url_rank
+from curatrix.operators.rows import one_row_each
 
 RUN_CHARS = 64
 ANCHORS = (3, 6, 12)  # a term has at least three characters
@@ -22,7 +23,7 @@ def task_term_table(tasks: DataFrame, task_id: str = "task_id", task: str = "tas
     """(task_id, term, times, n_terms): the terms of every task with their multiplicity."""
     terms = tasks.select(task_id, task_terms(F.col(task)).alias("terms"))
     return (
-        terms.select(task_id, F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+        one_row_each(terms, [task_id, F.size("terms").alias("n_terms")], F.col("terms"), "term")
         .groupBy(task_id, "n_terms", "term")
         .agg(F.count(F.lit(1)).alias("times"))
     )
@@ -43,7 +44,7 @@ def item_terms(items: DataFrame, terms: DataFrame, item_id: list[str], text: str
     )
     pattern = terms.agg(window).scalar()
     found = F.regexp_extract_all(F.lower(text_or_empty(F.col(text))), pattern, F.lit(1))
-    runs = items.select(*item_id, F.explode(F.array_distinct(found)).alias("run"))
+    runs = one_row_each(items, item_id, F.array_distinct(found), "run")
     sized = runs.withColumn("size", F.explode(F.array(*[F.lit(n) for n in ANCHORS]))).filter(
         F.col("size") <= F.length("run")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curatrix import constants as K
 from curatrix.functions.extract import answer_text, unescape_html
-from curatrix.functions.text import text_or_empty
+from curatrix.functions.text import contains_any, text_or_empty
 from curatrix.functions.urls import domain_boost
 
 ITEMS_PER_PAYLOAD = 1 << 20  # seq of an item: its payload's seq times this, plus its place
@@ -82,11 +82,10 @@ def github_code_candidates(payload: DataFrame) -> DataFrame:
     name = text_or_empty(item["repository"]["full_name"])
     path = text_or_empty(item["path"])
     low = F.lower(path)
-    known, sample = F.lit(False), F.lit(False)
+    known = F.lit(False)
     for suffix in K.CODE_SUFFIXES:
         known = known | F.endswith(low, F.lit(suffix))
-    for folder in K.CODE_FOLDERS:
-        sample = sample | F.contains(low, F.lit(folder))
+    sample = contains_any(low, K.CODE_FOLDERS)
     score = (
         F.lit(2.0)
         + F.when(known, 0.6).otherwise(0.0)
