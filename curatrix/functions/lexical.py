@@ -6,10 +6,16 @@ pandas UDF. It is meant for pairs that a join has already found.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Tasks carry this module's code, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _lcs(masks: dict[str, int], size: int, other: str) -> int:
     """Longest common subsequence, one bit per character of the masked string."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from curatrix.functions.text import task_terms, text_or_empty, text_relevance
 from curatrix.functions.urls import allowed_domain, url_rank
 from curatrix.operators.rows import one_row_each
 
+# Tasks carry this module's code, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RUN_CHARS = 64
 ANCHORS = (3, 6, 12)  # a term has at least three characters
 TASKS_PER_BLOCK = 4096
@@ -156,20 +161,28 @@ def vector_scores(
     for block in range(blocks):
         part = block_rows.filter(F.pmod(F.xxhash64(task_id), F.lit(blocks)) == block)
         scored = _score_block(part, items, top_k, task_id, item_id, vector)
-        result = scored if result is None else result.union(scored)
+        if scored is not None:
+            result = scored if result is None else result.union(scored)
+    if result is None:
+        kinds = f"{task_id} bigint, {item_id} bigint, score double"
+        return items.sparkSession.createDataFrame([], kinds)
     return result
 
 
-def _score_block(part, items, top_k, task_id, item_id, vector):
+def _score_block(
+    part: DataFrame, items: DataFrame, top_k: int, task_id: str, item_id: str, vector: str
+) -> DataFrame | None:
     table = part.toArrow()
     ids = table.column(0).to_numpy()
+    if len(ids) == 0:
+        return None
     matrix = np.array(table.column(1).to_pylist(), dtype="float64").reshape(len(ids), -1)
     sent = items.sparkSession.sparkContext.broadcast((ids, _unit(matrix)))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_ids, task_matrix = sent.value
         for batch in batches:
-            if batch.num_rows == 0 or len(task_ids) == 0:
+            if batch.num_rows == 0:
                 continue
             rows = batch.column(0).to_numpy()
             flat = batch.column(1).flatten().to_numpy()
