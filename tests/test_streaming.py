@@ -28,4 +28,4 @@ def test_pages_to_chunks_on_a_stream(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     sources = {r.source for r in out}
     assert sources in ({"http://h/1", "http://h/5"}, {"http://h/2", "http://h/5"})
-    assert all(r.tokens <= 100 or "\n" not in r.markdown for r in out)
+    assert all(r.tokens <= 100 or "\n" not in r.text for r in out)
