@@ -56,22 +56,32 @@ def content_hash(text: Column) -> Column:
 
 def shingles(text: Column, size: int = K.SHINGLE_WORDS) -> Column:
     """Distinct word shingles of the normalised text; a short text is one shingle of its own."""
-    return _shingles(normalize_text(text), size, lambda w: F.array_join(w, " "))
+
+    def of_words(parts: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(parts) - (size - 1))
+        windows = F.transform(starts, lambda i: F.array_join(F.slice(parts, i, size), " "))
+        return F.when(F.size(parts) >= size, F.array_distinct(windows))
+
+    norm = normalize_text(text)
+    return F.coalesce(let(_norm_words(norm), of_words), F.array(norm))
 
 
 def shingle_hashes(text: Column, size: int = K.SHINGLE_WORDS) -> Column:
-    """[T7] The same shingles as sorted 64-bit hashes."""
-    return F.array_sort(_shingles(normalize_text(text), size, F.xxhash64))  # over the word array
+    """[T7] The same shingles as sorted 64-bit hashes: every word is hashed once, and a shingle
+    is the hash of its word hashes."""
 
+    def of_words(words_: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(words_) - size)
+        windows = F.transform(starts, lambda i: F.xxhash64(*[words_[i + k] for k in range(size)]))
+        return F.when(F.size(words_) >= size, F.array_distinct(windows))
+
+    norm = normalize_text(text)
+    hashed = F.transform(_norm_words(norm), lambda w: F.xxhash64(w))
+    return F.sort_array(F.coalesce(let(hashed, of_words), F.array(F.xxhash64(norm))))
 
-def _shingles(norm: Column, size: int, code: Callable[[Column], Column]) -> Column:
-    def of_words(parts: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(parts) - (size - 1))
-        windows = F.transform(starts, lambda i: code(F.slice(parts, i, size)))
-        return F.when(F.size(parts) >= size, F.array_distinct(windows))
 
-    parts = F.filter(F.split(norm, " "), lambda w: w != "")
-    return F.coalesce(let(parts, of_words), F.array(code(F.array(norm))))
+def _norm_words(norm: Column) -> Column:
+    return F.filter(F.split(norm, " "), lambda w: w != "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
