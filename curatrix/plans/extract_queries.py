@@ -107,9 +107,12 @@ def _practices(text: str) -> str:
                lambda x: length(x) BETWEEN 40 AND 220 AND ({words}))"""
 
 
+TIPS = f"""p AS (SELECT doc_id, ({_practices('markdown')})[1:12] AS ps FROM advice),
+    tips AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS no, left(unnest(ps), 180) AS practice FROM p)"""
+
+
 @query(
-    f"""WITH p AS (SELECT doc_id, ({_practices('markdown')})[1:12] AS ps FROM advice)
-    SELECT doc_id, unnest(range(1, len(ps) + 1)) AS no, left(unnest(ps), 180) AS practice FROM p""",
+    f"WITH {TIPS} SELECT * FROM tips",
     ("advice",),
 )
 def best_practices(t):
@@ -120,10 +123,13 @@ def best_practices(t):
 _CALL = rf"(?:^|[^\p{{L}}\p{{N}}_])([a-zA-Z_][\p{{L}}\p{{N}}_.]{{2,}})\(([^)]*)\)"
 
 
-@query(
-    f"""WITH c AS (SELECT doc_id, regexp_extract_all(markdown, '{_CALL}', 1)[1:20] AS names,
+REFERENCES = f"""c AS (SELECT doc_id, regexp_extract_all(markdown, '{_CALL}', 1)[1:20] AS names,
                    regexp_extract_all(markdown, '{_CALL}', 2)[1:20] AS args FROM calls),
-    r AS (SELECT doc_id, unnest(range(1, len(names) + 1)) AS no, unnest(names) AS function, unnest(args) AS args FROM c)
+    r AS (SELECT doc_id, unnest(range(1, len(names) + 1)) AS no, unnest(names) AS function, unnest(args) AS args FROM c)"""
+
+
+@query(
+    f"""WITH {REFERENCES}
     SELECT doc_id, no, function, string_split(function, '.')[1] AS library,
            'Usage pattern with arguments: (' || args || ')' AS description FROM r""",
     ("calls",),

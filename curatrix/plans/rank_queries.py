@@ -11,7 +11,7 @@ from curatrix.functions.text import text_relevance, token_count
 from curatrix.operators import assemble, filters, patterns, prompts, ranking, report, scoring
 from curatrix.operators.extraction import extract_documents
 from curatrix.plans import curate as plan
-from curatrix.plans.extract_queries import PAGE_TEXT, PATTERNS
+from curatrix.plans.extract_queries import PATTERNS, REFERENCES, TIPS
 from curatrix.plans.registry import query
 from curatrix.plans.text_queries import folded, greedy, tokens, units_of
 from curatrix.plans.url_queries import ANSWER_SQL, TERMS, answers_of, tasks_with_domains
@@ -370,6 +370,86 @@ def open_questions(t):
     return _records(t).select("task_id", F.array_join("open_questions", "|").alias("questions"))
 
 
+_KEPT_DOCS = """kept_docs AS (
+        SELECT task_id, doc_id, sources.source FROM documents d
+        JOIN sources ON sources.source = 'https://' || d.source || '.example.com/' || doc_id)"""
+
+
+def _first_of_key(rows: str, key: str, cap: int) -> str:
+    return f"""keyed AS (
+        SELECT *, row_number() OVER (PARTITION BY task_id, {key} ORDER BY doc_id, no) AS copy
+        FROM kept_docs JOIN {rows} USING (doc_id) WHERE {key} <> ''),
+    numbered AS (SELECT * REPLACE (row_number() OVER (PARTITION BY task_id ORDER BY doc_id, no) AS no)
+                 FROM keyed WHERE copy = 1)
+    SELECT task_id, no, source, {key} FROM numbered WHERE no <= {cap}"""
+
+
+@query(
+    f"WITH {_SHOWN}, {_KEPT_DOCS}, {REFERENCES}, {_first_of_key('r', 'function', 30)}",
+    ("tasks", "code", "calls"),
+)
+def context_references(t):
+    return _rows(t, "context.api_references", "source", "function")
+
+
+@query(
+    f"WITH {_SHOWN}, {_KEPT_DOCS}, {TIPS}, {_first_of_key('tips', 'practice', 20)}",
+    ("tasks", "code", "advice"),
+)
+def context_practices(t):
+    return _rows(t, "context.best_practices", "source", "practice")
+
+
+@query(
+    f"""WITH {_CODE_RANKED}, {PATTERNS.replace('FROM code, rules', 'FROM (SELECT task_id, seq, source, code, bucket, rank FROM snip_kept) code, rules')
+        .replace('SELECT task_id, seq, source, code, pattern_type', 'SELECT task_id, bucket, rank, source, code, pattern_type')},
+    firsts AS (SELECT *, row_number() OVER (PARTITION BY task_id, pattern_type ORDER BY confidence DESC, bucket, rank) AS place,
+               min(struct_pack(b := bucket, r := rank, t := type_no)) OVER (PARTITION BY task_id, pattern_type) AS seen FROM detected)
+    SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY confidence DESC, seen) AS no, pattern_type, source,
+           round_even(confidence, 3) AS confidence, left(code, 1000) AS code_snippet
+    FROM firsts WHERE place = 1""",
+    ("tasks", "code"),
+)
+def context_patterns(t):
+    return _rows(t, "context.implementation_patterns", "pattern_type", "source", "confidence", "code_snippet")
+
+
+@query(
+    f"""WITH {_GATE} SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS no, question_title,
+    left(answer_body, 2000) AS answer_body, score FROM gated WHERE relevance >= 0.22""",
+    ("questions", "answers", "tasks"),
+)
+def context_answers(t):
+    return _rows(t, "context.stackoverflow_answers", "question_title", "answer_body", "score")
+
+
+@query(
+    f"""WITH {REFERENCES}, keyed AS (SELECT *, row_number() OVER (PARTITION BY function ORDER BY doc_id, no) AS copy FROM r)
+    SELECT function, doc_id, no FROM keyed WHERE copy = 1""",
+    ("calls",),
+)
+def unique_by_key(t):
+    """The first use of every called name in the whole corpus."""
+    rows = t("calls").select("doc_id", F.posexplode(E.api_references(F.col("markdown"))).alias("no", "r"))
+    rows = rows.select("doc_id", (F.col("no") + 1).cast("bigint").alias("no"), "r.function")
+    return assemble.unique_by_key(rows, [], "function", ["doc_id", "no"])
+
+
+@query(
+    f"""WITH {_DOC_BUCKETS}, linked AS (SELECT DISTINCT task_id, 'src' || doc_id % 20 AS source FROM bucketed),
+    pool AS (SELECT task_id, doc_id, 'src' || doc_id % 20 AS source FROM tasks, documents WHERE doc_id % 40 = task_id)
+    SELECT task_id, doc_id FROM pool WHERE task_id NOT IN (SELECT task_id FROM linked)
+       OR (task_id, source) IN (SELECT (task_id, source) FROM linked)""",
+    ("tasks",),
+)
+def docs_of_sources(t):
+    source = F.concat(F.lit("src"), F.col("doc_id") % 20)
+    kept = assemble.kept_sources(_bucketed(t).select("task_id", source.alias("source")))
+    pool = t("documents").select((F.col("doc_id") % 40).alias("task_id"), "doc_id", source.alias("source"))
+    pool = pool.join(t("tasks").select("task_id"), "task_id")
+    return assemble.docs_of_sources(pool, kept).select("task_id", "doc_id")
+
+
 @query()
 def assemble_context(t):
     return _records(t)

@@ -243,19 +243,21 @@ def _typed(chunks):
     )
 
 
-_TALKS = "talks AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
+# A turn's lines as paragraphs.
+_TURNS = """turns AS (SELECT conv_id * 1000000 + turn AS id, replace(text, chr(10), chr(10) || chr(10)) AS text
+             FROM conversations)"""
 
 
 @query(
-    f"""WITH RECURSIVE {_TALKS}, {units_of('talks', 'conv_id', '120')}, {folded('units', '120')}
-    SELECT doc AS conv_id, chunk_no, text, {tokens('text')} AS tokens FROM chunked"""
+    f"""WITH RECURSIVE {_TURNS}, {units_of('turns', 'id', '40')}, {folded('units', '40')}
+    SELECT doc AS id, chunk_no, text, {tokens('text')} AS tokens FROM chunked"""
 )
 def chunk_paragraphs(t):
-    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    talks = t("conversations").groupBy("conv_id").agg(
-        F.array_join(F.transform(turns, lambda x: x["text"]), "\n\n").alias("text")
+    turns = t("conversations").select(
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("id"),
+        F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"),
     )
-    return _typed(chunk_documents(talks, "text", 120))
+    return _typed(chunk_documents(turns, "text", 40))
 
 
 @query(

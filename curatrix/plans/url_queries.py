@@ -235,7 +235,8 @@ def github_code_candidates(t):
     return rows.withColumn("score", F.round("score", 6))
 
 
-ANSWER_SQL = f"""answer AS (
+ANSWER_SQL = f"""first_questions AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS place FROM questions),
+    answer AS (
         SELECT q.task_id, q.seq,
                replace(replace(replace(replace(q.title, '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')
                    AS question_title,
@@ -243,7 +244,8 @@ ANSWER_SQL = f"""answer AS (
                regexp_replace(replace(regexp_replace(body, '</?[a-zA-Z][^>]*>', chr(10), 'g'), '&lt;', '<'),
                               '^{WS}+|{WS}+$', '', 'g') AS answer_body,
                CAST(a.score AS BIGINT) AS score
-        FROM questions q JOIN answers a ON a.answer_id = q.accepted_answer_id WHERE q.is_answered)"""
+        FROM first_questions q JOIN answers a ON a.answer_id = q.accepted_answer_id
+        WHERE q.is_answered AND place <= 5)"""
 
 
 def answers_of(t):

@@ -110,9 +110,16 @@ def github_code_candidates(payload: DataFrame) -> DataFrame:
     )
 
 
-def stackoverflow_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """[S5, J1] Answered questions with their accepted answer as plain text, in question order."""
-    asked = questions.filter(F.col("is_answered") & F.col("accepted_answer_id").isNotNull())
+def stackoverflow_answers(
+    questions: DataFrame, answers: DataFrame, max_results: int = 5
+) -> DataFrame:
+    """[S5, J1] Of the first ``max_results`` questions of a task those that are answered, with
+    their accepted answer as plain text, in question order."""
+    order = Window.partitionBy("task_id").orderBy("seq")
+    first = questions.withColumn("_place", F.row_number().over(order)).filter(
+        F.col("_place") <= max_results
+    )
+    asked = first.filter(F.col("is_answered") & F.col("accepted_answer_id").isNotNull())
     found = answers.select(
         F.col("answer_id").alias("accepted_answer_id"), "body", F.col("score").alias("score")
     )
