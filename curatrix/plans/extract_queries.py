@@ -8,7 +8,7 @@ from curatrix import constants as K
 from curatrix.functions import extract as X
 from curatrix.operators import extraction, patterns
 from curatrix.operators.assemble import pattern_rows
-from curatrix.plans.registry import WORD, WS, query
+from curatrix.plans.registry import WS, query
 from curatrix.plans.text_queries import line_list, stripped
 from curatrix.sources.tables import pages_of_raw
 

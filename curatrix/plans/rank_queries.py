@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from curatrix import constants as K
 from curatrix.functions import extract as E
 from curatrix.functions import lexical, vectors
-from curatrix.functions.text import text_relevance, token_count
+from curatrix.functions.text import token_count
 from curatrix.operators import assemble, filters, patterns, prompts, ranking, report, scoring
 from curatrix.operators.extraction import extract_documents
 from curatrix.plans import curate as plan
@@ -188,7 +188,6 @@ def lexical_score(t):
 
 # --- vectors ------------------------------------------------------------------------------------
 
-_DOT = "list_sum([x::DOUBLE * y::DOUBLE FOR x, y IN list_zip({a}, {b})])"
 _VECTORS = """unit AS MATERIALIZED (SELECT vec_id, embedding, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings),
     scored AS (SELECT a.vec_id AS task_id, b.vec_id AS item_id, list_cosine_similarity(a.v, b.v) AS score
                FROM unit a, unit b WHERE a.vec_id % 25 = 0)"""
