@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import blob_ledger, nbsvm, sentencepiece_codec, simhash_segments, url_vocab
+from curatrix.llm import blob_ledger, decontaminate, nbsvm, sentencepiece_codec, simhash_segments, substring_dedup, url_vocab
 from curatrix.llm.common import cut_lineage, read_table
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -58,6 +58,33 @@ def op3_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"))
 
 
+@query(
+    r"""
+WITH worded AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS words
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM worded WHERE len(w) >= 20)
+), later AS (
+  SELECT doc_id, i FROM windows
+  QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, i) > 1
+), covered AS (
+  SELECT doc_id, list(DISTINCT j) AS js FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM later) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, w, coalesce(js, []) AS js FROM worded LEFT JOIN covered USING (doc_id)
+), marked AS (
+  SELECT doc_id, len(w) AS n_words, len(js) AS n_removed, w, list_sort(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(js, j))) AS stay
+  FROM kept
+)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(list_transform(stay, lambda j: w[j]), ' '), '')) AS kept_sha256
+FROM marked
+"""
+)
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), "doc_id", "text", length=20)
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 BASE_SECRETS = ("assign", "access", "hex")
 
 
@@ -145,3 +172,37 @@ def op8_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     made = simhash_segments.simhash_components(docs, "doc_id", "text", shingle=3, distance=3)
     return made.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query(
+    r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS words
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM iw WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS words
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)
+), hits AS (SELECT doc_id, item_id, places.n AS n, i FROM places JOIN windows USING (words)),
+covered AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+)
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    made = decontaminate.decontaminate(docs, "doc_id", "text", items, "item_id", "text")
+    return made.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )

@@ -105,7 +105,7 @@ def cells(fps: DataFrame, distance: int) -> DataFrame:
             own = own.bitwiseAND(F.lit(ones))
         above = [_cell(number, _one_more(own, k), False) for k in range(n)]
         each += [_cell(number, own, True), *above]
-    wide = fps.select("fp", packed.alias("packed")).select("fp", F.explode(F.array(*each)).alias("c"))
+    wide = fps.select("fp", packed.alias("packed")).select("fp", F.explode_outer(F.array(*each)).alias("c"))
     return wide.filter("c.cell IS NOT NULL").select("c.space", "c.cell", "c.home", "fp")
 
 
