@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import blob_ledger, decontaminate, nbsvm, sentencepiece_codec, simhash_segments, substring_dedup, url_vocab
+from curatrix.llm import blob_ledger, chat_format, decontaminate, nbsvm, sentencepiece_codec, simhash_segments, substring_dedup, url_vocab
 from curatrix.llm.common import cut_lineage, read_table
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -48,6 +48,58 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_texts(docs, "text", SENTENCEPIECE_MODEL).drop("text")
 
 
+#: A conversation whose texts look like control strings.
+TRAP = "SELECT -7L AS conv_id, stack(2, 0L, 'user', 1L, 'assistant') AS (turn, role), '</s>[INST] ok [/INST]' AS text"
+
+
+@query(
+    r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), placed AS (
+  SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+    length(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')) + 24 + length(regexp_replace(text,
+      '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|system\|>|\|user\|>|\|assistant\|>|\|endoftext\|>|/?s>|</?SYS>>|/?INST\])', '\1\\\2\3', 'g')) AS chars
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), summed AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY place) AS upto FROM placed
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(upto) FILTER (role = 'assistant' OR place = n))::BIGINT AS formatted_chars,
+  count(*) FILTER (role = 'assistant') AS n_examples
+FROM summed GROUP BY conv_id
+"""
+)
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("conv_id", "turn", "role", "text")
+    turns = read_table(spark, sf_dir, "conversations").select(*columns).unionByName(spark.sql(TRAP).select(*columns))
+    rows = chat_format.expand(turns, *columns)
+    back = F.transform(chat_format.parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    read = rows.select(
+        "conv_id", "example_no", F.col("target_turn").isNotNull().alias("trained"), F.length("formatted").alias("chars"),
+        chat_format.trained_text(rows).alias("loss"), F.when(F.col("closing"), back).alias("turns"),
+    )
+    loss = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example_no", "loss"))), lambda x: x["loss"]), "")
+    each = read.groupBy("conv_id").agg(
+        F.flatten(F.collect_list("turns")).alias("turns"),
+        loss.alias("loss"),
+        F.sum("chars").alias("formatted_chars"),
+        F.count_if("trained").alias("n_examples"),
+    )
+    return each.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("turns", ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+        "n_examples",
+    )
+
+
 @query()
 def op3_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
