@@ -1,7 +1,8 @@
 """Quality classifier: naive Bayes support vectors.
 
-Texts become indicators of hashed n-grams: byte 1-, 2- and 3-grams, words, word pairs, and a
-doubled word. Each indicator is scaled by the logarithm of the ratio of its smoothed class counts,
+Texts become indicators of hashed n-grams: byte 1-, 2- and 3-grams, words, word pairs, a doubled
+word, and 3- to 6-grams of the text's shape, in which runs of capitals, of other letters, of digits
+and of each mark are one sign each. Each indicator is scaled by the logarithm of the ratio of its smoothed class counts,
 then a linear model with hinge loss is fitted by dual coordinate descent, and its margin becomes a
 probability by a logistic fit on rows held back from the descent.
 
@@ -44,6 +45,8 @@ class Settings:
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 DOUBLED = 0x5851F42D4C957F2D
+#: Sign of each byte in a shape: A, a, 9, or the byte itself; letters beyond ASCII are "a".
+_SHAPE = np.array([65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b for b in range(256)], np.uint8)
 
 
 def indicators(data: bytes, bits: int) -> np.ndarray:
@@ -59,6 +62,15 @@ def indicators(data: bytes, bits: int) -> np.ndarray:
                     gram = (gram << np.uint64(8)) | raw[k : len(raw) - n + 1 + k]
                 gram = (gram + np.uint64(n << 32)) * np.uint64(_MIX[0])
                 seen[(gram ^ (gram >> np.uint64(29))) * np.uint64(_MIX[1]) >> shift] = True
+        signs = _SHAPE[raw]
+        shape = signs[np.append(True, signs[1:] != signs[:-1])] if len(signs) else signs
+        for n in (3, 4, 5, 6):
+            if len(shape) >= n:
+                gram = shape[: len(shape) - n + 1].astype(np.uint64)
+                for k in range(1, n):
+                    gram = (gram << np.uint64(8)) | shape[k : len(shape) - n + 1 + k]
+                gram = (gram + np.uint64((n + 10) << 56)) * np.uint64(_MIX[2])
+                seen[(gram ^ (gram >> np.uint64(29))) * np.uint64(_MIX[0]) >> shift] = True
         words = byte_words(data)
         if words:
             digest = xxhash.xxh64_intdigest

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import blob_ledger, chat_format, decontaminate, nbsvm, sentencepiece_codec, simhash_segments, substring_dedup, url_vocab
+from curatrix.llm import blob_ledger, chat_format, crf_lines, decontaminate, nbsvm, sentencepiece_codec, simhash_segments, substring_dedup, url_vocab
 from curatrix.llm.common import cut_lineage, read_table
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -137,6 +137,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query()
+def op5_crf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = crf_lines.train(docs, labels, "doc_id", "text", "quality")
+    return crf_lines.judge(docs, "doc_id", "text", model)
+
+
 BASE_SECRETS = ("assign", "access", "hex")
 
 
