@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import blob_ledger, chat_format, crf_lines, decontaminate, nbsvm, sentencepiece_codec, simhash_segments, substring_dedup, url_vocab
+from curatrix.llm import blob_ledger, chat_format, crf_lines, decontaminate, nbsvm, pii_bootstrap, sentencepiece_codec, simhash_segments, substring_dedup, url_vocab
 from curatrix.llm.common import cut_lineage, read_table
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -233,6 +233,21 @@ def op8_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+BASE_PERSONAL = ("email", "ip", "card", "phone")
+
+
+@query()
+def op9_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii_bootstrap.find_personal_data(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    spans = F.col("spans")
+    return made.select(
+        "doc_id",
+        *(n_of(spans, k).alias(f"n_{k}") for k in BASE_PERSONAL),
+        F.sha2(joined_spans(of_kinds(spans, BASE_PERSONAL)), 256).alias("base_sha256"),
+        joined_spans(spans).alias("spans"),
+    )
+
+
 @query(
     r"""
 WITH dw AS (
