@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from curatrix.session import cut_lineage, shared_folder
 
-__all__ = ["byte_words", "cut_lineage", "read_table", "row_key", "shared_folder", "text_bytes", "text_or_empty", "with_defaults"]
+__all__ = ["byte_words", "cut_lineage", "free_name", "read_table", "row_key", "same_row", "shared_folder", "text_bytes", "text_or_empty"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,5 +38,14 @@ def byte_words(data: bytes) -> list[bytes]:
     return data.split()
 
 
-def with_defaults(rows: DataFrame, defaults: dict[str, object]) -> DataFrame:
-    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+def free_name(rows: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``rows`` has it."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def same_row(left: DataFrame, right: DataFrame, key: str, row: str, other_key: str, other_row: str) -> Column:
+    """Join condition on an id, which may be null, and ``row_key``."""
+    return left[key].eqNullSafe(right[other_key]) & (left[row] == right[other_row])

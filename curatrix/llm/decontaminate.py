@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curatrix.functions.text import let
-from curatrix.llm.common import LOWER, UPPER, cut_lineage, row_key, text_or_empty
+from curatrix.llm.common import LOWER, UPPER, cut_lineage, free_name, row_key, same_row, text_or_empty
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Shingles of the benchmark (about 100 bytes each) that may be broadcast; beyond it both sides
@@ -151,3 +151,12 @@ def decontaminate(
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (n_hit * parts >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, **how: int) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated."""
+    found = decontaminate(docs, key, text, items, item, item_text, **how).filter("contaminated")
+    bad = found.select(F.col(key).alias("bad_key"), F.col("row").alias("bad_row")).distinct()
+    row = free_name(docs, "row")
+    named = docs.withColumn(row, row_key(F.col(text)))
+    return named.join(bad, same_row(named, bad, key, row, "bad_key", "bad_row"), "left_anti").drop(row)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curatrix.functions.text import let
-from curatrix.llm.common import cut_lineage, row_key, text_or_empty
+from curatrix.llm.common import cut_lineage, free_name, row_key, same_row, text_or_empty
 
 #: Fixed patterns; possessive repeats and the look-behinds change no match, they keep the search
 #: linear on long runs. Order is the order of kinds within equal starts.
@@ -209,3 +209,32 @@ def find_personal_data(docs: DataFrame, key: str, text: str, settings: Settings
     joined = ids.join(made, ids["key"].eqNullSafe(made["k"]) & (ids["row"] == made["r"]), "left")
     none = F.array().cast("array<struct<start: int, place: int, kind: string, end: int>>")
     return joined.select(F.col("key").alias(key), "row", F.coalesce("spans", none).alias("spans"))
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with every span, or run of overlapping spans, replaced by its first kind in angle
+    brackets."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
+
+    def step(done: Column, s: Column) -> Column:
+        fresh = s["start"] >= done["at"]
+        piece = F.concat(F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        more = F.when(fresh, F.concat(done["pieces"], F.array(piece))).otherwise(done["pieces"])
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), more.alias("pieces"))
+
+    def joined(done: Column) -> Column:
+        return F.concat(F.array_join(done["pieces"], ""), F.substring(text, done["at"] + 1, F.length(text)))
+
+    return F.aggregate(spans, start, step, joined)
+
+
+def redact(docs: DataFrame, key: str, text: str, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """``docs`` with personal data replaced in ``text``; all other columns and rows as they are."""
+    found = find_personal_data(docs, key, text, settings).filter(F.size("spans") > 0)
+    made = found.select(F.col(key).alias("span_key"), F.col("row").alias("span_row"), "spans").dropDuplicates(["span_key", "span_row"])
+    row, spans_ = free_name(docs, "row"), free_name(docs, "spans")
+    made = made.withColumnRenamed("spans", spans_)
+    named = docs.withColumn(row, row_key(F.col(text)))
+    joined = named.join(made, same_row(named, made, key, row, "span_key", "span_row"), "left")
+    clean = F.when(F.col(spans_).isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col(spans_)))
+    return joined.select(*(clean.alias(c) if c == text else named[c] for c in docs.columns))

@@ -3,7 +3,7 @@
 A 64-bit fingerprint is mapped to 32 counts, one per 2-bit segment (0, 1 or 2 set bits). The
 Manhattan distance of two such vectors never exceeds the Hamming distance of the fingerprints, so
 a range join on the vectors loses no pair. For a range of d the vector is cut into
-``(d + 1) // 2`` sub-spaces; two vectors within d are then within 1 in at least one of them, so the
+``d // 2 + 1`` sub-spaces; two vectors within d are then within 1 in at least one of them, so the
 grid has unit cells per sub-space, and a fingerprint asks its own cell and the cells one count
 above it (a neighbour below asks from its own side). What meets in a cell is verified exactly.
 
@@ -13,6 +13,11 @@ near copies costs little and leaves a spanning tree, never all pairs. A cell wit
 fingerprints is dealt out as pairs of blocks. Connected components over the tree edges give the
 groups.
 
+Several fingerprints of a text can be asked for: the first from the shingles' hashes, the others
+from mixtures of these. Texts then link if any of them are within range, which finds more of the
+near copies while each join keeps its narrow range. Texts with all fingerprints equal are one node,
+named by the fingerprint, or by a 64-bit hash of several.
+
 Defined results: a null or empty text has fingerprint zero and links like any other; a text with
 fewer words than a shingle is one shingle; repeated rows each get a row; a null id keeps its row
 and is never the smallest id unless its group has no other; an empty table gives no rows; only the
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import byte_words, cut_lineage, text_bytes
+from curatrix.llm.common import byte_words, cut_lineage, free_name, row_key, same_row, text_bytes
 from curatrix.llm.components import connected_components
 
 BITS = 64
@@ -40,18 +45,22 @@ BLOCK = 4096
 BROADCAST_ROWS = 100_000
 
 
-def fingerprint(data: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of a text whose letters A-Z are lower-cased: a bit is set if more
-    than half of the shingles' hashes have it."""
+def fingerprint(data: bytes, shingle: int = 3, seed: int = 42, n: int = 1) -> list[int]:
+    """``n`` signed 64-bit SimHashes of a text whose letters A-Z are lower-cased: a bit is set if
+    more than half of the shingles' hashes have it."""
     words = byte_words(data.lower())
     if not words:
-        return 0
+        return [0] * n
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
         hashes = np.array([digest(b" ".join(words), seed)], np.uint64)
     else:
         parts = zip(*(words[i:] for i in range(shingle)), strict=False)
         hashes = np.fromiter((digest(b" ".join(p), seed) for p in parts), np.uint64, len(words) - shingle + 1)
+    return [_majority(hashes if k == 0 else _mixed(hashes, k)) for k in range(n)]
+
+
+def _majority(hashes: np.ndarray) -> int:
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 65536):
         some = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
@@ -59,17 +68,28 @@ def fingerprint(data: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(key, fp) for every row."""
+def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Other hashes of the same shingles."""
+    with np.errstate(over="ignore"):
+        x = hashes ^ np.uint64(number * 0x9E3779B97F4A7C15 % 2**64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 3, seed: int = 42, n: int = 1) -> DataFrame:
+    """(key, row, fp, fps) for every row: ``row_key`` of the text, the first fingerprint, all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(x, shingle, seed) for x in text_bytes(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], ["key", "fp"])
+            made = [fingerprint(x, shingle, seed, n) for x in text_bytes(batch, "text")]
+            first = pa.array([x[0] for x in made], pa.int64())
+            every = pa.array(made, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first, every], ["key", "row", "fp", "fps"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), row_key(F.col(text)).alias("row"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, fp long")
+    return rows.mapInArrow(run, f"key {kind}, row long, fp long, fps array<long>")
 
 
 def embedding(fp: Column) -> Column:
@@ -88,40 +108,43 @@ def _one_more(cell: Column, k: int) -> Column:
 
 def sub_spaces(distance: int) -> list[tuple[int, int]]:
     """(first segment, number of segments) of each sub-space for a range of ``distance``."""
-    n = max(1, (distance + 1) // 2)
+    n = distance // 2 + 1
     edges = [round(32 * i / n) for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def cells(fps: DataFrame, distance: int) -> DataFrame:
-    """(space, cell, home, fp): the home cell of every fingerprint in every sub-space, and the
-    cells one count above it."""
-    packed = embedding(F.col("fp"))
+def cells(nodes: DataFrame, distance: int) -> DataFrame:
+    """(space, cell, home, fp, node): the home cell of every fingerprint of ``nodes`` (node, fps) in
+    every sub-space, and the cells one count above it. Each fingerprint's place has spaces of its
+    own."""
+    spaces = sub_spaces(distance)
     each = []
-    for number, (first, n) in enumerate(sub_spaces(distance)):
-        ones = (1 << 2 * n) - 1
+    for number, (first, n) in enumerate(spaces):
         own = F.shiftrightunsigned("packed", 2 * first)
         if n < 32:
-            own = own.bitwiseAND(F.lit(ones))
+            own = own.bitwiseAND(F.lit((1 << 2 * n) - 1))
         above = [_cell(number, _one_more(own, k), False) for k in range(n)]
         each += [_cell(number, own, True), *above]
-    wide = fps.select("fp", packed.alias("packed")).select("fp", F.explode_outer(F.array(*each)).alias("c"))
-    return wide.filter("c.cell IS NOT NULL").select("c.space", "c.cell", "c.home", "fp")
+    single = nodes.select("node", F.posexplode_outer("fps").alias("which", "fp"))
+    wide = single.select("node", "which", "fp", embedding(F.col("fp")).alias("packed")).select("node", "which", "fp", F.explode_outer(F.array(*each)).alias("c"))
+    space = F.col("which") * len(spaces) + F.col("c.space")
+    return wide.filter("c.cell IS NOT NULL").select(space.alias("space"), "c.cell", "c.home", "fp", "node")
 
 
 def _cell(space: int, cell: Column, home: bool) -> Column:
     return F.struct(F.lit(space).alias("space"), cell.alias("cell"), F.lit(home).alias("home"))
 
 
-def _large_cells(fps: DataFrame, distance: int, block: int) -> DataFrame:
-    """(space, cell, blocks) of the cells that more than ``block`` fingerprints may ask. Few homes
+def _large_cells(nodes: DataFrame, distance: int, block: int) -> DataFrame:
+    """(space, cell, blocks) of the cells that more than ``block`` nodes may ask. Few homes
     and all cells above a well-filled home are looked at; nothing else can fill a cell."""
-    homes = cells(fps, distance).filter("home").groupBy("space", "cell").agg(F.count(F.lit(1)).alias("n"))
+    homes = cells(nodes, distance).filter("home").groupBy("space", "cell").agg(F.count(F.lit(1)).alias("n"))
     least = max(1, block // 33)
     filled = homes.filter(F.col("n") > least)
     out = []
-    for number, (_, n) in enumerate(sub_spaces(distance)):
-        here = filled.filter(F.col("space") == number)
+    spaces = sub_spaces(distance)
+    for number, (_, n) in enumerate(spaces):
+        here = filled.filter(F.col("space") % len(spaces) == number)
         above = F.array(F.col("cell"), *(_one_more(F.col("cell"), k) for k in range(n)))
         out.append(here.select("space", "n", F.explode(above).alias("cell")).filter("cell IS NOT NULL"))
     every = out[0]
@@ -138,33 +161,34 @@ def _spread(rows: DataFrame, large: DataFrame) -> DataFrame:
     if large.count() <= BROADCAST_ROWS:
         large = F.broadcast(large)
     marked = rows.join(large, ["space", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = marked.select("space", "cell", "home", "fp", "blocks", own.alias("own"), other.alias("other"))
+    paired = marked.select("space", "cell", "home", "fp", "node", "blocks", own.alias("own"), other.alias("other"))
     part = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
-    return paired.select("space", "cell", "home", "fp", part.alias("part"))
-
-
-def _tree(members: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Edges of a spanning forest of the links among distinct fingerprints (uint64)."""
-    parents, children = [], []
-    left = members
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            now = queue.pop()
-            near = np.bitwise_count(left ^ now) <= distance
+    return paired.select("space", "cell", "home", "fp", "node", part.alias("part"))
+
+
+def _tree(bits: np.ndarray, nodes: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges of a spanning forest of the links among nodes with these fingerprints (uint64)."""
+    members, first, which = np.unique(bits, return_index=True, return_inverse=True)
+    parents, children = [nodes[first[which]]], [nodes]
+    at = nodes[first]
+    while len(members) > 1:
+        queue, members, others = [(members[0], at[0])], members[1:], at[1:]
+        while queue and len(members):
+            now, name = queue.pop()
+            near = np.bitwise_count(members ^ now) <= distance
             if near.any():
-                reached = left[near]
-                parents.append(np.full(len(reached), now))
-                children.append(reached)
-                queue.extend(reached)
-                left = left[~near]
+                parents.append(np.full(int(near.sum()), name))
+                children.append(others[near])
+                queue.extend(zip(members[near], others[near], strict=True))
+                members, others = members[~near], others[~near]
+        at = others
     return parents, children
 
 
 def _linker(distance: int):
-    names = ("space", "cell", "part", "home", "fp")
+    names = ("space", "cell", "part", "home", "fp", "node")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         """Columns of whole groups: the last group of a batch waits for the next batch."""
@@ -184,43 +208,55 @@ def _linker(distance: int):
             yield rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for space, cell, part, home, fp in groups(batches):
+        for space, cell, part, home, fp, node in groups(batches):
             new = np.ones(len(fp), bool)
             new[1:] = (space[1:] != space[:-1]) | (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])
             first = np.flatnonzero(new)
             size = np.diff(np.append(first, len(fp)))
             asked = np.add.reduceat(home.astype(np.int64), first) > 0
             bits = fp.astype(np.int64).view(np.uint64)
-            a, b = [], []
             pairs = first[asked & (size == 2)]
-            near = np.bitwise_count(bits[pairs] ^ bits[pairs + 1]) <= distance
-            a.append(bits[pairs[near]])
-            b.append(bits[pairs[near] + 1])
+            pairs = pairs[np.bitwise_count(bits[pairs] ^ bits[pairs + 1]) <= distance]
+            a, b = [node[pairs]], [node[pairs + 1]]
             for at, n in zip(first[asked & (size > 2)], size[asked & (size > 2)], strict=True):
-                p, c = _tree(np.unique(bits[at : at + n]), distance)
+                p, c = _tree(bits[at : at + n], node[at : at + n], distance)
                 a += p
                 b += c
-            a, b = (np.concatenate(x).view(np.int64) for x in (a, b))
+            a, b = (np.concatenate(x).astype(np.int64) for x in (a, b))
             same = a == b
             yield pa.RecordBatch.from_arrays([pa.array(a[~same]), pa.array(b[~same])], ["a", "b"])
 
     return run
 
 
-def links(fps: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
-    """(a, b): links within ``distance`` between distinct fingerprints (column fp) that keep
-    everything connected which all such links connect."""
-    rows = _spread(cells(fps, distance), _large_cells(fps, distance, block))
+def links(nodes: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between ``nodes`` (node, fps) with a fingerprint at the same place within
+    ``distance``, as many as keep everything connected which all such links connect."""
+    rows = _spread(cells(nodes, distance), _large_cells(nodes, distance, block))
     dealt = rows.repartition("space", "cell", "part").sortWithinPartitions("space", "cell", "part")
     return dealt.mapInArrow(_linker(distance), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, key: str, text: str, shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
-    """(key, fp, component_id) for every row: the smallest key that links reach."""
-    rows = cut_lineage(fingerprints(docs, key, text, shingle, seed))
-    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("key").alias("first")))
-    roots = connected_components(links(distinct.select("fp"), distance))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def simhash_components(
+    docs: DataFrame, key: str, text: str, shingle: int = 3, distance: int = 3, seed: int = 42, n: int = 1
+) -> DataFrame:
+    """(key, row, fp, component_id) for every row: ``row_key`` of the text, the first of ``n``
+    fingerprints, and the smallest key that links reach."""
+    named = F.col("fp") if n == 1 else F.xxhash64("fps")
+    rows = cut_lineage(fingerprints(docs, key, text, shingle, seed, n).withColumn("node", named))
+    distinct = cut_lineage(rows.groupBy("node").agg(F.min("key").alias("first"), F.min("fps").alias("fps")))
+    roots = connected_components(links(distinct.select("node", "fps"), distance))
+    rooted = distinct.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    found = rooted.join(least, "root").select("node", "component_id")
+    return rows.select("key", "row", "fp", "node").join(found, "node").select(F.col("key").alias(key), "row", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str, text: str, **how: int) -> DataFrame:
+    """The rows of ``docs`` with the smallest key of their group; of equal rows one stays."""
+    made = simhash_components(docs, key, text, **how)
+    kept = made.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_key"), F.col("row").alias("kept_row")).distinct()
+    row = free_name(docs, "row")
+    named = docs.withColumn(row, row_key(F.col(text)))
+    held = named.join(kept, same_row(named, kept, key, row, "kept_key", "kept_row"), "left_semi")
+    return held.dropDuplicates([key, row]).drop(row)
