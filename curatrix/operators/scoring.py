@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix import constants as K
-from curatrix.functions.text import task_terms, text_or_empty, text_relevance
+from curatrix.functions.text import at_most, task_terms, text_or_empty, text_relevance
 from curatrix.functions.urls import allowed_domain, url_rank
 from curatrix.operators.rows import one_row_each
 
@@ -21,7 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RUN_CHARS = 64
 ANCHORS = (3, 6, 12)  # a term has at least three characters
-TASKS_PER_BLOCK = 4096
+ROWS_PER_BLOCK = 2048
 
 
 def task_term_table(tasks: DataFrame, task_id: str = "task_id", task: str = "task") -> DataFrame:
@@ -40,7 +40,8 @@ def item_terms(items: DataFrame, terms: DataFrame, item_id: list[str], text: str
     A term is made of ``[a-z0-9_]``, so it occurs in a text iff it is a piece of one run of such
     characters. Terms are found by an anchor, their first 3, 6 or 12 characters: every place of
     a run gives at most three anchors, joined with the terms by equality and then compared in
-    full. This is one narrow pass over the items; the term side is as small as the task list.
+    full. Only the vocabulary, the distinct runs of all items, is cut into places; it grows far
+    slower than the text. Items meet the terms through their own distinct runs, by equality.
     Long runs are read in overlapping windows, so work stays linear in the text.
     """
     window = F.format_string(
@@ -50,7 +51,8 @@ def item_terms(items: DataFrame, terms: DataFrame, item_id: list[str], text: str
     pattern = terms.agg(window).scalar()
     found = F.regexp_extract_all(F.lower(text_or_empty(F.col(text))), pattern, F.lit(1))
     runs = one_row_each(items, item_id, F.array_distinct(found), "run")
-    sized = runs.withColumn("size", F.explode(F.array(*[F.lit(n) for n in ANCHORS]))).filter(
+    vocabulary = runs.select("run").distinct()
+    sized = vocabulary.withColumn("size", F.explode(F.array(*[F.lit(n) for n in ANCHORS]))).filter(
         F.col("size") <= F.length("run")
     )
     starts = F.sequence(F.lit(1), F.length("run") - F.col("size") + 1)
@@ -66,7 +68,8 @@ def item_terms(items: DataFrame, terms: DataFrame, item_id: list[str], text: str
         .withColumn("anchor", F.substring(F.col("term"), F.lit(1), size))
     )
     whole = F.substring("run", F.col("at"), F.length("term")) == F.col("term")
-    return places.join(anchored, "anchor").filter(whole).select(*item_id, "term").distinct()
+    holds = places.join(anchored, "anchor").filter(whole).select("run", "term").distinct()
+    return runs.join(holds, "run").select(*item_id, "term").distinct()
 
 
 def term_coverage(
@@ -125,12 +128,14 @@ def score_candidates(
     )
 
 
-def answer_gate(answers: DataFrame, tasks: DataFrame, semantic: Column | None = None) -> DataFrame:
-    """Answers of a task whose title and first 800 body characters are relevant enough."""
+def answer_gate(
+    answers: DataFrame, tasks: DataFrame, semantic: Column | None = None, body_chars: int | None = None
+) -> DataFrame:
+    """Answers of a task whose title and body, or its first ``body_chars`` characters, are
+    relevant enough."""
     joined = answers.join(tasks.select("task_id", "task"), "task_id")
-    text = F.concat_ws(
-        " ", text_or_empty(F.col("question_title")), F.substring("answer_body", 1, 800)
-    )
+    body = at_most(F.col("answer_body"), body_chars)
+    text = F.concat_ws(" ", text_or_empty(F.col("question_title")), body)
     relevance = combined_relevance(text_relevance(F.col("task"), text), semantic)
     return (
         joined.withColumn("relevance", relevance)
@@ -148,61 +153,56 @@ def vector_scores(
     vector: str = "embedding",
 ) -> DataFrame:
     """[J5, T14] (task_id, item_id, score): a superset of every task's ``top_k`` by cosine, ties
-    by item id. Each Arrow batch of items is one matrix product and sends on its own best rows.
+    by item id.
 
-    Task vectors travel in blocks of a fixed number of rows, one pass over the items per block,
-    so what is sent to the executors never grows with the data.
+    An exact block join: both sides are packed into blocks of about ROWS_PER_BLOCK vectors, one row
+    each, and every pair of blocks meets by its two numbers, so the pairs are dealt out evenly and
+    nothing passes through the driver. A pair of blocks is one matrix product; each partition keeps
+    a running top k per task of a block.
     """
-    block_rows = tasks.select(
-        F.col(task_id).cast("bigint"), F.col(vector).cast("array<double>")
-    ).filter(F.col(vector).isNotNull())
-    blocks = max(1, -(-block_rows.count() // TASKS_PER_BLOCK))
-    result = None
-    for block in range(blocks):
-        part = block_rows.filter(F.pmod(F.xxhash64(task_id), F.lit(blocks)) == block)
-        scored = _score_block(part, items, top_k, task_id, item_id, vector)
-        if scored is not None:
-            result = scored if result is None else result.union(scored)
-    if result is None:
-        kinds = f"{task_id} bigint, {item_id} bigint, score double"
-        return items.sparkSession.createDataFrame([], kinds)
-    return result
-
-
-def _score_block(
-    part: DataFrame, items: DataFrame, top_k: int, task_id: str, item_id: str, vector: str
-) -> DataFrame | None:
-    table = part.toArrow()
-    ids = table.column(0).to_numpy()
-    if len(ids) == 0:
-        return None
-    matrix = np.array(table.column(1).to_pylist(), dtype="float64").reshape(len(ids), -1)
-    sent = items.sparkSession.sparkContext.broadcast((ids, _unit(matrix)))
+    left, n_left = _packed(tasks, task_id, vector, "a")
+    right, n_right = _packed(items, item_id, vector, "b")
+    left = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
+    right = right.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
+    pairs = left.join(right, ["a", "b"]).select("a", "a_ids", "a_flat", "b_ids", "b_flat")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task_ids, task_matrix = sent.value
+        block, held = None, None
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows = batch.column(0).to_numpy()
-            flat = batch.column(1).flatten().to_numpy()
-            scores = task_matrix @ _unit(flat.reshape(len(rows), -1)).T
-            order = np.argsort(rows, kind="stable")  # ties go to the smaller item id
-            ranked = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :top_k]]
-            width = ranked.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(task_ids, width)),
-                    pa.array(rows[ranked].ravel()),
-                    pa.array(np.take_along_axis(scores, ranked, axis=1).ravel()),
-                ],
-                names=[task_id, item_id, "score"],
-            )
-
-    source = items.filter(F.col(vector).isNotNull()).select(
-        F.col(item_id).cast("bigint"), F.col(vector).cast("array<double>")
-    )
-    return source.mapInArrow(best, f"{task_id} bigint, {item_id} bigint, score double")
+            for i in range(batch.num_rows):
+                number, *arrays = (batch.column(c)[i] for c in range(5))
+                ids, flat, rows, others = (np.asarray(x.values) for x in arrays)
+                if number.as_py() != block and held is not None:
+                    yield _ranked(held, task_id, item_id)
+                    held = None
+                block = number.as_py()
+                scores = _unit(flat.reshape(len(ids), -1)) @ _unit(others.reshape(len(rows), -1)).T
+                every = np.broadcast_to(rows, scores.shape)
+                if held is not None:
+                    scores, every = np.hstack([held[2], scores]), np.hstack([held[1], every])
+                order = np.lexsort((every, -scores))[:, :top_k]  # ties go to the smaller item id
+                held = ids, np.take_along_axis(every, order, 1), np.take_along_axis(scores, order, 1)
+        if held is not None:
+            yield _ranked(held, task_id, item_id)
+
+    return pairs.mapInArrow(best, f"{task_id} bigint, {item_id} bigint, score double")
+
+
+def _packed(rows: DataFrame, key: str, vector: str, name: str) -> tuple[DataFrame, int]:
+    """(name, name_ids, name_flat): blocks of vectors, one after the other, and how many."""
+    known = rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    known = known.filter(F.col("v").isNotNull())
+    blocks = max(1, -(-known.count() // ROWS_PER_BLOCK))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    grouped = known.groupBy(block.alias(name)).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    ids = F.transform("rows", lambda r: r["id"]).alias(f"{name}_ids")
+    return grouped.select(name, ids, F.flatten(F.transform("rows", lambda r: r["v"])).alias(f"{name}_flat")), blocks
+
+
+def _ranked(held: tuple[np.ndarray, np.ndarray, np.ndarray], task_id: str, item_id: str) -> pa.RecordBatch:
+    ids, rows, scores = held
+    columns = [np.repeat(ids, scores.shape[1]), rows.ravel(), scores.ravel()]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[task_id, item_id, "score"])
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:

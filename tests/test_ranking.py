@@ -74,7 +74,7 @@ def test_vector_blocks_do_not_change_the_result(spark, monkeypatch):
         return sorted((r.task_id, r.rank, r.item_id) for r in ranking.top_k(scored, 5, ties=["item_id"]).collect())
 
     whole = best()
-    monkeypatch.setattr(scoring, "TASKS_PER_BLOCK", 2)
+    monkeypatch.setattr(scoring, "ROWS_PER_BLOCK", 7)
     assert best() == whole
     assert [x for x in whole if x[0] == 3][0] == (3, 1, 3)
 
