@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from curatrix import constants as K
 from curatrix.functions.text import (
+    at_most,
     clean_text,
     contains_any,
+    first_items,
     let,
     lines,
     strip,
@@ -156,7 +158,7 @@ def _long_enough(code: Column) -> Column:
     return (F.length(code) >= 40) & (F.size(lines(code)) >= 2)
 
 
-def html_snippets(main: Column) -> Column:
+def html_snippets(main: Column, max_chars: int | None = None) -> Column:
     """[E5] Every pre and every code block of the main html in page order, a nested one after
     the block around it, as array<struct<language, code>>."""
     # Only the opening < is consumed, so that blocks inside a block are found as well.
@@ -168,12 +170,12 @@ def html_snippets(main: Column) -> Column:
 
     def snippet(block: Column) -> Column:
         name = F.regexp_extract(block["attributes"], r"(?i)class=[\"']([^\"']*)[\"']", 1)
-        code = F.regexp_replace(unescape_html(strip_tags(block["body"], "")), r"^[\n ]+|[\n ]+\z", "")
+        code = F.regexp_replace(unescape_html(strip_tags(block["body"], "\n")), r"^[\n ]+|[\n ]+\z", "")
         return let(
             code,
             lambda c: F.struct(
                 guess_language(name, c).alias("language"),
-                F.substring(c, 1, 2000).alias("code"),
+                at_most(c, max_chars).alias("code"),
                 _long_enough(c).alias("keep"),
             ),
         )
@@ -188,7 +190,7 @@ def _kept(snippets: Column) -> Column:
     )
 
 
-def fenced_snippets(markdown: Column) -> Column:
+def fenced_snippets(markdown: Column, max_chars: int | None = None) -> Column:
     """[E6] Fenced blocks of at least 40 characters and 2 lines, as array<struct<language, code>>."""
     pairs = F.arrays_zip(
         F.regexp_extract_all(markdown, F.lit(K.FENCE_PATTERN), F.lit(1)).alias("tag"),
@@ -201,7 +203,7 @@ def fenced_snippets(markdown: Column) -> Column:
                 strip(p["body"]),
                 lambda c: F.struct(
                     F.coalesce(F.nullif(F.lower(p["tag"]), F.lit("")), F.lit("text")).alias("language"),
-                    F.substring(c, 1, 2000).alias("code"),
+                    at_most(c, max_chars).alias("code"),
                     _long_enough(c).alias("keep"),
                 ),
             ),
@@ -209,7 +211,7 @@ def fenced_snippets(markdown: Column) -> Column:
     )
 
 
-def api_references(markdown: Column, limit: int = 20) -> Column:
+def api_references(markdown: Column, limit: int | None = None) -> Column:
     """[E8] ``name(args)`` calls in text order as array<struct<library, function, description>>."""
     pattern = F.lit("(?U)" + K.CALL_PATTERN)
     calls = F.arrays_zip(
@@ -217,7 +219,7 @@ def api_references(markdown: Column, limit: int = 20) -> Column:
         F.regexp_extract_all(markdown, pattern, F.lit(2)).alias("args"),
     )
     return F.transform(
-        F.slice(calls, 1, limit),
+        first_items(calls, limit),
         lambda c: F.struct(
             F.substring_index(c["name"], ".", 1).alias("library"),
             c["name"].alias("function"),
@@ -228,7 +230,7 @@ def api_references(markdown: Column, limit: int = 20) -> Column:
     )
 
 
-def best_practices(markdown: Column, limit: int = 12) -> Column:
+def best_practices(markdown: Column, limit: int | None = None, max_chars: int | None = None) -> Column:
     """[E9] Lines of 40 to 220 characters that give advice, as array<struct<practice, reason>>."""
 
     def advises(line: Column) -> Column:
@@ -237,14 +239,14 @@ def best_practices(markdown: Column, limit: int = 12) -> Column:
 
     found = F.filter(F.transform(lines(markdown), strip), advises)
     return F.transform(
-        F.slice(found, 1, limit),
+        first_items(found, limit),
         lambda x: F.struct(
-            F.substring(x, 1, 180).alias("practice"), F.lit(K.PRACTICE_REASON).alias("reason")
+            at_most(x, max_chars).alias("practice"), F.lit(K.PRACTICE_REASON).alias("reason")
         ),
     )
 
 
-def summary(markdown: Column) -> Column:
-    """[E10] The first eight lines, cleaned; a summary has at most 400 characters."""
-    head = F.array_join(F.slice(lines(markdown), 1, 8), " ")
-    return F.substring(clean_text(head), 1, 400)
+def summary(markdown: Column, n_lines: int = 8, max_chars: int = 400) -> Column:
+    """[E10] The first lines, cleaned: a summary is short by its purpose."""
+    head = F.array_join(F.slice(lines(markdown), 1, n_lines), " ")
+    return F.substring(clean_text(head), 1, max_chars)

@@ -22,6 +22,15 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def at_most(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters, or all of them where no number is asked for."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def first_items(array: Column, n: int | None) -> Column:
+    return array if n is None else F.slice(array, 1, n)
+
+
 def strip(text: Column) -> Column:
     """Trim any Unicode white space (Spark's trim knows spaces only)."""
     return F.regexp_replace(text, rf"^{K.WS}+|{K.WS}+\z", "")
@@ -114,8 +123,8 @@ def cache_key(prefix: str, value: Column) -> Column:
 
 
 def embedding_cache_key(text: Column) -> Column:
-    """[T11] Only the first 500 characters take part in the key, by definition of this key."""
-    return cache_key("emb", F.substring(text, 1, 500))
+    """[T11] The whole text takes part: texts that only begin alike have keys of their own."""
+    return cache_key("emb", text)
 
 
 def task_cache_key(task: Column, config: Column) -> Column:

@@ -1,17 +1,36 @@
 """One nested context record per task. [C6 - C9, A8, J3, O2, W4]
 
-Every list of the record has a cap, so rows are cut per task by a window before they are
-collected; no collected list grows with the data.
+A record holds what its task's ranked chunks and snippets, their documents and its answers say.
+Nothing of it is cut by default; ``Caps`` shortens lists and texts where a caller asks for that, by
+a window per task before anything is collected.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix import constants as K
+from curatrix.functions.text import at_most
 from curatrix.operators.ranking import first_rows
 
+
+@dataclass(frozen=True)
+class Caps:
+    """[W4] The most rows of each list and characters of each text; None keeps all."""
+
+    chunks: int | None = None
+    concepts: int | None = None
+    references: int | None = None
+    practices: int | None = None
+    critical_chars: int | None = None
+    helpful_chars: int | None = None
+    pattern_chars: int | None = None
+    answer_chars: int | None = None
+
+
 # One row per element; arrays of these make up the record.
 CHUNK = "struct<source:string,bucket:string,relevance_score:double,why_it_matters:string,key_detail:string>"
 SNIPPET = "struct<language:string,description:string,code:string,source:string,bucket:string,relevance_score:double>"
@@ -51,7 +70,7 @@ def _collect(rows: DataFrame, order: list[str], item: Column, name: str) -> Data
     return rows.groupBy("task_id").agg(F.transform(ordered, lambda x: x["item"]).alias(name))
 
 
-def relevant_rows(chunks: DataFrame) -> DataFrame:
+def relevant_rows(chunks: DataFrame, caps: Caps = Caps()) -> DataFrame:  # noqa: B008
     """[C6] Critical chunks, and helpful ones only where a task has fewer than three critical.
 
     ``chunks(task_id, rank, source, text, score, bucket)`` are ranked, so a task has few."""
@@ -69,8 +88,8 @@ def relevant_rows(chunks: DataFrame) -> DataFrame:
         "bucket",
         F.bround("score", 3).alias("relevance_score"),
         F.when(is_critical, K.WHY_CRITICAL).otherwise(K.WHY_HELPFUL).alias("why_it_matters"),
-        F.when(is_critical, F.substring("text", 1, 400))
-        .otherwise(F.substring("text", 1, 300))
+        F.when(is_critical, at_most(F.col("text"), caps.critical_chars))
+        .otherwise(at_most(F.col("text"), caps.helpful_chars))
         .alias("key_detail"),
     )
 
@@ -93,16 +112,16 @@ def snippet_rows(snippets: DataFrame, tasks: DataFrame, helpful_tasks: DataFrame
     )
 
 
-def pattern_rows(patterns: DataFrame) -> DataFrame:
+def pattern_rows(patterns: DataFrame, code_chars: int | None = None) -> DataFrame:
     """[C7]"""
-    return patterns.withColumn("code_snippet", F.substring("code_snippet", 1, 1000)).withColumn(
+    return patterns.withColumn("code_snippet", at_most(F.col("code_snippet"), code_chars)).withColumn(
         "confidence", F.bround("confidence", 3)
     )
 
 
-def answer_rows(answers: DataFrame) -> DataFrame:
+def answer_rows(answers: DataFrame, body_chars: int | None = None) -> DataFrame:
     """[C7]"""
-    return answers.withColumn("answer_body", F.substring("answer_body", 1, 2000))
+    return answers.withColumn("answer_body", at_most(F.col("answer_body"), body_chars))
 
 
 def helpful_tasks(tasks: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -111,11 +130,13 @@ def helpful_tasks(tasks: DataFrame, chunks: DataFrame) -> DataFrame:
     return tasks.select("task_id").join(clear, "task_id", "left_anti")
 
 
-def _doc_lists(docs: DataFrame, concepts: int, references: int, practices: int) -> list[DataFrame]:
-    """Concepts, references and practices of ``docs(task_id, seq, ..)``, capped per task."""
+def _doc_lists(
+    docs: DataFrame, concepts: int | None, references: int | None, practices: int | None
+) -> list[DataFrame]:
+    """Concepts, references and practices of ``docs(task_id, seq, ..)``."""
     shown = first_rows(docs.filter("summary != ''"), concepts, ["task_id"], ["seq"])
 
-    def children(column: str, key: str, cap: int) -> DataFrame:
+    def children(column: str, key: str, cap: int | None) -> DataFrame:
         rows = docs.select("task_id", "seq", "source", F.posexplode(column).alias("no", "c")).select(
             "task_id", "seq", "no", "source", "c.*"
         )
@@ -140,18 +161,18 @@ def _doc_lists(docs: DataFrame, concepts: int, references: int, practices: int)
     ]
 
 
-def _pattern_list(patterns: DataFrame) -> DataFrame:
+def _pattern_list(patterns: DataFrame, caps: Caps) -> DataFrame:
     item = F.struct("pattern_type", "description", "code_snippet", "source", "confidence")
     rows = patterns.withColumn("down", -F.col("confidence"))
-    return _collect(pattern_rows(rows), ["down", "first_seen"], item, "implementation_patterns")
+    return _collect(pattern_rows(rows, caps.pattern_chars), ["down", "first_seen"], item, "implementation_patterns")
 
 
-def _answer_list(answers: DataFrame) -> DataFrame:
+def _answer_list(answers: DataFrame, caps: Caps) -> DataFrame:
     item = F.struct(
         "question_title", "question_url", "answer_body",
         F.col("score").cast("bigint").alias("score"), "accepted", "tags",
     )
-    return _collect(answer_rows(answers), ["seq"], item, "stackoverflow_answers")
+    return _collect(answer_rows(answers, caps.answer_chars), ["seq"], item, "stackoverflow_answers")
 
 
 def _list(name: str, kind: str) -> Column:
@@ -169,6 +190,7 @@ def assemble_context(
     docs: DataFrame,
     patterns: DataFrame,
     answers: DataFrame,
+    caps: Caps = Caps(),  # noqa: B008
 ) -> DataFrame:
     """[C6, C8] The record of every task, also of tasks without any hit.
 
@@ -177,12 +199,12 @@ def assemble_context(
     ``patterns`` of A3; ``answers(task_id, seq, ..)``.
     """
     ambiguous = helpful_tasks(tasks, chunks)
-    relevant = relevant_rows(chunks)
+    relevant = relevant_rows(chunks, caps)
     code = snippet_rows(snippets, tasks, ambiguous)
     kept = docs.join(kept_sources(relevant, code), ["task_id", "source"], "left_semi")
     sections = [
         _collect(
-            first_rows(relevant, 30, ["task_id"], ["part", "rank"]),
+            first_rows(relevant, caps.chunks, ["task_id"], ["part", "rank"]),
             ["part", "rank"],
             F.struct("source", "bucket", "relevance_score", "why_it_matters", "key_detail"),
             "relevant_context",
@@ -193,9 +215,9 @@ def assemble_context(
             F.struct("language", "description", "code", "source", "bucket", "relevance_score"),
             "code_snippets",
         ),
-        *_doc_lists(kept, 20, 30, 20),
-        _pattern_list(patterns),
-        _answer_list(answers),
+        *_doc_lists(kept, caps.concepts, caps.references, caps.practices),
+        _pattern_list(patterns, caps),
+        _answer_list(answers, caps),
         ambiguous.withColumn("ambiguous", F.lit(True)),
         chunks.filter("bucket = 'helpful'").groupBy("task_id").agg(F.count(F.lit(1)).alias("helpful")),
     ]
@@ -240,10 +262,11 @@ def assemble_flat(
     docs: DataFrame,
     patterns: DataFrame,
     answers: DataFrame,
+    caps: Caps = Caps(),  # noqa: B008
 ) -> DataFrame:
     """[C9] The older layout: no buckets, all docs, and the ranked chunks as ``llm_chunks``."""
     sections = [
-        *_doc_lists(docs, 30, 40, 30),
+        *_doc_lists(docs, caps.concepts, caps.references, caps.practices),
         _collect(
             snippets.join(tasks.select("task_id", "max_code_snippets"), "task_id").filter(
                 F.col("rank") <= F.col("max_code_snippets")
@@ -252,8 +275,8 @@ def assemble_flat(
             F.struct("language", "description", "code", "source"),
             "code_snippets",
         ),
-        _pattern_list(patterns),
-        _answer_list(answers),
+        _pattern_list(patterns, caps),
+        _answer_list(answers, caps),
         _collect(chunks, ["rank"], F.struct("text", "tokens", "source"), "llm_chunks"),
     ]
     row = tasks.select("task_id", "task")

@@ -6,22 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions import extract as X
-from curatrix.functions.text import let, text_or_empty
+from curatrix.functions.text import at_most, first_items, let, text_or_empty
 from curatrix.operators.filters import long_enough
 from curatrix.operators.rows import one_row_each
 
-DOC_BODY_CHARS = 30_000
-DOC_HEADINGS = 20
 
-
-def extract_documents(pages: DataFrame) -> DataFrame:
+def extract_documents(
+    pages: DataFrame, body_chars: int | None = None, max_headings: int | None = None
+) -> DataFrame:
     """[E1] One document row per page that is long enough; all columns but ``text`` and
     ``content_type`` are kept, ``url`` becomes ``source``.
 
-    ``pages(url, content_type, text)``. Adds title, summary, markdown (the record keeps 30,000
-    characters), headings, snippets, api_references and best_practices; references, practices
-    and snippets come from the whole markdown. ``dedupe_snippets`` drops a block that was found
-    both as html and as fence.
+    ``pages(url, content_type, text)``. Adds title, summary, markdown, headings, snippets,
+    api_references and best_practices; references, practices and snippets come from the whole
+    markdown. ``body_chars`` and ``max_headings`` shorten what a
+    row shows; nothing is cut unless they are given.
     """
     keep = [c for c in pages.columns if c not in ("url", "text", "content_type", "status_code", "fetched_at")]
     url, is_md = F.col("url"), F.col("is_md")
@@ -68,8 +67,8 @@ def extract_documents(pages: DataFrame) -> DataFrame:
         F.col("url").alias("source"),
         "title",
         X.summary(F.col("full")).alias("summary"),
-        F.substring("full", 1, DOC_BODY_CHARS).alias("markdown"),
-        F.slice("headings", 1, DOC_HEADINGS).alias("headings"),
+        at_most(F.col("full"), body_chars).alias("markdown"),
+        first_items(F.col("headings"), max_headings).alias("headings"),
         F.when(F.col("is_md"), fences).otherwise(F.concat(blocks, fences)).alias("snippets"),
         X.api_references(F.col("full")).alias("api_references"),
         X.best_practices(F.col("full")).alias("best_practices"),

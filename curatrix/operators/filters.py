@@ -19,12 +19,12 @@ from curatrix.functions.text import (
 from curatrix.functions.urls import domain_error, suspicious_pattern, url_origin, url_path
 
 
-def fetched_ok(pages: DataFrame) -> DataFrame:
-    """Pages with a good status, a text-like type (case-sensitive) and a body within bounds."""
+def fetched_ok(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Pages with a good status, a text-like type (case-sensitive) and a body, of at most
+    ``max_chars`` characters where a bound is asked for."""
     kind = contains_any(F.col("content_type"), K.TEXT_CONTENT_TYPES)
-    return pages.filter(
-        (F.col("status_code") < 400) & kind & (F.length("text") <= K.PAGE_MAX_CHARS)
-    )
+    within = F.col("text").isNotNull() if max_chars is None else F.length("text") <= max_chars
+    return pages.filter((F.col("status_code") < 400) & kind & within)
 
 
 def long_enough(pages: DataFrame, text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix import constants as K
-from curatrix.functions.text import contains_any, let
+from curatrix.functions.text import at_most, contains_any, let
 from curatrix.operators.rows import one_row_each
 
 
@@ -51,7 +51,7 @@ def code_patterns(code: Column) -> Column:
     return F.filter(F.array(*found), lambda p: (p["matches"] >= 2) & (p["tenths"] > 10))
 
 
-def detect_patterns(snippets: DataFrame) -> DataFrame:
+def detect_patterns(snippets: DataFrame, code_chars: int | None = None) -> DataFrame:
     """[C3] One row per snippet and pattern type, in rule order (``type_no``)."""
     others = [c for c in snippets.columns if c != "code"]
     names = F.array(*[F.lit(x) for x in K.PATTERN_RULES])
@@ -63,7 +63,7 @@ def detect_patterns(snippets: DataFrame) -> DataFrame:
         F.array_position(names, F.col("p.pattern_type")).cast("int").alias("type_no"),
         F.col("p.pattern_type").alias("pattern_type"),
         texts[F.col("p.pattern_type")].alias("description"),
-        F.substring("code", 1, 1500).alias("code_snippet"),
+        at_most(F.col("code"), code_chars).alias("code_snippet"),
         F.least(F.lit(1.0), F.col("p.tenths") / F.lit(20.0)).alias("confidence"),
     )
 
@@ -75,9 +75,9 @@ def best_patterns(detected: DataFrame, by: str = "task_id") -> DataFrame:
     return (
         detected.groupBy(by, "pattern_type")
         .agg(
-            F.max_by(
+            F.min_by(
                 F.struct("description", "code_snippet", "source", "confidence"),
-                F.struct(F.col("confidence"), -F.col("seq")),
+                F.struct(-F.col("confidence"), F.col("seq")),
             ).alias("best"),
             F.min(place).alias("first_seen"),
         )

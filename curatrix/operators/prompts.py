@@ -3,11 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix import constants as K
+from curatrix.functions.text import at_most
+
+
+@dataclass(frozen=True)
+class PromptCaps:
+    """The most items of each section and characters of each text and of the prompt; None keeps
+    all."""
+
+    chunks: int | None = None
+    concepts: int | None = None
+    snippets: int | None = None
+    references: int | None = None
+    practices: int | None = None
+    patterns: int | None = None
+    answers: int | None = None
+    code_chars: int | None = None
+    pattern_chars: int | None = None
+    answer_chars: int | None = None
+    prompt_chars: int | None = None
 
 
 def _section(items: Column, title: str, cap: int | None, line: Callable[[Column], Column]) -> Column:
@@ -24,7 +44,7 @@ def _text(*parts: Column | str) -> Column:
     )
 
 
-def prompt_text() -> Column:
+def prompt_text(caps: PromptCaps = PromptCaps()) -> Column:  # noqa: B008
     """Prompt of a row with task, relevant_context, context and open_questions."""
     context = F.col("context")
     parts = F.concat(
@@ -32,7 +52,7 @@ def prompt_text() -> Column:
         _section(
             F.col("relevant_context"),
             "Pre-Ranked Context (already filtered for relevance)",
-            15,
+            caps.chunks,
             lambda x: _text(
                 "[", F.upper(x["bucket"]), "] ", x["source"], ": ", x["why_it_matters"],
                 "\n> ", x["key_detail"], "\n",
@@ -41,45 +61,45 @@ def prompt_text() -> Column:
         _section(
             context["concepts"],
             "Documentation Context",
-            10,
+            caps.concepts,
             lambda x: _text("### ", x["title"], "\n", x["summary"], "\nSource: ", x["source"], "\n"),
         ),
         _section(
             context["code_snippets"],
             "Code Examples",
-            6,
+            caps.snippets,
             lambda x: _text(
                 "### ", x["description"],
                 F.when(F.coalesce(x["bucket"], F.lit("")) != "", _text(" [", F.upper(x["bucket"]), "]")),
-                "\n```", x["language"], "\n", F.substring(x["code"], 1, 1500),
+                "\n```", x["language"], "\n", at_most(x["code"], caps.code_chars),
                 "\n```\nSource: ", x["source"], "\n",
             ),
         ),
         _section(
             context["api_references"],
             "API References",
-            10,
+            caps.references,
             lambda x: _text("- `", x["function"], "`: ", x["description"], "\n"),
         ),
         _section(
-            context["best_practices"], "Best Practices", 8, lambda x: _text("- ", x["practice"], "\n")
+            context["best_practices"], "Best Practices", caps.practices, lambda x: _text("- ", x["practice"], "\n")
         ),
         _section(
             context["implementation_patterns"],
             "Implementation Patterns",
-            5,
+            caps.patterns,
             lambda x: _text(
                 "### ", x["pattern_type"], " (confidence: ", x["confidence"], ")\n", x["description"],
-                "\n```\n", F.substring(x["code_snippet"], 1, 600), "\n```\n",
+                "\n```\n", at_most(x["code_snippet"], caps.pattern_chars), "\n```\n",
             ),
         ),
         _section(
             context["stackoverflow_answers"],
             "StackOverflow Answers",
-            3,
+            caps.answers,
             lambda x: _text(
                 "### ", x["question_title"], " (score: ", x["score"], ")\n",
-                F.substring(x["answer_body"], 1, 1000), "\nSource: ", x["question_url"], "\n",
+                at_most(x["answer_body"], caps.answer_chars), "\nSource: ", x["question_url"], "\n",
             ),
         ),
         _section(
@@ -89,12 +109,12 @@ def prompt_text() -> Column:
     return F.array_join(parts, "\n")
 
 
-def build_prompts(records: DataFrame) -> DataFrame:
-    """[C10] (task_id, prompt): a prompt over 32,000 characters is cut there, as the prompt's
-    definition says, then the closing instruction follows."""
-    full = records.select("task_id", prompt_text().alias("full"))
-    body = F.when(
-        F.length("full") > K.PROMPT_MAX_CHARS,
-        F.concat(F.substring("full", 1, K.PROMPT_MAX_CHARS), F.lit(K.PROMPT_CUT)),
-    ).otherwise(F.col("full"))
+def build_prompts(records: DataFrame, caps: PromptCaps = PromptCaps()) -> DataFrame:  # noqa: B008
+    """[C10] (task_id, prompt): the record as text, then the closing instruction. A prompt longer
+    than ``caps.prompt_chars`` is cut there and says so."""
+    full = records.select("task_id", prompt_text(caps).alias("full"))
+    body = F.col("full")
+    if caps.prompt_chars is not None:
+        shortened = F.concat(at_most(body, caps.prompt_chars), F.lit(K.PROMPT_CUT))
+        body = F.when(F.length("full") > caps.prompt_chars, shortened).otherwise(body)
     return full.select("task_id", F.concat(body, F.lit(K.PROMPT_CLOSING)).alias("prompt"))

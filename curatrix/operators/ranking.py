@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from curatrix import constants as K
 from curatrix.functions.urls import url_domain
 
-# No valid request asks for more sources (F11), so a task never needs more ordered rows.
-MOST_SOURCES = K.SAFE_MAX_SOURCES
+
+def most(tasks: DataFrame, column: str) -> int:
+    """The largest number any task asks for: a bound that Spark can cut partitions to."""
+    return tasks.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
 
 
 def top_k(
@@ -32,8 +34,10 @@ def rank_snippets(scored: DataFrame, k: int, vectors: bool, ties: list[str] | No
     return top_k(scored, k, ties=ties)
 
 
-def first_rows(rows: DataFrame, k: int, by: list[str], order: list[str]) -> DataFrame:
-    """[W4, W5] The first ``k`` rows of each group in the given order."""
+def first_rows(rows: DataFrame, k: int | None, by: list[str], order: list[str]) -> DataFrame:
+    """[W4] The first ``k`` rows of each group in the given order, or all of them."""
+    if k is None:
+        return rows
     place = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= k).drop("_place")
 
@@ -44,7 +48,7 @@ def merge_hits(hits: DataFrame, max_items: int | None = None) -> DataFrame:
     payload = [c for c in hits.columns if c not in ("task_id", "url", "seq")]
     item = F.struct(*payload)
     merged = hits.groupBy("task_id", "url").agg(
-        F.max_by(item, F.struct(F.col("score"), -F.col("seq"))).alias("item"),
+        F.min_by(item, F.struct(-F.col("score"), F.col("seq"))).alias("item"),
         F.min("seq").alias("seq"),
     )
     merged = merged.select("task_id", "seq", "url", "item.*")
@@ -72,7 +76,7 @@ def select_urls(scored: DataFrame, tasks: DataFrame, per_domain: int = K.URLS_PE
 
     ``scored(task_id, seq, url, score)``, ``tasks(task_id, max_sources)``.
     """
-    ordered = top_k(best_per_url(scored), 2 * MOST_SOURCES)
+    ordered = top_k(best_per_url(scored), 2 * most(tasks, "max_sources"))
     wanted = ordered.join(tasks.select("task_id", "max_sources"), "task_id").filter(
         F.col("rank") <= 2 * F.col("max_sources")
     )

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix import constants as K
+
 
 def content_diversity(selected: DataFrame) -> DataFrame:
     """[A6] Distinct domains over selected urls per task."""
@@ -21,8 +23,8 @@ def ranked_figures(ranked: DataFrame, name: str) -> DataFrame:
     return ranked.groupBy("task_id").agg(
         F.count(F.lit(1)).alias(f"{name}s_ranked"),
         F.avg("score").alias(f"avg_{name}_relevance"),
-        F.count_if(F.col("score") >= 0.40).alias(f"critical_{name}s"),
-        F.count_if((F.col("score") >= 0.25) & (F.col("score") < 0.40)).alias(f"helpful_{name}s"),
+        F.count_if(F.col("score") >= K.CRITICAL).alias(f"critical_{name}s"),
+        F.count_if((F.col("score") >= K.HELPFUL) & (F.col("score") < K.CRITICAL)).alias(f"helpful_{name}s"),
     )
 
 
@@ -31,11 +33,15 @@ def row_counts(rows: DataFrame, name: str) -> DataFrame:
 
 
 def run_report(tasks: DataFrame, *parts: DataFrame) -> DataFrame:
-    """[A4] All figures side by side, one row per task, 0 where a task has none."""
+    """[A4] All figures side by side, one row per task, 0 where a task has none. Selected urls
+    without an extracted page are ``pages_failed``."""
     joined = reduce(
         lambda left, right: left.join(right, "task_id", "left"), parts, tasks.select("task_id")
     )
-    return joined.fillna(0)
+    filled = joined.fillna(0)
+    if {"sources_found", "pages_extracted"} <= set(filled.columns):
+        filled = filled.withColumn("pages_failed", F.col("sources_found") - F.col("pages_extracted"))
+    return filled
 
 
 def bucket_report(bucketed: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,8 +21,6 @@ from curatrix.operators.neardup import near_dedup
 from curatrix.session import cut_lineage
 from curatrix.sources import payloads
 
-CHUNKS_PER_DOC = 1 << 32  # seq of a chunk: its document's number times this, plus its place
-
 # (task text, item text) -> relevance in 0 .. 1, for pairs that are already joined
 PairScore = Callable[[Column, Column], Column]
 
@@ -31,7 +29,7 @@ def corpus_chunks(docs: DataFrame, doc_id: str, max_tokens: int = 500) -> DataFr
     """(doc_id, seq, chunk_no, text, tokens) of a document table, stored once for its readers."""
     chunks = chunk_documents(docs.select(doc_id, "text"), "text", max_tokens)
     return cut_lineage(
-        chunks.withColumn("seq", F.col(doc_id) * CHUNKS_PER_DOC + F.col("chunk_no"))
+        chunks.withColumn("seq", F.struct(F.col(doc_id).alias("doc"), F.col("chunk_no").alias("no")))
     )
 
 
@@ -89,7 +87,7 @@ def collect_urls(
     scored = scoring.score_candidates(ranking.merge_hits(web), tasks, K.WEB_MIN_RELEVANCE)
     if code is not None:
         merged = ranking.merge_hits(code)
-        placed = ranking.top_k(merged, ranking.MOST_SOURCES)
+        placed = ranking.top_k(merged, ranking.most(tasks, "max_sources"))
         first = placed.join(tasks.select("task_id", "max_sources"), "task_id").filter(
             F.col("rank") <= F.col("max_sources")
         )
@@ -144,7 +142,7 @@ def curate(
     pieces = chunk_documents(cut, "markdown", F.col("chunk_size"), counter)
     chunks = cut_lineage(
         sizes.join(pieces, ["source", "chunk_size"]).withColumn(
-            "seq", F.col("seq") * CHUNKS_PER_DOC + F.col("chunk_no")
+            "seq", F.struct(F.col("seq").alias("doc"), F.col("chunk_no").alias("no"))
         )
     )
     unique = near_dedup(chunks, "text", "seq", ["task_id"])
@@ -154,10 +152,10 @@ def curate(
         ranking.top_k(scored.drop("task"), K.TOP_CHUNKS), *K.CHUNK_PRUNE
     )
     snippets = doc_children(task_docs, "snippets").withColumn(
-        "seq", F.col("seq") * CHUNKS_PER_DOC + F.col("child_no")
+        "seq", F.struct(F.col("seq").alias("doc"), F.col("child_no").alias("no"))
     )
     scored = snippets.join(named, "task_id").withColumn("score", relevance(F.col("task"), F.col("code")))
-    top = ranking.top_k(scored.drop("task"), K.MAX_CODE_SNIPPETS[1]).join(
+    top = ranking.top_k(scored.drop("task"), ranking.most(tasks, "max_code_snippets")).join(
         tasks.select("task_id", "max_code_snippets"), "task_id"
     )
     top = top.filter(F.col("rank") <= F.col("max_code_snippets")).drop("max_code_snippets")
@@ -185,4 +183,4 @@ def curate(
 def bucket_order(snippets: DataFrame) -> DataFrame:
     """Snippets in the order patterns are looked for: critical before helpful, then by rank."""
     part = F.when(F.col("bucket") == "critical", 0).otherwise(1)
-    return snippets.withColumn("seq", part * CHUNKS_PER_DOC + F.col("rank"))
+    return snippets.withColumn("seq", F.struct(part.alias("part"), F.col("rank").alias("rank")))

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.sources.tables import spread
-
 SQL = {
     "tasks": """
         SELECT item_id AS task_id, text AS task,
@@ -58,7 +56,7 @@ SQL = {
         FROM {pages}""",
     "hosts": """
         SELECT page_id,
-               CASE page_id % 14
+               CASE page_id % 24
                     WHEN 0 THEN concat('10.', page_id % 256, '.0.1')
                     WHEN 1 THEN concat('172.', page_id % 40, '.3.4')
                     WHEN 2 THEN concat('192.168.', page_id % 300, '.9')
@@ -71,11 +69,11 @@ SQL = {
                     WHEN 9 THEN 'localhost'
                     WHEN 10 THEN concat('127.0.0.', page_id % 256)
                     WHEN 11 THEN concat('host', page_id, '.internal')
-                    ELSE concat('site-', page_id, '.example.org') END AS host
+                    ELSE regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) END AS host
         FROM {pages}""",
     "odd_urls": """
         SELECT page_id,
-               CASE page_id % 10
+               CASE page_id % 18
                     WHEN 0 THEN concat('ftp://files.example.org/', page_id)
                     WHEN 1 THEN concat('http:///path/', page_id)
                     WHEN 2 THEN concat('http://localhost:', page_id, '/admin')
@@ -89,14 +87,14 @@ SQL = {
         FROM {pages}""",
     "odd_domains": """
         SELECT page_id,
-               CASE page_id % 7
+               CASE page_id % 14
                     WHEN 0 THEN concat('Site', page_id, '.Example.ORG')
                     WHEN 1 THEN concat('-x', page_id, '.com')
                     WHEN 2 THEN concat('a..b', page_id)
                     WHEN 3 THEN repeat('abcdefgh.', 28 + CAST(page_id % 3 AS INT))
                     WHEN 4 THEN concat(repeat('z', 60 + CAST(page_id % 6 AS INT)), '.com')
                     WHEN 5 THEN ''
-                    ELSE concat('sub.domain', page_id, '.io') END AS domain
+                    ELSE regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) END AS domain
         FROM {pages}""",
     "crawl_pages": """
         SELECT page_id, url, CAST(200 + 100 * (page_id % 4) AS INT) AS status_code,
@@ -117,26 +115,26 @@ SQL = {
         FROM (SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin FROM {pages})
         WHERE length(origin) % 5 <> 0""",
     "hits": """
-        SELECT doc_id % 40 AS task_id, concat('q', doc_id % 3) AS query, doc_id AS seq,
-               left(text, 60) AS title,
+        SELECT doc_id % (SELECT greatest(count(*), 1) FROM {benchmark}) AS task_id, concat('q', doc_id % 3) AS query, doc_id AS seq,
+               split_part(text, chr(10), 1) AS title,
                CASE WHEN doc_id % 7 = 0 THEN '' ELSE
                     concat(CASE WHEN doc_id % 5 = 0 THEN 'https://docs.python.org/'
                                 ELSE concat('https://www.', source, '.example.com/') END,
                            lang, '/', doc_id % 60) END AS href,
                CASE WHEN doc_id % 14 = 0 THEN concat('https://m.', source, '.example.org/', doc_id)
                     ELSE '' END AS url,
-               left(text, 300) AS body
+               text AS body
         FROM {documents}""",
     "repo_items": """
-        SELECT doc_id % 40 AS task_id, doc_id AS seq, concat(source, '/', lang, doc_id) AS full_name,
+        SELECT doc_id % (SELECT greatest(count(*), 1) FROM {benchmark}) AS task_id, doc_id AS seq, concat(source, '/', lang, doc_id) AS full_name,
                CASE WHEN doc_id % 9 = 0 THEN '' ELSE concat('https://github.com/', source, '/', lang, doc_id)
                     END AS html_url,
-               CASE WHEN doc_id % 4 = 0 THEN NULL ELSE left(text, 200) END AS description,
+               CASE WHEN doc_id % 4 = 0 THEN NULL ELSE text END AS description,
                CASE WHEN doc_id % 6 = 0 THEN NULL ELSE n_chars * 37 END AS stargazers_count,
                CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'master' END AS default_branch
         FROM {documents}""",
     "code_items": """
-        SELECT doc_id % 40 AS task_id, doc_id AS seq,
+        SELECT doc_id % (SELECT greatest(count(*), 1) FROM {benchmark}) AS task_id, doc_id AS seq,
                CASE WHEN doc_id % 11 = 0 THEN '' ELSE
                     concat(CASE WHEN doc_id % 3 = 0 THEN 'lib/Examples/' ELSE 'src/' END, lang, doc_id,
                            CASE doc_id % 4 WHEN 0 THEN '.PY' WHEN 1 THEN '.rs' ELSE '.txt' END) END AS path,
@@ -145,8 +143,8 @@ SQL = {
                concat('https://github.com/', source, '/r') AS repo_url
         FROM {documents}""",
     "questions": """
-        SELECT conv_id % 40 AS task_id, conv_id AS seq, conv_id + 1000 AS question_id,
-               concat(left(text, 50), ' &lt;b&gt; &amp;amp; &#39;x&#39;') AS title,
+        SELECT conv_id % (SELECT greatest(count(*), 1) FROM {benchmark}) AS task_id, conv_id AS seq, conv_id + 1000 AS question_id,
+               concat(text, ' &lt;b&gt; &amp;amp; &#39;x&#39;') AS title,
                conv_id % 5 <> 0 AS is_answered,
                CASE WHEN conv_id % 7 = 0 THEN NULL ELSE conv_id * 10 + 1 END AS accepted_answer_id
         FROM {conversations} WHERE turn = 0""",
@@ -171,28 +169,28 @@ SQL = {
                       replace(text, '. ', concat(';', chr(10))), chr(10), '```', chr(10),
                       '## Part ', doc_id, chr(10), chr(10), '```', chr(10), 'one line only', chr(10),
                       '```', chr(10), '```js', chr(10), lang, ' = 1;', chr(10),
-                      '// ', left(text, 60), chr(10), '```', chr(10), '#### End  of ', lang, chr(10)) AS markdown
+                      '// ', text, chr(10), '```', chr(10), '#### End  of ', lang, chr(10)) AS markdown
         FROM {documents}""",
     "blocks": """
         SELECT doc_id, source,
                CASE doc_id % 6 WHEN 0 THEN 'language-py' WHEN 1 THEN 'highlight-JS' WHEN 2 THEN 'shell'
                     ELSE '' END AS class_name,
                CASE doc_id % 5
-                    WHEN 0 THEN concat('import os', chr(10), 'def f():', chr(10), left(text, 90))
+                    WHEN 0 THEN concat('import os', chr(10), 'def f():', chr(10), text)
                     WHEN 1 THEN concat('  $ run', chr(10), text)
-                    WHEN 2 THEN concat('a: 1', chr(10), '  b-c: 2', chr(10), 'd :3', chr(10), left(text, 40))
+                    WHEN 2 THEN concat('a: 1', chr(10), '  b-c: 2', chr(10), 'd :3', chr(10), text)
                     WHEN 3 THEN concat('const x = 1;', chr(10), text)
                     ELSE text END AS code
         FROM {documents}""",
     "code": """
-        SELECT doc_id % 40 AS task_id, doc_id AS seq, source,
+        SELECT doc_id % (SELECT greatest(count(*), 1) FROM {benchmark}) AS task_id, doc_id AS seq, source,
                replace(replace(replace(replace(replace(replace(replace(replace(text,
                    ' of ', ' TOKEN '), ' is ', ' login '), ' le ', ' select '), ' la ', ' commit '),
                    ' und ', ' try '), ' ist ', ' retry '), ' el ', ' redis '), ' los ', ' @cache ')
                    AS code
         FROM {documents}""",
     "log_rows": """
-        SELECT doc_id, concat('Bearer ', source, '.x ', left(text, 80), ' token = "', lang, doc_id, '"') AS msg,
+        SELECT doc_id, concat('Bearer ', source, '.x ', text, ' token = "', lang, doc_id, '"') AS msg,
                CASE WHEN doc_id % 2 = 0 THEN 'Token' ELSE 'note' END AS k,
                CASE WHEN doc_id % 3 = 0 THEN 'abcd' ELSE concat('value-', doc_id) END AS v,
                concat('sk-or-', 'v1-', lang, doc_id) AS item
@@ -212,8 +210,7 @@ BASE = [
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(table) if name in ("documents", "pages", "conversations") else table
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -93,7 +93,7 @@ def page_headings(t):
 
 
 @query(
-    f"""WITH {PAGE_TEXT} SELECT page_id, url AS source, title, summary, left(markdown, 30000) AS markdown
+    f"""WITH {PAGE_TEXT} SELECT page_id, url AS source, title, summary, markdown
     FROM summed"""
 )
 def extract_documents(t):
@@ -107,8 +107,8 @@ def _practices(text: str) -> str:
                lambda x: length(x) BETWEEN 40 AND 220 AND ({words}))"""
 
 
-TIPS = f"""p AS (SELECT doc_id, ({_practices('markdown')})[1:12] AS ps FROM advice),
-    tips AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS no, left(unnest(ps), 180) AS practice FROM p)"""
+TIPS = f"""p AS (SELECT doc_id, {_practices('markdown')} AS ps FROM advice),
+    tips AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS no, unnest(ps) AS practice FROM p)"""
 
 
 @query(
@@ -123,8 +123,8 @@ def best_practices(t):
 _CALL = rf"(?:^|[^\p{{L}}\p{{N}}_])([a-zA-Z_][\p{{L}}\p{{N}}_.]{{2,}})\(([^)]*)\)"
 
 
-REFERENCES = f"""c AS (SELECT doc_id, regexp_extract_all(markdown, '{_CALL}', 1)[1:20] AS names,
-                   regexp_extract_all(markdown, '{_CALL}', 2)[1:20] AS args FROM calls),
+REFERENCES = f"""c AS (SELECT doc_id, regexp_extract_all(markdown, '{_CALL}', 1) AS names,
+                   regexp_extract_all(markdown, '{_CALL}', 2) AS args FROM calls),
     r AS (SELECT doc_id, unnest(range(1, len(names) + 1)) AS no, unnest(names) AS function, unnest(args) AS args FROM c)"""
 
 
@@ -147,7 +147,7 @@ _FENCE = K.FENCE_PATTERN
                    regexp_extract_all(markdown, '{_FENCE}', 2) AS bodies FROM fences),
     r AS (SELECT doc_id, unnest(tags) AS tag, unnest(bodies) AS body FROM f),
     s AS (SELECT doc_id, coalesce(nullif(lower(tag), ''), 'text') AS language, {stripped('body')} AS code FROM r)
-    SELECT doc_id, language, left(code, 2000) AS code FROM s
+    SELECT doc_id, language, code FROM s
     WHERE length(code) >= 40 AND len({line_list('code')}) >= 2""",
     ("fences",),
 )
@@ -187,7 +187,7 @@ def guess_language(t):
 
 @query(
     f"""WITH b AS (SELECT doc_id, regexp_replace(code, '^[\\n ]+|[\\n ]+$', '', 'g') AS code FROM blocks)
-    SELECT doc_id, unnest([1, 2])::BIGINT AS no, left(code, 2000) AS code FROM b
+    SELECT doc_id, unnest([1, 2])::BIGINT AS no, code FROM b
     WHERE length(code) >= 40 AND len({line_list('code')}) >= 2""",
     ("blocks",),
 )
@@ -221,7 +221,7 @@ PATTERNS = f"""rules(pattern_type, description, type_no, rs) AS (VALUES {_RULES}
 
 
 @query(
-    f"""WITH {PATTERNS} SELECT seq, pattern_type, description, left(code, 1500) AS code_snippet,
+    f"""WITH {PATTERNS} SELECT seq, pattern_type, description, code AS code_snippet,
         round(confidence, 6) AS confidence FROM detected""",
     ("code",),
 )
@@ -237,7 +237,7 @@ def detect_patterns(t):
         SELECT *, row_number() OVER (PARTITION BY task_id, pattern_type ORDER BY confidence DESC, seq) AS place
         FROM detected)
     SELECT task_id, pattern_type, source, round_even(confidence, 3) AS confidence,
-           left(left(code, 1500), 1000) AS code_snippet FROM placed WHERE place = 1""",
+           code AS code_snippet FROM placed WHERE place = 1""",
     ("code",),
 )
 def best_patterns(t):

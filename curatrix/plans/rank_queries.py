@@ -182,7 +182,7 @@ def lexical_score(t):
     """Fuzzy score of every hit with its own task; no SQL states an alignment of this kind."""
     pairs = t("hits").join(t("tasks").select("task_id", "task"), "task_id")
     return pairs.select(
-        "task_id", "seq", F.round(lexical.lexical_score(F.col("task"), F.col("body")), 6).alias("score")
+        "task_id", "seq", F.round(lexical.lexical_score(F.col("task"), F.col("title")), 6).alias("score")
     )
 
 
@@ -190,12 +190,13 @@ def lexical_score(t):
 
 _VECTORS = """unit AS MATERIALIZED (SELECT vec_id, embedding, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings),
     scored AS (SELECT a.vec_id AS task_id, b.vec_id AS item_id, list_cosine_similarity(a.v, b.v) AS score
-               FROM unit a, unit b WHERE a.vec_id % 25 = 0)"""
+               FROM unit a, unit b WHERE a.vec_id % 100 = 0)"""
 
 
 def _vector_ranked(t, k):
     vecs = t("embeddings")
-    asked = vecs.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("task_id"), "embedding")
+    # The stated query set: ids divisible by 100, against all vectors.
+    asked = vecs.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("task_id"), "embedding")
     items = vecs.select(F.col("vec_id").alias("item_id"), "embedding")
     return ranking.top_k(scoring.vector_scores(asked, items, k), k, ties=["item_id"])
 
@@ -236,7 +237,7 @@ def cosine_neighbours(t):
 
 _GATE = f"""{ANSWER_SQL}, words AS (SELECT task_id, {TERMS} AS terms FROM tasks),
     gated AS MATERIALIZED (
-        SELECT answer.*, len(list_filter(terms, lambda w: contains(lower(question_title || ' ' || left(answer_body, 800)), w)))::DOUBLE
+        SELECT answer.*, len(list_filter(terms, lambda w: contains(lower(question_title || ' ' || answer_body), w)))::DOUBLE
                / len(terms) AS relevance FROM answer JOIN words USING (task_id) WHERE len(terms) > 0)"""
 
 
@@ -271,7 +272,7 @@ def _parts(t):
             F.col("doc_id").alias("seq"),
             source.alias("source"),
             F.concat(F.lit("Doc "), F.col("doc_id")).alias("title"),
-            F.substring("text", 1, 100).alias("summary"),
+            F.col("text").alias("summary"),
             E.api_references(F.col("called")).alias("refs"),
             E.best_practices(F.col("markdown")).alias("tips"),
         )
@@ -311,7 +312,7 @@ _SHOWN = f"""{_DOC_BUCKETS}, {_CODE_RANKED},
                   FROM bucketed GROUP BY task_id),
     shown AS MATERIALIZED (SELECT task_id, rank, doc_id, bucket, score,
               'https://' || source || '.example.com/' || doc_id AS source,
-              left(text, CASE WHEN bucket = 'critical' THEN 400 ELSE 300 END) AS key_detail
+              text AS key_detail
               FROM bucketed JOIN documents USING (doc_id) JOIN criticals USING (task_id)
               WHERE bucket = 'critical' OR ambiguous),
     code_shown AS MATERIALIZED (SELECT * FROM (
@@ -345,9 +346,9 @@ def context_snippets(t):
 
 @query(
     f"""WITH {_SHOWN}, kept AS (
-        SELECT task_id, doc_id, row_number() OVER (PARTITION BY task_id ORDER BY doc_id) AS no, left(text, 100) AS summary
+        SELECT task_id, doc_id, row_number() OVER (PARTITION BY task_id ORDER BY doc_id) AS no, text AS summary
         FROM documents d JOIN sources ON sources.source = 'https://' || d.source || '.example.com/' || doc_id)
-    SELECT task_id, no, 'Doc ' || doc_id AS title, summary FROM kept WHERE no <= 20""",
+    SELECT task_id, no, 'Doc ' || doc_id AS title, summary FROM kept""",
     ("tasks", "code"),
 )
 def context_concepts(t):
@@ -374,17 +375,17 @@ _KEPT_DOCS = """kept_docs AS (
         JOIN sources ON sources.source = 'https://' || d.source || '.example.com/' || doc_id)"""
 
 
-def _first_of_key(rows: str, key: str, cap: int) -> str:
+def _first_of_key(rows: str, key: str) -> str:
     return f"""keyed AS (
         SELECT *, row_number() OVER (PARTITION BY task_id, {key} ORDER BY doc_id, no) AS copy
         FROM kept_docs JOIN {rows} USING (doc_id) WHERE {key} <> ''),
     numbered AS (SELECT * REPLACE (row_number() OVER (PARTITION BY task_id ORDER BY doc_id, no) AS no)
                  FROM keyed WHERE copy = 1)
-    SELECT task_id, no, source, {key} FROM numbered WHERE no <= {cap}"""
+    SELECT task_id, no, source, {key} FROM numbered"""
 
 
 @query(
-    f"WITH {_SHOWN}, {_KEPT_DOCS}, {REFERENCES}, {_first_of_key('r', 'function', 30)}",
+    f"WITH {_SHOWN}, {_KEPT_DOCS}, {REFERENCES}, {_first_of_key('r', 'function')}",
     ("tasks", "code", "calls"),
 )
 def context_references(t):
@@ -392,7 +393,7 @@ def context_references(t):
 
 
 @query(
-    f"WITH {_SHOWN}, {_KEPT_DOCS}, {TIPS}, {_first_of_key('tips', 'practice', 20)}",
+    f"WITH {_SHOWN}, {_KEPT_DOCS}, {TIPS}, {_first_of_key('tips', 'practice')}",
     ("tasks", "code", "advice"),
 )
 def context_practices(t):
@@ -405,7 +406,7 @@ def context_practices(t):
     firsts AS (SELECT *, row_number() OVER (PARTITION BY task_id, pattern_type ORDER BY confidence DESC, bucket, rank) AS place,
                min(struct_pack(b := bucket, r := rank, t := type_no)) OVER (PARTITION BY task_id, pattern_type) AS seen FROM detected)
     SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY confidence DESC, seen) AS no, pattern_type, source,
-           round_even(confidence, 3) AS confidence, left(code, 1000) AS code_snippet
+           round_even(confidence, 3) AS confidence, code AS code_snippet
     FROM firsts WHERE place = 1""",
     ("tasks", "code"),
 )
@@ -415,7 +416,7 @@ def context_patterns(t):
 
 @query(
     f"""WITH {_GATE} SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS no, question_title,
-    left(answer_body, 2000) AS answer_body, score FROM gated WHERE relevance >= 0.22""",
+    answer_body, score FROM gated WHERE relevance >= 0.22""",
     ("questions", "answers", "tasks"),
 )
 def context_answers(t):
@@ -436,7 +437,7 @@ def unique_by_key(t):
 
 @query(
     f"""WITH {_DOC_BUCKETS}, linked AS (SELECT DISTINCT task_id, 'src' || doc_id % 20 AS source FROM bucketed),
-    pool AS (SELECT task_id, doc_id, 'src' || doc_id % 20 AS source FROM tasks, documents WHERE doc_id % 40 = task_id)
+    pool AS (SELECT task_id, doc_id, 'src' || doc_id % 20 AS source FROM tasks, documents WHERE doc_id % (SELECT count(*) FROM tasks) = task_id)
     SELECT task_id, doc_id FROM pool WHERE task_id NOT IN (SELECT task_id FROM linked)
        OR (task_id, source) IN (SELECT (task_id, source) FROM linked)""",
     ("tasks",),
@@ -444,7 +445,8 @@ def unique_by_key(t):
 def docs_of_sources(t):
     source = F.concat(F.lit("src"), F.col("doc_id") % 20)
     kept = assemble.kept_sources(_bucketed(t).select("task_id", source.alias("source")))
-    pool = t("documents").select((F.col("doc_id") % 40).alias("task_id"), "doc_id", source.alias("source"))
+    n = t("tasks").agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    pool = t("documents").select((F.col("doc_id") % n).alias("task_id"), "doc_id", source.alias("source"))
     pool = pool.join(t("tasks").select("task_id"), "task_id")
     return assemble.docs_of_sources(pool, kept).select("task_id", "doc_id")
 

@@ -262,7 +262,7 @@ def chunk_paragraphs(t):
 
 @query(
     """SELECT doc_id, 'page_' || substring(sha256(text), 1, 16) AS page_key,
-       'emb_' || substring(sha256(substring(text, 1, 500)), 1, 16) AS embedding_key,
+       'emb_' || substring(sha256(text), 1, 16) AS embedding_key,
        'task_' || substring(sha256(text || '_' || sha256(lang || '|' || source || '|a,b|' || n_chars)), 1, 16) AS task_key
        FROM documents"""
 )

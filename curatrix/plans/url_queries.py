@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from curatrix import constants as K
@@ -9,7 +11,8 @@ from curatrix.functions import urls as U
 from curatrix.operators import filters, ranking, report
 from curatrix.plans.curate import collect_urls
 from curatrix.plans.registry import WS, query, quoted
-from curatrix.sources import payloads
+from curatrix.session import shared_folder
+from curatrix.sources import payloads, tables
 from curatrix.sources.tables import CODE_ITEMS, REPO_ITEMS
 
 AUTHORITY = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
@@ -129,7 +132,7 @@ def domain_errors(t):
 
 @query(
     """SELECT page_id, CAST(length(text) AS BIGINT) AS n FROM crawl_pages
-    WHERE status_code < 400 AND length(text) <= 200000
+    WHERE status_code < 400 AND text IS NOT NULL
       AND regexp_matches(content_type, 'text|json|markdown|xhtml|xml')""",
     ("crawl_pages",),
 )
@@ -138,6 +141,45 @@ def fetched_ok(t):
     return good.select("page_id", F.length("text").cast("bigint").alias("n"))
 
 
+@query(
+    """SELECT url, status_code, content_type, sha256(text) AS text_sha256 FROM crawl_pages
+    WHERE status_code < 400""",
+    ("crawl_pages",),
+)
+def pages_read(t):
+    """Crawl pages written as a table and read with their declared schema."""
+    pages = t("crawl_pages").withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp"))
+    folder = f"{shared_folder(pages.sparkSession)}/pages-{uuid.uuid4().hex}"
+    pages.drop("page_id").write.parquet(folder)
+    read = tables.read_pages(pages.sparkSession, folder).filter("status_code < 400")
+    return read.select("url", "status_code", "content_type", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("SELECT page_id, CAST(status_code AS VARCHAR) AS run_date, url FROM crawl_pages", ("crawl_pages",))
+def results_written(t):
+    """Rows appended under their run date, read back with the date from the folders."""
+    rows = t("crawl_pages").select("page_id", "url", "status_code")
+    folder = f"{shared_folder(rows.sparkSession)}/results-{uuid.uuid4().hex}"
+    tables.write_results(rows, folder, F.col("status_code").cast("string"))
+    return rows.sparkSession.read.schema("page_id bigint, url string, run_date string").json(folder)
+
+
+@query(
+    """SELECT key, max(ts) AS cached_at, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS payload
+    FROM (SELECT *, concat('u', user_id) AS key FROM events) GROUP BY key"""
+)
+def cache_written(t):
+    """Entries of every event appended in two parts; readers take the newest entry of a key."""
+    events = t("events").select(F.concat(F.lit("u"), "user_id").alias("key"), F.col("ts").alias("cached_at"), "event_id", "event_type")
+    entries = events.withColumn("payload", F.concat_ws(":", F.lpad(F.col("event_id").cast("string"), 20, "0"), "event_type"))
+    folder = f"{shared_folder(events.sparkSession)}/cache-{uuid.uuid4().hex}"
+    tables.write_cache(entries.filter("event_id % 2 = 0"), folder)
+    tables.write_cache(entries.filter("event_id % 2 <> 0"), folder)
+    read = tables.read_cache(events.sparkSession, folder)
+    newest = read.groupBy("key").agg(F.max(F.struct("cached_at", "payload")).alias("e"))
+    return newest.select("key", "e.cached_at", F.substring_index("e.payload", ":", -1).alias("payload"))
+
+
 @query("SELECT doc_id FROM documents WHERE length(text) >= 200")
 def min_page_length(t):
     return filters.long_enough(t("documents")).select("doc_id")
@@ -180,6 +222,12 @@ def merge_hits(t):
     return ranking.merge_hits(payloads.search_hits(t("hits"))).drop("source")
 
 
+def _numbered(rows):
+    """One number for (payload, item, row), as the SQL has it for payloads of one good item."""
+    seq = F.col("seq")
+    return rows.withColumn("seq", seq["seq"] * 1048576 + seq["no"] * 2 + seq["k"]).drop("source")
+
+
 def _repo_payload(t):
     rows = t("repo_items")
     item = F.struct("full_name", "html_url", "description", "stargazers_count", "default_branch")
@@ -202,7 +250,7 @@ _REPO = """repo AS (
 
 @query(f"WITH {_REPO} SELECT * REPLACE (round(score, 6) AS score) FROM repo", ("repo_items",))
 def github_repo_candidates(t):
-    rows = payloads.github_repo_candidates(_repo_payload(t)).drop("source")
+    rows = _numbered(payloads.github_repo_candidates(_repo_payload(t)))
     return rows.withColumn("score", F.round("score", 6))
 
 
@@ -231,12 +279,11 @@ _CODE = """scored AS (
 
 @query(f"WITH {_CODE} SELECT * REPLACE (round(score, 6) AS score) FROM code", ("code_items",))
 def github_code_candidates(t):
-    rows = payloads.github_code_candidates(_code_payload(t)).drop("source")
+    rows = _numbered(payloads.github_code_candidates(_code_payload(t)))
     return rows.withColumn("score", F.round("score", 6))
 
 
-ANSWER_SQL = f"""first_questions AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS place FROM questions),
-    answer AS (
+ANSWER_SQL = f"""answer AS (
         SELECT q.task_id, q.seq,
                replace(replace(replace(replace(q.title, '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')
                    AS question_title,
@@ -244,8 +291,8 @@ ANSWER_SQL = f"""first_questions AS (SELECT *, row_number() OVER (PARTITION BY t
                regexp_replace(replace(regexp_replace(body, '</?[a-zA-Z][^>]*>', chr(10), 'g'), '&lt;', '<'),
                               '^{WS}+|{WS}+$', '', 'g') AS answer_body,
                CAST(a.score AS BIGINT) AS score
-        FROM first_questions q JOIN answers a ON a.answer_id = q.accepted_answer_id
-        WHERE q.is_answered AND place <= 5)"""
+        FROM questions q JOIN answers a ON a.answer_id = q.accepted_answer_id
+        WHERE q.is_answered)"""
 
 
 def answers_of(t):

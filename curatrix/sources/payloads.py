@@ -10,9 +10,6 @@ from curatrix.functions.extract import answer_text, unescape_html
 from curatrix.functions.text import contains_any, text_or_empty
 from curatrix.functions.urls import domain_boost
 
-ITEMS_PER_PAYLOAD = 1 << 20  # seq of an item: its payload's seq times this, plus its place
-
-
 def search_hits(hits: DataFrame, per_query: int = 8) -> DataFrame:
     """[S2] The first ``per_query`` hits of each (task, query) that have a url, as candidates."""
     engine_order = Window.partitionBy("task_id", "query").orderBy("seq")
@@ -36,7 +33,8 @@ def _two_rows(payload: DataFrame, keep: Column, first: Column, second: Column) -
     rows = items.select("task_id", "seq", "no", F.posexplode(F.array(first, second)).alias("k", "c"))
     return rows.select(
         "task_id",
-        (F.col("seq") * ITEMS_PER_PAYLOAD + F.col("no") * 2 + F.col("k")).alias("seq"),
+        # Order of a candidate: its payload, its item, then which of the item's two rows it is.
+        F.struct("seq", "no", "k").alias("seq"),
         F.lit("github").alias("source"),
         "c.title",
         "c.url",
@@ -111,14 +109,15 @@ def github_code_candidates(payload: DataFrame) -> DataFrame:
 
 
 def stackoverflow_answers(
-    questions: DataFrame, answers: DataFrame, max_results: int = 5
+    questions: DataFrame, answers: DataFrame, max_results: int | None = None
 ) -> DataFrame:
-    """[S5, J1] Of the first ``max_results`` questions of a task those that are answered, with
-    their accepted answer as plain text, in question order."""
-    order = Window.partitionBy("task_id").orderBy("seq")
-    first = questions.withColumn("_place", F.row_number().over(order)).filter(
-        F.col("_place") <= max_results
-    )
+    """[S5, J1] The questions of a task that are answered, of the first ``max_results`` where a
+    number is asked for, with their accepted answer as plain text, in question order."""
+    first = questions
+    if max_results is not None:
+        order = Window.partitionBy("task_id").orderBy("seq")
+        placed = questions.withColumn("_place", F.row_number().over(order))
+        first = placed.filter(F.col("_place") <= max_results)
     asked = first.filter(F.col("is_answered") & F.col("accepted_answer_id").isNotNull())
     found = answers.select(
         F.col("answer_id").alias("accepted_answer_id"), "body", F.col("score").alias("score")

@@ -67,12 +67,3 @@ def write_cache(entries: DataFrame, path: str) -> None:
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """[S7]"""
     return read_table(spark, path, CACHE)
-
-
-def spread(table: DataFrame) -> DataFrame:
-    """A table in fewer parts than there are cores is dealt out, so that text work uses them all.
-
-    Large tables have more splits than that and are left as they are, without a shuffle.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

@@ -60,9 +60,12 @@ def test_limits(spark):
     ]
     found = docs(spark, pages)
     assert "http://h/1" not in found and found["http://h/2"].title == "http://h/2"
-    assert len(found["http://h/3"].headings) == 20 and len(found["http://h/3"].api_references) == 20
-    assert len(found["http://h/4.md"].best_practices) == 12
-    assert len(found["http://h/4.md"].markdown) == 30000 and len(found["http://h/4.md"].summary) <= 400
+    assert len(found["http://h/3"].headings) == 30 and len(found["http://h/3"].api_references) == 31
+    assert len(found["http://h/4.md"].best_practices) == 20
+    assert len(found["http://h/4.md"].markdown) > 40000 and len(found["http://h/4.md"].summary) <= 400
+    frame = spark.createDataFrame(pages, "url string, content_type string, text string")
+    short = {r.source: r for r in extract_documents(frame, body_chars=100, max_headings=20).collect()}
+    assert len(short["http://h/3"].headings) == 20 and len(short["http://h/4.md"].markdown) == 100
 
 
 def test_practice_line_lengths(spark):
@@ -72,7 +75,7 @@ def test_practice_line_lengths(spark):
     text = "\n".join([line(39), line(40), "  " + line(220) + "  ", line(221), "x" * 50])
     df = spark.createDataFrame([(text,)], "t string")
     got = df.select(E.best_practices(F.col("t")).alias("p")).first().p
-    assert [len(p.practice) for p in got] == [40, 180]
+    assert [len(p.practice) for p in got] == [40, 220]
 
 
 def test_calls_need_three_letters(spark):
@@ -106,7 +109,8 @@ def test_page_filters(spark):
         ("e", 200, "TEXT/HTML", "x"), ("f", 200, "text/x", "y" * 200_000), ("g", 200, "text/x", "y" * 200_001),
     ]
     df = spark.createDataFrame(rows, "url string, status_code int, content_type string, text string")
-    assert sorted(r.url for r in filters.fetched_ok(df).collect()) == ["a", "d", "f"]
+    assert sorted(r.url for r in filters.fetched_ok(df).collect()) == ["a", "d", "f", "g"]
+    assert sorted(r.url for r in filters.fetched_ok(df, max_chars=200_000).collect()) == ["a", "d", "f"]
     spam = spark.createDataFrame([("Best PRICE", "x"), ("ok", "with Coupon"), ("ok", None), ("fine", "ok")], "title string, summary string")
     assert filters.not_spam(spam).count() == 2
 

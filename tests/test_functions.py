@@ -132,7 +132,7 @@ def test_hashes(spark):
     sizes = [len(x) for x in column(spark, ["a b c d", "a b c d e", "a b c d e f", "a b c d e a b c d e a", ""], X.shingles)]
     assert sizes == [1, 1, 2, 5, 1]
     keys = column(spark, ["x" * 500, "x" * 501], X.embedding_cache_key)
-    assert keys[0] == keys[1] and keys[0].startswith("emb_") and len(keys[0]) == 20
+    assert keys[0] != keys[1] and keys[0].startswith("emb_") and len(keys[0]) == 20
 
 
 def test_terms_and_relevance(spark):

@@ -1,9 +1,11 @@
+from functools import partial
+
 import pytest
 from pyspark.sql import functions as F
 
 from curatrix import constants as K
 from curatrix.operators import assemble
-from curatrix.operators.prompts import build_prompts
+from curatrix.operators.prompts import PromptCaps, build_prompts
 from curatrix.plans.curate import curate
 from curatrix.sources import payloads, tables
 
@@ -55,10 +57,10 @@ def test_helpful_rows_need_fewer_than_three_critical(spark, criticals, helpful):
     code = [snippet(1, 0.5), snippet(2, 0.3)]
     r = record(spark, rows, code).first()
     assert [x.bucket for x in r.relevant_context] == ["critical"] * criticals + ["helpful"] * helpful
-    assert {len(x.key_detail) for x in r.relevant_context if x.bucket == "critical"} == {400}
+    assert {len(x.key_detail) for x in r.relevant_context if x.bucket == "critical"} == {500}
     assert len(r.context.code_snippets) == 1 + helpful
     if helpful:
-        assert len(r.relevant_context[-1].key_detail) == 300
+        assert len(r.relevant_context[-1].key_detail) == 500
     assert r.open_questions == [K.NO_ANSWERS]
 
 
@@ -66,7 +68,7 @@ def test_caps_rounding_and_order(spark):
     rows = [chunk(i + 1, 0.5625) for i in range(40)]
     code = [snippet(i + 1, 0.9 - i / 100) for i in range(6)]
     r = record(spark, rows, code, most=4).first()
-    assert len(r.relevant_context) == 30 and r.relevant_context[0].relevance_score == 0.562
+    assert len(r.relevant_context) == 40 and r.relevant_context[0].relevance_score == 0.562
     assert [x.relevance_score for x in r.context.code_snippets] == [0.9, 0.89, 0.88, 0.87]
 
 
@@ -75,11 +77,22 @@ def test_doc_lists(spark):
     docs[2] = doc(2, "s2", summary="")
     rows = [chunk(i + 1, 0.9, f"s{i}") for i in range(28)]
     c = record(spark, rows, docs=docs).first().context
-    assert [x.title for x in c.concepts] == [f"t{i}" for i in range(21) if i != 2]
+    assert [x.title for x in c.concepts] == [f"t{i}" for i in range(28) if i != 2]
     names = [x.function for x in c.api_references]
-    assert names[:10] == [f"f0.{j}" for j in range(8)] + ["same", "f1.0"] and len(names) == 30
+    assert names[:10] == [f"f0.{j}" for j in range(8)] + ["same", "f1.0"] and len(names) == 27 * 8 + 1
     assert names.count("same") == 1
-    assert len(c.best_practices) == 20 and all(x.practice for x in c.best_practices)
+    assert len(c.best_practices) == 27 * 6 and all(x.practice for x in c.best_practices)
+
+
+def test_asked_for_caps(spark):
+    caps = assemble.Caps(chunks=3, concepts=2, references=4, practices=1, critical_chars=5, answer_chars=6)
+    docs = [doc(i, f"s{i}", [f"f{i}"], [f"p{i}"]) for i in range(9)]
+    rows = [chunk(i + 1, 0.9, f"s{i}", text="c" * 50) for i in range(9)]
+    answers = [(1, 1, "Q", "u", "b" * 50, 5, True, [])]
+    r = record(spark, rows, docs=docs, answers=answers, make=partial(assemble.assemble_context, caps=caps)).first()
+    assert [x.key_detail for x in r.relevant_context] == ["c" * 5] * 3
+    sizes = [len(r.context[x]) for x in ("concepts", "api_references", "best_practices")]
+    assert sizes == [2, 4, 1] and r.context.stackoverflow_answers[0].answer_body == "b" * 6
 
 
 def test_patterns_and_answers(spark):
@@ -87,8 +100,8 @@ def test_patterns_and_answers(spark):
     answers = [(1, 2, "Q2", "u", "b" * 3000, 4, True, ["python"]), (1, 1, "Q1", "u", "b", 5, True, [])]
     c = record(spark, patterns=patterns, answers=answers).first().context
     assert [x.pattern_type for x in c.implementation_patterns] == ["logging", "api_client", "caching"]
-    assert len(c.implementation_patterns[2].code_snippet) == 1000
-    assert [(x.question_title, len(x.answer_body)) for x in c.stackoverflow_answers] == [("Q1", 1), ("Q2", 2000)]
+    assert len(c.implementation_patterns[2].code_snippet) == 1500
+    assert [(x.question_title, len(x.answer_body)) for x in c.stackoverflow_answers] == [("Q1", 1), ("Q2", 3000)]
 
 
 def test_flat_layout(spark):
@@ -128,9 +141,11 @@ def test_prompt(spark):
 
 def test_long_prompt_is_cut(spark):
     docs = [doc(i, f"s{i}", summary="x" * 5000) for i in range(12)]
-    prompt = build_prompts(record(spark, [chunk(i + 1, 0.9, f"s{i}") for i in range(12)], docs=docs)).first().prompt
+    full = record(spark, [chunk(i + 1, 0.9, f"s{i}") for i in range(12)], docs=docs)
+    assert K.PROMPT_CUT not in build_prompts(full).first().prompt
+    prompt = build_prompts(full, PromptCaps(concepts=10, prompt_chars=32_000)).first().prompt
     assert prompt.endswith(K.PROMPT_CUT + K.PROMPT_CLOSING)
-    assert len(prompt) == K.PROMPT_MAX_CHARS + len(K.PROMPT_CUT) + len(K.PROMPT_CLOSING)
+    assert len(prompt) == 32_000 + len(K.PROMPT_CUT) + len(K.PROMPT_CLOSING)
 
 
 def test_search_hits(spark):
