@@ -451,17 +451,160 @@ def docs_of_sources(t):
     return assemble.docs_of_sources(pool, kept).select("task_id", "doc_id")
 
 
-@query()
+_FOUND_PATTERNS = f"""{PATTERNS.replace('FROM code, rules', 'FROM (SELECT task_id, seq, source, code, bucket, rank FROM snip_kept) code, rules')
+        .replace('SELECT task_id, seq, source, code, pattern_type', 'SELECT task_id, bucket, rank, source, code, pattern_type')},
+    firsts AS (SELECT *, row_number() OVER (PARTITION BY task_id, pattern_type ORDER BY confidence DESC, bucket, rank) AS place,
+               min(struct_pack(b := bucket, r := rank, t := type_no)) OVER (PARTITION BY task_id, pattern_type) AS seen FROM detected),
+    l_patterns AS (SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY confidence DESC, seen) AS no, pattern_type,
+                   description, code, round_even(confidence, 3) AS confidence FROM firsts WHERE place = 1)"""
+
+
+def _unique(name: str, rows: str, key: str) -> str:
+    return f"""{name}_keyed AS (SELECT *, row_number() OVER (PARTITION BY task_id, {key} ORDER BY doc_id, no) AS copy
+                 FROM kept_docs JOIN {rows} USING (doc_id) WHERE {key} <> ''),
+    {name} AS (SELECT * REPLACE (row_number() OVER (PARTITION BY task_id ORDER BY doc_id, no) AS no) FROM {name}_keyed WHERE copy = 1)"""
+
+
+def _lists(kept: str) -> str:
+    """CTEs of the documents' lists, for documents whose sources ``kept`` lists, and of the rest."""
+    return f"""{kept}, {REFERENCES}, {TIPS}, {_unique('l_refs', 'r', 'function')}, {_unique('l_tips', 'tips', 'practice')},
+    l_concepts AS (SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY doc_id) AS no, 'Doc ' || doc_id AS title,
+                   text AS summary, k.source FROM kept_docs k JOIN documents USING (doc_id) WHERE text <> ''),
+    {_FOUND_PATTERNS}, {_GATE},
+    l_answers AS (SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS no, question_title, question_url,
+                  answer_body, score FROM gated WHERE relevance >= 0.22)"""
+
+
+_RECORD = f"""{_SHOWN}, {_lists(_KEPT_DOCS)},
+    l_chunks AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY bucket, rank) AS no FROM shown),
+    flags AS (SELECT task_id, task_id NOT IN (SELECT task_id FROM code_shown) AS no_code,
+                     task_id NOT IN (SELECT task_id FROM l_answers) AS no_answers,
+                     task_id NOT IN (SELECT task_id FROM l_refs) AS no_refs,
+                     coalesce(ambiguous, true) AND coalesce(helpful, 0) = 0 AS few
+              FROM tasks LEFT JOIN criticals USING (task_id)),
+    said AS (SELECT task_id, 1 AS no, '{K.NO_CODE}' AS s FROM flags WHERE no_code UNION ALL
+             SELECT task_id, 2, '{K.NO_ANSWERS}' FROM flags WHERE no_answers UNION ALL
+             SELECT task_id, 3, '{K.FEW_CHUNKS}' FROM flags WHERE few),
+    next AS (SELECT task_id, 1 AS no, '{K.NEXT_EXAMPLES}' AS s FROM flags WHERE no_code UNION ALL
+             SELECT task_id, 2, '{K.NEXT_API}' FROM flags WHERE no_refs)"""
+_RECORD_USES = ("tasks", "code", "questions", "answers", "calls", "advice")
+
+
+def _long(records, lists, sentences=()):
+    """(task_id, list, no, a, b): one row per element of the lists {name: (column, a, b)}."""
+
+    def rows(name, column, a, b):
+        return F.transform(
+            column,
+            lambda x, i: F.struct(
+                F.lit(name).alias("list"), i.cast("bigint").alias("place"), x[a].alias("a"), x[b].cast("string").alias("b")
+            ),
+        )
+
+    def lines(name):
+        return F.transform(
+            name,
+            lambda x, i: F.struct(F.lit(name).alias("list"), i.cast("bigint").alias("place"), x.alias("a"), F.lit("").alias("b")),
+        )
+
+    every = F.concat(*(rows(n, *of) for n, of in lists.items()), *map(lines, sentences))
+    each = records.select("task_id", F.explode_outer(every).alias("x")).filter("x IS NOT NULL").select("task_id", "x.*")
+    # The elements of a list of sentences are numbered by what they say, all others by their place.
+    fixed = F.create_map(*(F.lit(v) for k, n in _SENTENCES.items() for v in (k, n)))
+    said = F.col("list").isin(*sentences) if sentences else F.lit(False)
+    no = F.when(said, F.coalesce(F.try_element_at(fixed, "a"), F.lit(0)).cast("bigint")).otherwise(F.col("place") + 1)
+    return each.select("task_id", "list", no.alias("no"), "a", "b")
+
+
+_SENTENCES = {K.NO_CODE: 1, K.NO_ANSWERS: 2, K.FEW_CHUNKS: 3, K.NEXT_EXAMPLES: 1, K.NEXT_API: 2}
+
+
+@query(
+    f"""WITH {_RECORD}
+    SELECT task_id, 'chunk' AS list, no, source AS a, key_detail AS b FROM l_chunks
+    UNION ALL SELECT task_id, 'code', place, source, code FROM code_shown
+    UNION ALL SELECT task_id, 'concept', no, title, summary FROM l_concepts
+    UNION ALL SELECT task_id, 'reference', no, function, source FROM l_refs
+    UNION ALL SELECT task_id, 'practice', no, practice, source FROM l_tips
+    UNION ALL SELECT task_id, 'pattern', no, pattern_type, confidence::VARCHAR FROM l_patterns
+    UNION ALL SELECT task_id, 'answer', no, question_title, answer_body FROM l_answers
+    UNION ALL SELECT task_id, 'open_questions', no, s, '' FROM said
+    UNION ALL SELECT task_id, 'recommended_next_context', no, s, '' FROM next""",
+    _RECORD_USES,
+)
 def assemble_context(t):
-    return _records(t)
+    """The whole record of every task, one row per element of each list."""
+    lists = {
+        "chunk": ("relevant_context", "source", "key_detail"),
+        "code": ("context.code_snippets", "source", "code"),
+        "concept": ("context.concepts", "title", "summary"),
+        "reference": ("context.api_references", "function", "source"),
+        "practice": ("context.best_practices", "practice", "source"),
+        "pattern": ("context.implementation_patterns", "pattern_type", "confidence"),
+        "answer": ("context.stackoverflow_answers", "question_title", "answer_body"),
+    }
+    return _long(_records(t), lists, ("open_questions", "recommended_next_context"))
+
+
+_ALL_DOCS = """linked AS (
+        SELECT task_id, 'https://' || source || '.example.com/' || doc_id AS source FROM bucketed JOIN documents USING (doc_id)
+        UNION SELECT task_id, source FROM snip_kept),
+    kept_docs AS (
+        SELECT task_id, doc_id, linked.source FROM documents d
+        JOIN linked ON linked.source = 'https://' || d.source || '.example.com/' || doc_id)"""
 
 
-@query()
+@query(
+    f"""WITH {_DOC_BUCKETS}, {_CODE_RANKED}, {_lists(_ALL_DOCS)}
+    SELECT task_id, 'chunk' AS list, row_number() OVER (PARTITION BY task_id ORDER BY rank) AS no, text AS a,
+           'https://' || source || '.example.com/' || doc_id AS b FROM bucketed JOIN documents USING (doc_id)
+    UNION ALL SELECT task_id, 'code', row_number() OVER (PARTITION BY task_id ORDER BY rank), source, code
+              FROM snip_kept JOIN tasks USING (task_id) WHERE rank <= max_code_snippets
+    UNION ALL SELECT task_id, 'concept', no, title, summary FROM l_concepts
+    UNION ALL SELECT task_id, 'reference', no, function, source FROM l_refs
+    UNION ALL SELECT task_id, 'practice', no, practice, source FROM l_tips
+    UNION ALL SELECT task_id, 'pattern', no, pattern_type, confidence::VARCHAR FROM l_patterns
+    UNION ALL SELECT task_id, 'answer', no, question_title, answer_body FROM l_answers""",
+    _RECORD_USES,
+)
 def assemble_flat(t):
-    return assemble.assemble_flat(*_parts(t))
+    """The older layout of every task, one row per element of each list."""
+    lists = {
+        "chunk": ("context.llm_chunks", "text", "source"),
+        "code": ("context.code_snippets", "source", "code"),
+        "concept": ("context.concepts", "title", "summary"),
+        "reference": ("context.api_references", "function", "source"),
+        "practice": ("context.best_practices", "practice", "source"),
+        "pattern": ("context.implementation_patterns", "pattern_type", "confidence"),
+        "answer": ("context.stackoverflow_answers", "question_title", "answer_body"),
+    }
+    return _long(assemble.assemble_flat(*_parts(t)), lists)
 
 
-@query()
+def _prompt_section(title: str, rows: str, item: str, no: str = "no") -> str:
+    return f"""(SELECT '## {title}' || chr(10) || chr(10) || string_agg({item}, chr(10) ORDER BY {no})
+                FROM {rows} x WHERE x.task_id = tasks.task_id)"""
+
+
+@query(
+    f"""WITH {_RECORD}
+    SELECT task_id, concat_ws(chr(10), '## Developer Task' || chr(10) || chr(10) || task || chr(10),
+      {_prompt_section('Pre-Ranked Context (already filtered for relevance)', 'l_chunks', f"""'[' || upper(bucket) || '] ' || source || ': '
+        || CASE bucket WHEN 'critical' THEN '{K.WHY_CRITICAL}' ELSE '{K.WHY_HELPFUL}' END || chr(10) || '> ' || key_detail || chr(10)""")},
+      {_prompt_section('Documentation Context', 'l_concepts', "'### ' || title || chr(10) || summary || chr(10) || 'Source: ' || source || chr(10)")},
+      {_prompt_section('Code Examples', 'code_shown', """'### From ' || source || ' [' || upper(bucket) || ']' || chr(10) || '```text' || chr(10)
+        || code || chr(10) || '```' || chr(10) || 'Source: ' || source || chr(10)""", 'place')},
+      {_prompt_section('API References', 'l_refs', "'- `' || function || '`: Usage pattern with arguments: (' || args || ')' || chr(10)")},
+      {_prompt_section('Best Practices', 'l_tips', "'- ' || practice || chr(10)")},
+      {_prompt_section('Implementation Patterns', 'l_patterns', """'### ' || pattern_type || ' (confidence: ' || confidence || ')' || chr(10)
+        || description || chr(10) || '```' || chr(10) || code || chr(10) || '```' || chr(10)""")},
+      {_prompt_section('StackOverflow Answers', 'l_answers', """'### ' || question_title || ' (score: ' || score || ')' || chr(10) || answer_body
+        || chr(10) || 'Source: ' || question_url || chr(10)""")},
+      {_prompt_section('Known Gaps (from pipeline)', 'said', "'- ' || s || chr(10)")})
+      || {" || chr(10) || ".join("'" + x + "'" for x in K.PROMPT_CLOSING.split(chr(10)))} AS prompt
+    FROM tasks""",
+    _RECORD_USES,
+)
 def build_prompts(t):
     return prompts.build_prompts(_records(t))
 

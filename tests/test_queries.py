@@ -9,7 +9,6 @@ import pytest
 from curatrix.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"assemble_flat", "build_prompts", "run_report"}  # same tables as assemble_context and curate
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
 
@@ -24,7 +23,7 @@ def test_equals_sql(spark, connection, name):
     assert oracle.compare(spark, SF, name, connection) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
