@@ -195,6 +195,13 @@ SQL = {
                CASE WHEN doc_id % 3 = 0 THEN 'abcd' ELSE concat('value-', doc_id) END AS v,
                concat('sk-or-', 'v1-', lang, doc_id) AS item
         FROM {documents}""",
+    # Vectors of tasks and documents: those of the same number.
+    "task_vectors": """
+        SELECT item_id AS task_id, embedding FROM {benchmark}
+        JOIN {embeddings} ON vec_id = item_id""",
+    "doc_vectors": """
+        SELECT doc_id, embedding FROM {documents}
+        JOIN {embeddings} ON vec_id = doc_id""",
     "cache_rows": """
         SELECT concat('u', user_id % 200) AS key, ts AS cached_at, event_type AS payload
         FROM {events}

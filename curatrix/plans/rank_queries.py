@@ -14,7 +14,10 @@ from curatrix.plans import curate as plan
 from curatrix.plans.extract_queries import PATTERNS, REFERENCES, TIPS
 from curatrix.plans.registry import query
 from curatrix.plans.text_queries import folded, greedy, tokens, units_of
-from curatrix.plans.url_queries import ANSWER_SQL, TERMS, answers_of, tasks_with_domains
+from curatrix.plans.url_queries import _HITS as HITS
+from curatrix.plans.url_queries import _MERGED as MERGED
+from curatrix.plans.url_queries import ANSWER_SQL, DOMAIN, RANK, TERMS, answers_of, code_candidates, tasks_with_domains
+from curatrix.sources import payloads
 from curatrix.sources.tables import pages_of_raw
 
 # --- term coverage --------------------------------------------------------------------------
@@ -250,6 +253,56 @@ def answer_gate(t):
     return _scores(kept, "relevance").select("task_id", "seq", "question_url", "relevance")
 
 
+_COSINE = "list_cosine_similarity([x::DOUBLE FOR x IN a.embedding], [x::DOUBLE FOR x IN b.embedding])"
+
+
+@query(
+    f"""WITH scored AS (SELECT task_id, doc_id, {_COSINE} AS score FROM task_vectors a, doc_vectors b),
+    {ranked('scored', 'doc_id', 16)} SELECT task_id, doc_id, rank, round(score, 6) AS score FROM ranked""",
+    ("task_vectors", "doc_vectors"),
+)
+def rank_chunks_vector(t):
+    scored = scoring.vector_scores(t("task_vectors"), t("doc_vectors"), K.TOP_CHUNKS, item_id="doc_id")
+    return _longs(_scores(ranking.top_k(scored, K.TOP_CHUNKS, ties=["doc_id"])), "rank")
+
+
+def _semantic(t, rows):
+    """``rows`` with the cosine of their task's vector and that of their own number, else null."""
+    own = t("doc_vectors").select(F.col("doc_id").alias("seq"), F.col("embedding").alias("own"))
+    both = rows.join(t("task_vectors"), "task_id", "left").join(own, "seq", "left")
+    return both.withColumn("semantic", vectors.cosine(F.col("embedding"), F.col("own"))).drop("embedding", "own")
+
+
+@query(
+    f"""WITH {_GATE}, better AS (
+        SELECT gated.*, greatest(relevance, coalesce({_COSINE}, 0)) AS best FROM gated
+        LEFT JOIN task_vectors a USING (task_id) LEFT JOIN doc_vectors b ON b.doc_id = seq)
+    SELECT task_id, seq, question_url, round(best, 6) AS relevance FROM better WHERE best >= 0.22""",
+    ("questions", "answers", "tasks", "task_vectors", "doc_vectors"),
+)
+def answer_gate_semantic(t):
+    kept = scoring.answer_gate(_semantic(t, answers_of(t)), t("tasks"), F.col("semantic"))
+    return _scores(kept, "relevance").select("task_id", "seq", "question_url", "relevance")
+
+
+@query(
+    f"""WITH {HITS}, {MERGED}, task_words AS (SELECT task_id, {TERMS} AS terms, CASE WHEN allowed = '' THEN [] ELSE
+                 [replace(lower(a), 'www.', '') FOR a IN string_split(allowed, ',')] END AS listed FROM tasks),
+    better AS (
+        SELECT m.task_id, m.seq, m.url, m.score, greatest(coalesce({_COSINE}, 0), CASE WHEN len(terms) = 0 THEN 0.0 ELSE
+               len(list_filter(terms, lambda w: contains(lower(title || ' ' || snippet), w)))::DOUBLE / len(terms) END) AS relevance
+        FROM merged m JOIN task_words USING (task_id) LEFT JOIN task_vectors a USING (task_id) LEFT JOIN doc_vectors b ON b.doc_id = m.seq
+        WHERE len(listed) = 0 OR len(list_filter(listed, lambda a: {DOMAIN} = a OR ends_with({DOMAIN}, '.' || a))) > 0)
+    SELECT task_id, url, round(relevance, 6) AS relevance, round(score + {RANK} + 2.5 * relevance, 6) AS score
+    FROM better WHERE relevance >= 0.18""",
+    ("hits", "tasks", "task_vectors", "doc_vectors"),
+)
+def scored_candidates_semantic(t):
+    merged = _semantic(t, ranking.merge_hits(payloads.search_hits(t("hits"))))
+    kept = scoring.score_candidates(merged, tasks_with_domains(t), K.WEB_MIN_RELEVANCE, F.col("semantic"))
+    return _scores(kept, "relevance", "score").select("task_id", "url", "relevance", "score")
+
+
 def _parts(t):
     """Chunks, snippets, docs, patterns and answers of every task, from the driver tables."""
     tasks = t("tasks")
@@ -613,7 +666,7 @@ def build_prompts(t):
 
 
 def _curated(t):
-    tasks = tasks_with_domains(t).withColumn("allowed_domains", F.array().cast("array<string>"))
+    tasks = tasks_with_domains(t)
     docs = extract_documents(pages_of_raw(t("pages")))
     cards = docs.select("page_id", "source", "title", "summary", F.concat_ws(" ", "title", "summary").alias("text"))
     found = ranking.top_k(scoring.term_coverage(tasks, cards, ["page_id"]), 20, ties=["page_id"])
@@ -627,7 +680,7 @@ def _curated(t):
         F.col("summary").alias("body"),
     )
     run = plan.curate(
-        tasks, hits, pages_of_raw(t("pages")), answers_of(t), robots=t("robots"), per_query=20
+        tasks, hits, pages_of_raw(t("pages")), answers_of(t), code_candidates(t), t("robots"), per_query=20
     )
     return tasks, run
 

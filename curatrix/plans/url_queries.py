@@ -368,11 +368,13 @@ def tasks_with_domains(t):
     return t("tasks").withColumn("allowed_domains", split)
 
 
+def code_candidates(t):
+    repositories = payloads.github_repo_candidates(_repo_payload(t))
+    return repositories.unionByName(payloads.github_code_candidates(_code_payload(t)))
+
+
 def _collected(t):
-    code = payloads.github_repo_candidates(_repo_payload(t)).unionByName(
-        payloads.github_code_candidates(_code_payload(t))
-    )
-    return collect_urls(tasks_with_domains(t), payloads.search_hits(t("hits")), code)
+    return collect_urls(tasks_with_domains(t), payloads.search_hits(t("hits")), code_candidates(t))
 
 
 _COLLECT = f"WITH {_HITS}, {_MERGED}, {_REPO}, {_CODE}, {_GATED}, {_SELECT}"
