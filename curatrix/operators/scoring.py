@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from curatrix import constants as K
 from curatrix.functions.text import at_most, task_terms, text_or_empty, text_relevance
 from curatrix.functions.urls import allowed_domain, url_rank
+from curatrix.operators.ranking import top_k
 from curatrix.operators.rows import one_row_each
 
 # Tasks carry this module's code, so executors need no copy of the package.
@@ -144,6 +145,21 @@ def answer_gate(
     )
 
 
+def matching_questions(
+    tasks: DataFrame, questions: DataFrame, at_least: float = K.ANSWER_MIN_RELEVANCE, max_results: int = 5
+) -> DataFrame:
+    """[Q4] For each task its ``max_results`` questions of a dump with the highest score, of those
+    that share a tag with it and whose title holds enough of its terms.
+
+    ``tasks(task_id, task, tags)``, ``questions(question_id, title, tags, score)``. Titles are
+    matched first, through terms, so a tag that many tasks and questions have pairs nothing.
+    """
+    covered = term_coverage(tasks, questions, ["question_id"], "title").filter(F.col("score") >= at_least)
+    named = covered.withColumnRenamed("score", "coverage").join(tasks.select("task_id", F.col("tags").alias("asked")), "task_id")
+    matched = named.join(questions, "question_id").filter(F.arrays_overlap("asked", "tags"))
+    return top_k(matched.drop("asked"), max_results, ties=["question_id"])
+
+
 def vector_scores(
     tasks: DataFrame,
     items: DataFrame,

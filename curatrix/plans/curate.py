@@ -113,11 +113,13 @@ def curate(
     relevance: PairScore = text_relevance,
     counter: TokenCounter = token_count,
     per_query: int = 4,
+    code_bonus: bool = False,
 ) -> Curated:
     """[C11] From search hits to one record per task.
 
     ``tasks(task_id, task, max_sources, max_code_snippets, chunk_size, allowed_domains)``, raw
     ``hits`` of S2, fetched ``pages`` of S1, ``answers`` of S5 and ``code`` candidates of S3/S4.
+    ``code_bonus`` adds the length bonus that goes with vector scores (W2).
     """
     selected = cut_lineage(collect_urls(tasks, payloads.search_hits(hits, per_query), code))
     fetched = filters.fetched_ok(pages)
@@ -155,7 +157,8 @@ def curate(
         "seq", F.struct(F.col("seq").alias("doc"), F.col("child_no").alias("no"))
     )
     scored = snippets.join(named, "task_id").withColumn("score", relevance(F.col("task"), F.col("code")))
-    top = ranking.top_k(scored.drop("task"), ranking.most(tasks, "max_code_snippets")).join(
+    most = ranking.most(tasks, "max_code_snippets")
+    top = ranking.rank_snippets(scored.drop("task"), most, vectors=code_bonus).join(
         tasks.select("task_id", "max_code_snippets"), "task_id"
     )
     top = top.filter(F.col("rank") <= F.col("max_code_snippets")).drop("max_code_snippets")

@@ -148,6 +148,11 @@ SQL = {
                conv_id % 5 <> 0 AS is_answered,
                CASE WHEN conv_id % 7 = 0 THEN NULL ELSE conv_id * 10 + 1 END AS accepted_answer_id
         FROM {conversations} WHERE turn = 0""",
+    "question_dump": """
+        SELECT conv_id AS question_id, text AS title, CAST(length(text) AS BIGINT) AS score,
+               CASE conv_id % 4 WHEN 0 THEN 'redis,pandas' WHEN 1 THEN 'python' WHEN 2 THEN 'fastapi,go'
+                    ELSE 'rust' END AS tags
+        FROM {conversations} WHERE turn = 0""",
     "answers": """
         SELECT conv_id * 10 + turn AS answer_id,
                concat('<p>', text, '</p><pre><code>x &lt; 1</code></pre>') AS body,

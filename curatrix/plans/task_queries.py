@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from curatrix import constants as K
 from curatrix.functions import queries as Q
 from curatrix.functions import text as X
-from curatrix.operators import filters
+from curatrix.operators import filters, scoring
 from curatrix.plans.registry import WS, query, quoted
 from curatrix.plans.text_queries import stripped
 from curatrix.plans.url_queries import _SUSPICIOUS, TERMS
@@ -115,6 +115,24 @@ def answer_tags(t):
     return _numbered(_signals(t), Q.answer_tags(F.col("s")), "tag")
 
 
+@query(
+    f"""WITH {SIGNALS}, asked AS (
+        SELECT task_id, {TERMS} AS terms, CASE WHEN len(libraries) > 0 THEN libraries[1:3] ELSE ['python'] END AS tags FROM libs),
+    pairs AS (
+        SELECT task_id, question_id, q.score, len(list_filter(terms, lambda w: contains(lower(title), w)))::DOUBLE / len(terms) AS coverage
+        FROM asked a, question_dump q WHERE len(terms) > 0 AND list_has_any(a.tags, string_split(q.tags, ','))),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, question_id) AS rank
+               FROM pairs WHERE coverage >= 0.22)
+    SELECT task_id, question_id, rank, round(coverage, 6) AS coverage FROM placed WHERE rank <= 5""",
+    ("coding_tasks", "question_dump"),
+)
+def matching_questions(t):
+    tasks = _signals(t).select("task_id", "task", Q.answer_tags(F.col("s")).alias("tags"))
+    questions = t("question_dump").withColumn("tags", F.split("tags", ","))
+    found = scoring.matching_questions(tasks, questions)
+    return found.select("task_id", "question_id", F.col("rank").cast("bigint").alias("rank"), F.round("coverage", 6).alias("coverage"))
+
+
 _TASK_ERROR = f"""CASE WHEN {stripped('task')} = '' THEN 'empty' WHEN length(task) > 1000 THEN 'too long'
     WHEN ({_SUSPICIOUS.format('task')}) IS NOT NULL
     THEN 'suspicious pattern ' || ({_SUSPICIOUS.format('task')}) END"""
