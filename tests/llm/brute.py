@@ -135,3 +135,79 @@ def simhash(text: str | None, shingle: int = 3) -> int:
     parts = [w] if len(w) < shingle else [w[i : i + shingle] for i in range(len(w) - shingle + 1)]
     hashes = [xxhash.xxh64_intdigest(" ".join(p).encode(), 42) for p in parts]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def bootstrapped(docs, settings) -> dict[int, list[tuple[int, str, int]]]:
+    """(start, kind, end) of seeds and discovered spans by id, with a scored graph in plain dicts."""
+    import math
+
+    from curatrix.llm import pii_bootstrap as P
+
+    rows = []  # id, kind, start, end, found, before, after
+    for i, text in docs:
+        text = text or ""
+        good = {(a, k, b) for a, _, k, b in personal(text)}
+        patterns = {k: p.pattern for k, p in BASE_PERSONAL} | {"candidate": P.CANDIDATE}
+        here = []
+        for kind, pattern in patterns.items():
+            found = list(re.finditer(pattern, text))
+            ends = [0, *(m.end() for m in found)]
+            starts = [*(m.start() for m in found), len(text)]
+            for n, m in enumerate(found):
+                start, end, string = m.start(), m.end(), m.group()
+                if kind == "candidate":
+                    tail = re.search(settings.trailing, string)
+                    lead = len(re.match(r"[\"'(<\[]*", string).group())
+                    start, end = start + lead, end - (len(tail.group()) if tail else 0)
+                    string = re.sub(r"^[\"'(<\[]*", "", re.sub(settings.trailing, "", string))
+                    if len(string) < 5:
+                        continue
+                elif (start, kind, end) not in good:
+                    continue
+                here.append((i, kind, start, end, string, text[ends[n] : m.start()][-P.CONTEXT :], text[m.end() : starts[n + 1]][: P.CONTEXT]))
+        seeds = [(r[2], r[3]) for r in here if r[1] != "candidate"]
+        rows += [r for r in here if r[1] != "candidate" or not any(a < r[3] and r[2] < b for a, b in seeds)]
+
+    def contexts(before, after):
+        w, v = (words(re.sub("[0-9]", "0", x).lower()) for x in (before, after))
+        out = set()
+        if len(w) >= 2:
+            out.add("2 " + " ".join(w[-2:]))
+        if len(w) >= 3:
+            out.add("3 " + " ".join(w[-3:]))
+        if w and v:
+            out.add(f"b {w[-1]} _ {v[0]}")
+        return out
+
+    members: dict[str, set[str]] = {}
+    for _, _, _, _, found, before, after in rows:
+        for p in contexts(before, after):
+            members.setdefault(p, set()).add(found)
+    seeds = {(r[4], r[1]) for r in rows if r[1] != "candidate"}
+    named = {s for s, _ in seeds}
+    kinds = [k for k, _ in BASE_PERSONAL]
+    scores: dict[tuple[str, str], float] = {}
+    for _ in range(settings.rounds):
+        held = {**dict.fromkeys(seeds, 1.0), **scores}
+        doubt: dict[tuple[str, str], float] = {}
+        for m in members.values():
+            for k in kinds:
+                if sum((x, k) in seeds for x in m) >= settings.least_seeds:
+                    confidence = sum(held.get((x, k), 0.0) for x in m) / len(m)
+                    if confidence >= settings.confident:
+                        for x in m - named:
+                            doubt[x, k] = doubt.get((x, k), 0.0) + math.log(max(1 - confidence, 1e-6))
+        scores = {at: 1 - math.exp(d) for at, d in doubt.items()}
+    best: dict[str, tuple] = {}
+    for (x, k), s in scores.items():
+        if s >= settings.accept:
+            best[x] = min(best.get(x, (1.0, 9, "")), (-s, kinds.index(k), k))
+    out = {i: [] for i, _ in docs}
+    order = [*kinds, *(P.FOUND + k for k in kinds)]
+    for i, kind, start, end, found, _, _ in rows:
+        if kind != "candidate":
+            out[i].append((start, order.index(kind), kind, end))
+        elif found in best:
+            name = P.FOUND + best[found][2]
+            out[i].append((start, order.index(name), name, end))
+    return {i: [(a, k, b) for a, _, k, b in sorted(x)] for i, x in out.items()}

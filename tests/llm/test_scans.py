@@ -1,3 +1,4 @@
+import random
 import re
 
 import brute
@@ -119,3 +120,24 @@ def test_redaction(spark):
 def test_native_plan(spark):
     plan = P.find_personal_data(docs_of(spark, []), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("settings", [P.Settings(), P.Settings(confident=0.6, accept=0.6, least_seeds=2), P.Settings(rounds=1, confident=0.5, accept=0.5)])
+def test_bootstrapping_equals_loops(spark, settings):
+    r = random.Random(11)
+    leads = ["please call my number", "write to me at", "the card on file", "from the host", "see page", "id no"]
+    seeds = [lambda: f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}", lambda: f"a{r.randrange(99)}@b{r.randrange(9)}.org", lambda: "4111 1111 1111 1111", lambda: f"10.0.{r.randrange(9)}.{r.randrange(255)}"]
+    rows = []
+    for i in range(120):
+        parts = []
+        for _ in range(r.randrange(1, 5)):
+            k = r.randrange(len(leads))
+            odd = f"({r.choice('XYZ')}-{r.randrange(100, 130)}q7{r.choice(['), ', '. ', ' '])}"
+            parts.append(f"{r.choice(['so', 'then', 'now'])} {leads[k]} {seeds[k]() if k < 4 and r.random() < 0.7 else odd} {r.choice(['soon', 'today', ''])}")
+        rows.append((i, " ".join(parts)))
+    made = P.find_personal_data(docs_of(spark, rows), "doc_id", "text", settings).collect()
+    got = {x["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in x["spans"]] for x in made}
+    want = brute.bootstrapped(rows, settings)
+    assert got == want
+    if settings.accept < 0.9:
+        assert any(k.startswith(P.FOUND) for x in want.values() for _, k, _ in x)
