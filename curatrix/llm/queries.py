@@ -236,7 +236,102 @@ def op8_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 BASE_PERSONAL = ("email", "ip", "card", "phone")
 
 
-@query()
+def _graph_round(number: int) -> str:
+    """CTEs of one round of scores over the graph of patterns and instances."""
+    before = f" UNION ALL SELECT * FROM scores{number - 1}" if number else ""
+    return f"""trust{number} AS (
+  SELECT pattern, kind, sum(score) / any_value(n) AS confidence
+  FROM able JOIN sizes USING (pattern) JOIN inside USING (pattern)
+  JOIN (SELECT instance, kind, 1.0::DOUBLE AS score FROM seeds{before}) AS held USING (instance, kind)
+  GROUP BY pattern, kind HAVING sum(score) / any_value(n) >= 0.8
+), scores{number} AS (
+  SELECT instance, kind, 1 - exp(sum(ln(greatest(1 - confidence, 1e-6)))) AS score
+  FROM inside JOIN trust{number} USING (pattern) WHERE instance NOT IN (SELECT instance FROM seeds) GROUP BY instance, kind
+)"""
+
+
+_WORDS_OF = r"regexp_extract_all(lower(regexp_replace({}, '[0-9]', '0', 'g')), '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    rf"""
+WITH kinds(place, kind, pattern) AS (VALUES
+  (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'),
+  (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+  (2, 'card', '[0-9]([\x20-]?[0-9])+'),
+  (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'),
+  (9, 'candidate', '[^\x20\x09-\x0D]+')
+), cut AS (
+  SELECT doc_id, place, kind, regexp_extract_all(coalesce(text, ''), pattern, 0) AS ms, regexp_split_to_array(coalesce(text, ''), pattern) AS gaps
+  FROM documents, kinds
+), pieces AS (
+  SELECT doc_id, place, kind, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, unnest(range(1, len(ms) + 1)) AS i FROM cut
+), every AS (
+  SELECT doc_id, place, kind, m, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i)::BIGINT AS e FROM pieces
+), matches AS (
+  SELECT *, e - length(m) AS s FROM every
+  WHERE kind <> 'candidate' OR (regexp_matches(m, '(?s)^["''(<\[]*[A-Za-z0-9+#@].{{4,}}$') AND regexp_matches(m, '[0-9@]'))
+), placed AS (
+  SELECT *, coalesce(lag(e) OVER w, 0) AS since, lead(s) OVER w AS until FROM matches WINDOW w AS (PARTITION BY doc_id, kind ORDER BY s)
+), trimmed AS (
+  SELECT p.doc_id, place, kind, since, until, s AS whole_s, e AS whole_e,
+    CASE kind WHEN 'candidate' THEN s + length(regexp_extract(m, '^["''(<\[]*')) ELSE s END AS s,
+    CASE kind WHEN 'candidate' THEN e - length(regexp_extract(m, '["'')>\].,;:!?]+$')) ELSE e END AS e,
+    CASE kind WHEN 'candidate' THEN regexp_replace(regexp_replace(m, '["'')>\].,;:!?]+$', ''), '^["''(<\[]*', '') ELSE m END AS found,
+    regexp_replace(m, '[^0-9]', '', 'g') AS digits
+  FROM placed p
+), held AS (
+  SELECT * FROM trimmed WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN list_bool_and([length(ltrim(x, '0')) <= 3 AND coalesce(TRY_CAST(ltrim(x, '0') AS INT), 0) <= 255 FOR x IN string_split(found, '.')])
+    WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND list_sum([
+      CASE WHEN (length(digits) - j) % 2 = 0 THEN digits[j]::INT WHEN digits[j]::INT > 4 THEN 2 * digits[j]::INT - 9 ELSE 2 * digits[j]::INT END
+      FOR j IN range(1, length(digits) + 1)]) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+    ELSE length(found) >= 5 END
+), base AS (
+  SELECT * FROM held WHERE kind <> 'candidate'
+), spans AS (
+  SELECT * FROM base UNION ALL
+  SELECT h.* FROM held h WHERE kind = 'candidate' AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND b.s < h.e AND h.s < b.e)
+), contexts AS (
+  SELECT found AS instance, {_WORDS_OF.format("right(substring(text, since + 1, whole_s - since), 160)")} AS w,
+    {_WORDS_OF.format("left(substring(text, whole_e + 1, coalesce(until, length(text)) - whole_e), 160)")} AS v
+  FROM spans JOIN documents USING (doc_id)
+), edges AS (
+  SELECT DISTINCT instance, pattern FROM (SELECT instance, unnest([
+    CASE WHEN len(w) >= 2 THEN '2 ' || w[-2] || ' ' || w[-1] END,
+    CASE WHEN len(w) >= 3 THEN '3 ' || w[-3] || ' ' || w[-2] || ' ' || w[-1] END,
+    CASE WHEN len(w) >= 1 AND len(v) >= 1 THEN 'b ' || w[-1] || ' _ ' || v[1] END]) AS pattern FROM contexts)
+  WHERE pattern IS NOT NULL
+), seeds AS (
+  SELECT DISTINCT found AS instance, kind FROM base
+), able AS (
+  SELECT pattern, kind FROM edges JOIN seeds USING (instance) GROUP BY pattern, kind HAVING count(*) >= 3
+), inside AS (
+  SELECT * FROM edges WHERE pattern IN (SELECT pattern FROM able)
+), sizes AS (
+  SELECT pattern, count(*) AS n FROM inside GROUP BY pattern
+), {_graph_round(0)}, {_graph_round(1)}, {_graph_round(2)},
+best AS (
+  SELECT instance, arg_min(kind, struct_pack(d := -score, p := place)) AS kind
+  FROM scores2 JOIN (SELECT place, kind FROM kinds) USING (kind) WHERE score >= 0.9 GROUP BY instance
+), result AS (
+  SELECT doc_id, place, kind, s, e, true AS own FROM base UNION ALL
+  SELECT doc_id, 4 + k.place, 'context_' || b.kind, s, e, false FROM spans x
+  JOIN best b ON b.instance = x.found JOIN kinds k ON k.kind = b.kind WHERE x.kind = 'candidate'
+), per_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+    count(*) FILTER (kind = 'phone') AS n_phone,
+    coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (own), '') AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans
+  FROM result GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN per_doc USING (doc_id)
+"""
+)
 def op9_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pii_bootstrap.find_personal_data(read_table(spark, sf_dir, "documents"), "doc_id", "text")
     spans = F.col("spans")

@@ -2,10 +2,12 @@ import random
 import re
 
 import brute
+import duckdb
 import pytest
 
 from curatrix.llm import blob_ledger as B
 from curatrix.llm import pii_bootstrap as P
+from curatrix.llm import queries
 from curatrix.llm import url_vocab as U
 
 KEY = "AKIA" + "ABCDEFGHIJKLMNOP1"
@@ -141,3 +143,17 @@ def test_bootstrapping_equals_loops(spark, settings):
     assert got == want
     if settings.accept < 0.9:
         assert any(k.startswith(P.FOUND) for x in want.values() for _, k, _ in x)
+
+
+def test_sql_discovers_the_same(spark):
+    rows = [(i, f"w{i} please call my number +1 (626) 555-57{10 + i} soon") for i in range(14)]
+    rows += [(20, "now please call my number (X-77q41), soon"), (21, "elsewhere X-77q41 and X-99q41"), (22, None), (23, "mail a@b.org 4111 1111 1111 1111")]
+    want = brute.bootstrapped(rows, P.Settings())
+    assert [k for k, _, _ in [(k, a, b) for a, k, b in want[20]]] == ["context_phone"] and len(want[21]) == 1
+    made = P.find_personal_data(docs_of(spark, rows), "doc_id", "text").collect()
+    assert {x["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in x["spans"]] for x in made} == want
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = connection.execute(queries.ORACLE_SQL["op9_pii_bootstrap"]).fetchdf()
+    assert dict(zip(found["doc_id"], found["spans"], strict=True)) == {i: ",".join(f"{k}:{a}:{b}" for a, k, b in x) for i, x in want.items()}
