@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +28,12 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(text_or_empty(text))
 
 
-def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
-    """The UTF-8 bytes of a text column, empty for null."""
+def text_bytes(batch: pa.RecordBatch, column: str, step: int = 256) -> Iterator[bytes]:
+    """The UTF-8 bytes of a text column, empty for null; few rows of a batch are held at a time."""
     array = batch.column(batch.schema.get_field_index(column))
     kind = pa.large_binary() if pa.types.is_large_string(array.type) else pa.binary()
-    return [x or b"" for x in array.cast(kind).to_pylist()]
+    for at in range(0, len(array), step):
+        yield from (x or b"" for x in array.slice(at, step).cast(kind).to_pylist())
 
 
 def byte_words(data: bytes) -> list[bytes]:

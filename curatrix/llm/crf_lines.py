@@ -247,7 +247,7 @@ def judge(docs: DataFrame, key: str, text: str, model: Model, settings: Settings
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, m = np.array(model.weights), np.array(model.moves)
         for batch in batches:
-            texts = text_bytes(batch, "text")
+            texts = list(text_bytes(batch, "text"))
             if not texts:
                 continue
             lines = [document_lines(t) for t in texts]

@@ -4,12 +4,12 @@ The model file (a protobuf) is parsed here: pieces with scores and kinds, the tr
 and byte fallback, the normaliser's character map and white-space settings. From these the
 tokenizer is rebuilt: normaliser, metaspace marker, unigram scores or BPE merges, byte fallback.
 No piece of a model with the usual settings holds the marker after another character, so a text
-falls apart before each run of markers without changing its encoding; every distinct part of a
-batch is encoded once, by the library's multithreaded batch call. Where a model does hold such a
+falls apart before each run of markers without changing its encoding; distinct parts are encoded
+once, by the library's multithreaded batch call, and a process keeps a bounded number of them. Where a model does hold such a
 piece, whole texts are encoded.
 
 Parity: every distinct part is also encoded by the ``sentencepiece`` library, and so is the first
-whole text of each batch; ``parity`` says whether all parts of a text agree.
+whole text of each chunk; ``parity`` says whether all parts of a text agree.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a literal marker
 character in a text decodes to a space (``lossless`` is false, as in the model's own library);
@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,9 @@ from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalize
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Characters of text that are encoded together.
-CHUNK_CHARS = 8_000_000
+#: Characters of text that are worked on together, parts that are encoded together, and parts whose
+#: ids a process keeps; they bound its memory and change no result.
+CHUNK_CHARS, PARTS_AT_ONCE, PARTS_KEPT = 1_000_000, 8_000, 300_000
 
 
 @dataclass(frozen=True)
@@ -159,18 +161,36 @@ class Codec:
         with open(path, "rb") as file:
             data = file.read()
         self.model = parse_model(data)
-        self.tokenizer = build_tokenizer(self.model)
-        self.for_parts = build_tokenizer(self.model, cut=False)
-        self.peer = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.by_parts = _parts_hold(self.model) and not self.model.charsmap and not self.model.squeeze
+        self.tokenizer = build_tokenizer(self.model, cut=not self.by_parts)
+        self.peer = sentencepiece.SentencePieceProcessor(model_proto=data)
+        # Part -> bytes of its ids (neither is an object the garbage collector visits), and the parts
+        # for which the other library disagrees.
+        self._made: dict[str, bytes] = {}
+        self._wrong: set[str] = set()
         self._bytes = [
             bytes([int(p[3:-1], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode()
             for p, _, k in self.model.pieces
         ]
 
-    def _encode_all(self, texts: list[str], parts: bool = False) -> list[list[int]]:
-        made = (self.for_parts if parts else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
-        return [e.ids for e in made]
+    def _encode_all(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[str], lead: str) -> None:
+        """Ids of parts by both libraries."""
+        if len(self._made) + len(parts) > PARTS_KEPT:
+            self._made, self._wrong = {}, set()
+        # A part that is the lone prefix stands for itself only before another part.
+        plain = [p for p in parts if p != lead]
+        for at in range(0, len(plain), PARTS_AT_ONCE):
+            some = plain[at : at + PARTS_AT_ONCE]
+            raw = [p[len(lead) :].replace(MARK, " ") for p in some]
+            for p, a, b in zip(some, self._encode_all(raw), self.peer.encode(raw, num_threads=1), strict=True):
+                self._made[p] = struct.pack(f"<{len(a)}i", *a)
+                if a != b:
+                    self._wrong.add(p)
+        if len(plain) < len(parts):
+            self._made[lead] = np.array(self._lone(lead), "<i4").tobytes()
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids (little-endian 32-bit) of every text, and whether the other library gives the same."""
@@ -181,24 +201,13 @@ class Codec:
         lead = MARK if self.model.dummy_prefix else ""
         cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
         parts = [cut(lead + t.replace(" ", MARK)) if t else [] for t in texts]
-        # Part -> bytes of its ids: neither side is an object the garbage collector visits.
-        made, wrong = {}, set()
-        distinct = list({p for row in parts for p in row})
-        raw = [p[len(lead) :].replace(MARK, " ") for p in distinct]
-        # A part that is the lone prefix stands for itself only before another part.
-        plain = [i for i, p in enumerate(raw) if p]
-        for at in range(0, len(plain), 50_000):
-            some = plain[at : at + 50_000]
-            ours, peers = self._encode_all([raw[i] for i in some], parts=True), self.peer.encode([raw[i] for i in some], num_threads=1)
-            for i, a, b in zip(some, ours, peers, strict=True):
-                made[distinct[i]] = struct.pack(f"<{len(a)}i", *a)
-                if a != b:
-                    wrong.add(distinct[i])
-        for i, p in enumerate(raw):
-            if not p:
-                made[distinct[i]] = np.array(self._lone(distinct[i]), "<i4").tobytes()
-        ids = [np.frombuffer(b"".join(map(made.__getitem__, row)), "<i4") for row in parts]
-        same = [not wrong or wrong.isdisjoint(row) for row in parts]
+        distinct = {p for row in parts for p in row}
+        new = [p for p in distinct if p not in self._made]
+        if len(self._made) + len(new) > PARTS_KEPT:
+            new = list(distinct)
+        self._learn(new, lead)
+        ids = [np.frombuffer(b"".join(map(self._made.__getitem__, row)), "<i4") for row in parts]
+        same = [not self._wrong or self._wrong.isdisjoint(row) for row in parts]
         if texts and ids[0].tolist() != self.peer.encode(texts[0]):
             same[0] = False
         return ids, same
@@ -219,15 +228,15 @@ def codec(path: str, threads: int = 0) -> Codec:
     return Codec(path, threads)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _chunks(lengths: list[int]) -> Iterator[tuple[int, int]]:
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(lengths):
+        size += n
         if size >= CHUNK_CHARS:
             yield start, i + 1
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 NEW = {"token_ids": "array<int>", "n_tokens": "int", "ids_sha256": "string", "decoded_chars": "int", "lossless": "boolean", "parity": "boolean"}
@@ -242,9 +251,9 @@ def encode_texts(docs: DataFrame, text: str, model_path: str, threads: int = 0)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(model_path, threads)
         for batch in batches:
-            texts = [t or "" for t in batch.column(names.index(text)).to_pylist()]
-            for a, b in _chunks(texts):
-                some = texts[a:b]
+            column = batch.column(names.index(text))
+            for a, b in _chunks(pc.utf8_length(column).fill_null(0).to_pylist()):
+                some = [t or "" for t in column.slice(a, b - a).to_pylist()]
                 ids, parity = made.encode(some)
                 back = [made.decode(x.tolist()) for x in ids]
                 sizes = [len(x) for x in ids]
