@@ -7,7 +7,9 @@ then an offset below p at which both fall on residues of D, so two equal windows
 words share an aligned, equal anchor of ``length - p + 1`` words. With the default period of 13
 and cover (0, 1, 3, 9), 4 of 13 places carry an anchor.
 
-1. Anchors are hashed, and those that occur more than once are found.
+0. Of documents with equal texts all but the first are decided at once: each of their windows also
+   starts in the first.
+1. Of the others, anchors are hashed, and those that occur more than once are found.
 2. They extend: only windows that hold such an anchor are hashed as a whole (128 bits), and for
    each the earliest place is found. Every other place of an equal window is removed.
 3. Texts are joined with their first places, and the words that removed windows cover are dropped.
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import byte_words, row_key, text_bytes
+from curatrix.llm.common import byte_words, row_key, same_row, text_bytes
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 _BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -174,7 +176,7 @@ def _windows(length: int, period: int):
             his, los, rows, starts = [], [], [], []
             by = [("key", "ascending"), ("row", "ascending")]
             order = pc.sort_indices(batch.select(["key", "row"]), by, null_placement="at_end").to_pylist()
-            texts, anchors = text_bytes(batch, "text"), batch.column(3)
+            texts, anchors = list(text_bytes(batch, "text")), batch.column(3)
             for i in order:
                 words = byte_words(texts[i])
                 s = _starts(np.unique(np.array(anchors[i].values, np.int64)), len(words), length, period)
@@ -221,11 +223,13 @@ def _keep(length: int, period: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, kept, removed = [], [], []
-            anchors, firsts = batch.column(3), batch.column(4)
+            anchors, firsts, copies = batch.column(3), batch.column(4), batch.column(5).to_pylist()
             for i, data in enumerate(text_bytes(batch, "text")):
                 words = byte_words(data)
                 stay = words
-                if anchors[i].is_valid:
+                if copies[i] and len(words) >= length:
+                    stay = []
+                elif anchors[i].is_valid:
                     s = _starts(np.unique(np.array(anchors[i].values, np.int64)), len(words), length, period)
                     if firsts[i].is_valid:
                         s = np.setdiff1d(s, np.array(firsts[i].values, np.int64), assume_unique=False)
@@ -252,25 +256,33 @@ def remove_repeats(
     size = check_cover(period, cover, length)
     rows = docs.select(F.col(key).alias("key"), row_key(F.col(text)).alias("row"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    found = rows.mapInArrow(
+
+    def named(table: DataFrame, prefix: str) -> DataFrame:
+        return table.withColumnsRenamed({"key": f"{prefix}_key", "row": f"{prefix}_row"})
+
+    def with_rows(left: DataFrame, right: DataFrame, prefix: str, how: str) -> DataFrame:
+        return left.join(right, same_row(left, right, "key", "row", f"{prefix}_key", f"{prefix}_row"), how)
+
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    alone = rows.groupBy(digest.alias("digest")).agg(F.min("key").alias("key"), F.min("row").alias("row")).drop("digest")
+    alone = named(alone.withColumn("alone", F.lit(True)), "alone")
+    single = with_rows(rows, alone, "alone", "left_semi")
+    found = single.mapInArrow(
         _anchors(period, cover, size), f"hash long, key {kind}, row long, place int, known boolean, meets boolean"
     )
     # What need not meet anything is dealt out evenly.
     spread = F.when(F.col("meets"), F.col("hash")).otherwise(F.xxhash64("hash", "row", "place"))
     dealt = found.withColumn("hash", spread).drop("meets").repartition("hash").sortWithinPartitions("hash")
     repeated = dealt.mapInArrow(_repeated, f"key {kind}, row long, place int")
-    anchors = repeated.groupBy("key", "row").agg(F.collect_list("place").alias("anchors")).select(
-        F.col("key").alias("anchor_key"), F.col("row").alias("anchor_row"), "anchors"
-    )
-    same = rows["key"].eqNullSafe(F.col("anchor_key")) & (rows["row"] == F.col("anchor_row"))
-    held = rows.join(anchors, same).select("key", "row", "text", "anchors")
+    anchors = named(repeated.groupBy("key", "row").agg(F.collect_list("place").alias("anchors")), "anchor")
+    held = with_rows(single, anchors, "anchor", "inner").select("key", "row", "text", "anchors")
     windows = held.mapInArrow(_windows(length, period), f"hi long, lo long, key {kind}, row long, start int")
     ordered = windows.repartition("hi", "lo").sortWithinPartitions("hi", "lo", F.asc_nulls_last("key"), "row", "start")
     first = ordered.mapInArrow(_earliest, f"key {kind}, row long, start int")
-    firsts = first.groupBy("key", "row").agg(F.collect_list("start").alias("firsts")).select(
-        F.col("key").alias("first_key"), F.col("row").alias("first_row"), "firsts"
+    firsts = named(first.groupBy("key", "row").agg(F.collect_list("start").alias("firsts")), "first")
+    every = with_rows(with_rows(with_rows(rows, alone, "alone", "left"), anchors, "anchor", "left"), firsts, "first", "left")
+    copy = F.col("alone").isNull().alias("copy")
+    made = every.select("key", "row", "text", "anchors", "firsts", copy).mapInArrow(
+        _keep(length, period), f"key {kind}, n_words long, n_removed long, kept_text string"
     )
-    also = rows["key"].eqNullSafe(F.col("first_key")) & (rows["row"] == F.col("first_row"))
-    every = rows.join(anchors, same, "left").join(firsts, also, "left").select("key", "row", "text", "anchors", "firsts")
-    made = every.mapInArrow(_keep(length, period), f"key {kind}, n_words long, n_removed long, kept_text string")
     return made.withColumnRenamed("key", key)
