@@ -10,7 +10,7 @@ and cover (0, 1, 3, 9), 4 of 13 places carry an anchor.
 0. Of documents with equal texts all but the first are decided at once: each of their windows also
    starts in the first.
 1. Of the others, anchors are hashed, and those that occur more than once are found.
-2. They extend: only windows that hold such an anchor are hashed as a whole (128 bits), and for
+2. They extend: only windows that hold such an anchor are hashed as a whole (96 bits), and for
    each the earliest place is found. Every other place of an equal window is removed.
 3. Texts are joined with their first places, and the words that removed windows cover are dropped.
 
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import byte_words, row_key, same_row, text_bytes
+from curatrix.llm.common import byte_words, same_row, text_bytes
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 _BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -86,9 +86,9 @@ def _first_of_each(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(period: int, cover: tuple[int, ...], size: int):
-    """Rows (hash, key, text hash, place, known): one row per distinct anchor of a batch, which
+    """Rows (hash, key, text hash, place, meets): one row per distinct anchor of a batch, which
     is known to be repeated if the batch holds it twice; its other places are known as well and
-    need not meet anything."""
+    need not meet anything. A place that is known is written as ``-1 - place``."""
     residue = np.zeros(period, bool)
     residue[list(cover)] = True
 
@@ -109,6 +109,7 @@ def _anchors(period: int, cover: tuple[int, ...], size: int):
             first, n = _first_of_each(h)
             known = np.ones(len(h), bool)
             known[first] = n > 1
+            place = np.where(known, -1 - place, place)
             meets = np.zeros(len(h), bool)
             meets[first] = True
             for a in range(0, len(h), 500_000):
@@ -119,11 +120,10 @@ def _anchors(period: int, cover: tuple[int, ...], size: int):
                         pa.array(h[some].view(np.int64)),
                         batch.column(0).take(index),
                         batch.column(1).take(index),
-                        pa.array(place[some]),
-                        pa.array(known[some]),
+                        pa.array(place[some].astype(np.int32)),
                         pa.array(meets[some]),
                     ],
-                    ["hash", "key", "row", "place", "known", "meets"],
+                    ["hash", "key", "row", "place", "meets"],
                 )
 
     return run
@@ -139,8 +139,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = np.zeros(len(h), bool)
         more[1:] |= same
         more[:-1] |= same
-        more |= b.column(4).to_numpy(zero_copy_only=False)
-        return b.filter(pa.array(more)).select(["key", "row", "place"])
+        place = b.column(3).to_numpy(zero_copy_only=False)
+        more |= place < 0
+        kept = b.filter(pa.array(more))
+        return pa.RecordBatch.from_arrays(
+            [kept.column(1), kept.column(2), pa.array(np.where(place < 0, -1 - place, place)[more].astype(np.int32))], ["key", "row", "place"]
+        )
 
     for batch in batches:
         if not batch.num_rows:
@@ -195,7 +199,7 @@ def _windows(length: int, period: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(hi[first].view(np.int64)),
-                    pa.array(lo[first].view(np.int64)),
+                    pa.array((lo[first] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                     batch.column(0).take(index),
                     batch.column(1).take(index),
                     pa.array(start[first]),
@@ -254,7 +258,9 @@ def remove_repeats(
 ) -> DataFrame:
     """(key, n_words, n_removed, kept_text): the words that stay, joined by one space."""
     size = check_cover(period, cover, length)
-    rows = docs.select(F.col(key).alias("key"), row_key(F.col(text)).alias("row"), F.col(text).alias("text"))
+    # 32 bits tell rows apart that share an id; every shuffled row carries them.
+    row = F.hash(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.col(key).alias("key"), row.alias("row"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def named(table: DataFrame, prefix: str) -> DataFrame:
@@ -263,22 +269,22 @@ def remove_repeats(
     def with_rows(left: DataFrame, right: DataFrame, prefix: str, how: str) -> DataFrame:
         return left.join(right, same_row(left, right, "key", "row", f"{prefix}_key", f"{prefix}_row"), how)
 
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     alone = rows.groupBy(digest.alias("digest")).agg(F.min("key").alias("key"), F.min("row").alias("row")).drop("digest")
     alone = named(alone.withColumn("alone", F.lit(True)), "alone")
     single = with_rows(rows, alone, "alone", "left_semi")
     found = single.mapInArrow(
-        _anchors(period, cover, size), f"hash long, key {kind}, row long, place int, known boolean, meets boolean"
+        _anchors(period, cover, size), f"hash long, key {kind}, row int, place int, meets boolean"
     )
     # What need not meet anything is dealt out evenly.
     spread = F.when(F.col("meets"), F.col("hash")).otherwise(F.xxhash64("hash", "row", "place"))
     dealt = found.withColumn("hash", spread).drop("meets").repartition("hash").sortWithinPartitions("hash")
-    repeated = dealt.mapInArrow(_repeated, f"key {kind}, row long, place int")
+    repeated = dealt.mapInArrow(_repeated, f"key {kind}, row int, place int")
     anchors = named(repeated.groupBy("key", "row").agg(F.collect_list("place").alias("anchors")), "anchor")
     held = with_rows(single, anchors, "anchor", "inner").select("key", "row", "text", "anchors")
-    windows = held.mapInArrow(_windows(length, period), f"hi long, lo long, key {kind}, row long, start int")
+    windows = held.mapInArrow(_windows(length, period), f"hi long, lo int, key {kind}, row int, start int")
     ordered = windows.repartition("hi", "lo").sortWithinPartitions("hi", "lo", F.asc_nulls_last("key"), "row", "start")
-    first = ordered.mapInArrow(_earliest, f"key {kind}, row long, start int")
+    first = ordered.mapInArrow(_earliest, f"key {kind}, row int, start int")
     firsts = named(first.groupBy("key", "row").agg(F.collect_list("start").alias("firsts")), "first")
     every = with_rows(with_rows(with_rows(rows, alone, "alone", "left"), anchors, "anchor", "left"), firsts, "first", "left")
     copy = F.col("alone").isNull().alias("copy")
