@@ -117,7 +117,8 @@ def _anchors(period: int, cover: tuple[int, ...], size: int):
                 index = pa.array(row[some])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(h[some].view(np.int64)),
+                        # 48 bits: an anchor that meets another by chance only asks for a few windows more.
+                        pa.array((h[some] >> np.uint64(16)).view(np.int64)),
                         batch.column(0).take(index),
                         batch.column(1).take(index),
                         pa.array(place[some].astype(np.int32)),
@@ -277,7 +278,8 @@ def remove_repeats(
         _anchors(period, cover, size), f"hash long, key {kind}, row int, place int, meets boolean"
     )
     # What need not meet anything is dealt out evenly.
-    spread = F.when(F.col("meets"), F.col("hash")).otherwise(F.xxhash64("hash", "row", "place"))
+    aside = F.shiftrightunsigned(F.xxhash64("hash", "row", "place"), 16)
+    spread = F.when(F.col("meets"), F.col("hash")).otherwise(aside)
     dealt = found.withColumn("hash", spread).drop("meets").repartition("hash").sortWithinPartitions("hash")
     repeated = dealt.mapInArrow(_repeated, f"key {kind}, row int, place int")
     anchors = named(repeated.groupBy("key", "row").agg(F.collect_list("place").alias("anchors")), "anchor")
