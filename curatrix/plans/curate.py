@@ -112,7 +112,7 @@ def curate(
     robots: DataFrame | None = None,
     relevance: PairScore = text_relevance,
     counter: TokenCounter = token_count,
-    per_query: int = 4,
+    per_query: int | None = None,
     code_bonus: bool = False,
 ) -> Curated:
     """[C11] From search hits to one record per task.

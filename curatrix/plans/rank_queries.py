@@ -16,7 +16,7 @@ from curatrix.plans.registry import query
 from curatrix.plans.text_queries import folded, greedy, tokens, units_of
 from curatrix.plans.url_queries import _HITS as HITS
 from curatrix.plans.url_queries import _MERGED as MERGED
-from curatrix.plans.url_queries import ANSWER_SQL, DOMAIN, RANK, TERMS, answers_of, code_candidates, tasks_with_domains
+from curatrix.plans.url_queries import ANSWER_SQL, DOMAIN, PER_QUERY, RANK, TERMS, answers_of, code_candidates, tasks_with_domains
 from curatrix.sources import payloads
 from curatrix.sources.tables import pages_of_raw
 
@@ -298,7 +298,7 @@ def answer_gate_semantic(t):
     ("hits", "tasks", "task_vectors", "doc_vectors"),
 )
 def scored_candidates_semantic(t):
-    merged = _semantic(t, ranking.merge_hits(payloads.search_hits(t("hits"))))
+    merged = _semantic(t, ranking.merge_hits(payloads.search_hits(t("hits"), PER_QUERY)))
     kept = scoring.score_candidates(merged, tasks_with_domains(t), K.WEB_MIN_RELEVANCE, F.col("semantic"))
     return _scores(kept, "relevance", "score").select("task_id", "url", "relevance", "score")
 

@@ -10,12 +10,14 @@ from curatrix.functions.extract import answer_text, unescape_html
 from curatrix.functions.text import contains_any, text_or_empty
 from curatrix.functions.urls import domain_boost
 
-def search_hits(hits: DataFrame, per_query: int = 8) -> DataFrame:
-    """[S2] The first ``per_query`` hits of each (task, query) that have a url, as candidates."""
-    engine_order = Window.partitionBy("task_id", "query").orderBy("seq")
-    first = hits.withColumn("_place", F.row_number().over(engine_order)).filter(
-        F.col("_place") <= per_query
-    )
+def search_hits(hits: DataFrame, per_query: int | None = None) -> DataFrame:
+    """[S2] The hits of each (task, query) that have a url, as candidates; of the first
+    ``per_query`` only where a number is asked for."""
+    first = hits
+    if per_query is not None:
+        engine_order = Window.partitionBy("task_id", "query").orderBy("seq")
+        placed = hits.withColumn("_place", F.row_number().over(engine_order))
+        first = placed.filter(F.col("_place") <= per_query)
     url = F.coalesce(F.nullif(F.col("href"), F.lit("")), F.nullif(F.col("url"), F.lit("")))
     return first.withColumn("url", url).filter(F.col("url").isNotNull()).select(
         "task_id",
