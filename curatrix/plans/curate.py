@@ -81,10 +81,15 @@ class Curated:
 
 
 def collect_urls(
-    tasks: DataFrame, web: DataFrame, code: DataFrame | None = None
+    tasks: DataFrame, web: DataFrame, code: DataFrame | None = None, semantic: DataFrame | None = None
 ) -> DataFrame:
-    """Selected urls of each task from merged web hits and code candidates. [A1, C4, O1, W3]"""
-    scored = scoring.score_candidates(ranking.merge_hits(web), tasks, K.WEB_MIN_RELEVANCE)
+    """Selected urls of each task from merged web hits and code candidates. [A1, C4, O1, W3]
+
+    ``semantic(task_id, url, semantic)`` counts as a web hit's relevance where it is the better."""
+    merged, better = ranking.merge_hits(web), None
+    if semantic is not None:
+        merged, better = merged.join(semantic, ["task_id", "url"], "left"), F.col("semantic")
+    scored = scoring.score_candidates(merged, tasks, K.WEB_MIN_RELEVANCE, better)
     if code is not None:
         merged = ranking.merge_hits(code)
         placed = ranking.top_k(merged, ranking.most(tasks, "max_sources"))
@@ -114,14 +119,16 @@ def curate(
     counter: TokenCounter = token_count,
     per_query: int | None = None,
     code_bonus: bool = False,
+    semantic: DataFrame | None = None,
 ) -> Curated:
     """[C11] From search hits to one record per task.
 
     ``tasks(task_id, task, max_sources, max_code_snippets, chunk_size, allowed_domains)``, raw
     ``hits`` of S2, fetched ``pages`` of S1, ``answers`` of S5 and ``code`` candidates of S3/S4.
-    ``code_bonus`` adds the length bonus that goes with vector scores (W2).
+    ``code_bonus`` adds the length bonus that goes with vector scores (W2); ``semantic`` is that of
+    ``collect_urls``.
     """
-    selected = cut_lineage(collect_urls(tasks, payloads.search_hits(hits, per_query), code))
+    selected = cut_lineage(collect_urls(tasks, payloads.search_hits(hits, per_query), code, semantic))
     fetched = filters.fetched_ok(pages)
     if robots is not None:
         fetched = filters.robots_allowed(fetched, robots)

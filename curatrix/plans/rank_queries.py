@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curatrix import constants as K
@@ -17,6 +18,7 @@ from curatrix.plans.text_queries import folded, greedy, tokens, units_of
 from curatrix.plans.url_queries import _HITS as HITS
 from curatrix.plans.url_queries import _MERGED as MERGED
 from curatrix.plans.url_queries import ANSWER_SQL, DOMAIN, PER_QUERY, RANK, TERMS, answers_of, code_candidates, tasks_with_domains
+from curatrix.session import cut_lineage
 from curatrix.sources import payloads
 from curatrix.sources.tables import pages_of_raw
 
@@ -665,22 +667,32 @@ def build_prompts(t):
 # --- the whole curation -----------------------------------------------------------------------------
 
 
-def _curated(t):
-    tasks = tasks_with_domains(t)
-    docs = extract_documents(pages_of_raw(t("pages")))
-    cards = docs.select("page_id", "source", "title", "summary", F.concat_ws(" ", "title", "summary").alias("text"))
-    found = ranking.top_k(scoring.term_coverage(tasks, cards, ["page_id"]), 20, ties=["page_id"])
-    hits = found.join(cards, "page_id").select(
+def page_hits(tasks, docs):
+    """(hits, semantic) of extracted pages: every page whose whole text covers enough terms of a
+    task, as raw hits in order of coverage, and that coverage by (task_id, url)."""
+    cards = docs.select("page_id", F.concat_ws(" ", "title", "markdown").alias("text"))
+    found = scoring.term_coverage(tasks, cards, ["page_id"]).filter(F.col("score") >= K.WEB_MIN_RELEVANCE)
+    named = cut_lineage(found.join(docs.select("page_id", "source", "title", "summary"), "page_id"))
+    order = Window.partitionBy("task_id").orderBy(F.desc("score"), "page_id")
+    hits = named.select(
         "task_id",
         F.lit("corpus").alias("query"),
-        F.col("rank").cast("bigint").alias("seq"),
+        F.row_number().over(order).cast("bigint").alias("seq"),
         "title",
         F.lit("").alias("href"),
         F.col("source").alias("url"),
         F.col("summary").alias("body"),
     )
+    return hits, named.groupBy("task_id", F.col("source").alias("url")).agg(F.max("score").alias("semantic"))
+
+
+def _curated(t):
+    tasks = tasks_with_domains(t)
+    # What may not be fetched takes no place among a task's urls.
+    pages = filters.robots_allowed(filters.fetched_ok(pages_of_raw(t("pages"))), t("robots"))
+    hits, semantic = page_hits(tasks, extract_documents(pages))
     run = plan.curate(
-        tasks, hits, pages_of_raw(t("pages")), answers_of(t), code_candidates(t), t("robots"), per_query=20
+        tasks, hits, pages_of_raw(t("pages")), answers_of(t), code_candidates(t), t("robots"), semantic=semantic
     )
     return tasks, run
 

@@ -2,7 +2,8 @@
 
 import inspect
 
-from curatrix.plans.curate import curate
+from curatrix.plans.curate import collect_urls, curate
+from curatrix.plans.rank_queries import page_hits
 from curatrix.sources import payloads, tables
 
 
@@ -11,3 +12,18 @@ def test_all_hits_of_a_query(spark):
     hits = spark.createDataFrame(rows, tables.SEARCH_HITS)
     assert payloads.search_hits(hits).count() == 30 and payloads.search_hits(hits, 8).count() == 8
     assert inspect.signature(curate).parameters["per_query"].default is None
+
+
+def test_pages_are_found_by_their_whole_text_and_cut_after_the_gates(spark):
+    plain = "Some plain words about gardens. " * 20
+    rows = [(i, f"https://other{i}.net/x", "redis caching python", "", "redis caching in python") for i in range(30)]
+    rows += [(100, "https://example.org/deep", "Notes", "", plain + " redis caching in python")]
+    docs = spark.createDataFrame(rows, "page_id long, source string, title string, summary string, markdown string")
+    task = (1, "redis caching python", 5, ["example.org"])
+    free = (2, "redis caching python", 40, [])
+    tasks = spark.createDataFrame([task, free], "task_id long, task string, max_sources int, allowed_domains array<string>")
+    hits, semantic = page_hits(tasks, docs)
+    assert hits.filter("task_id = 1").count() == 31
+    chosen = collect_urls(tasks, payloads.search_hits(hits), None, semantic)
+    assert [r.url for r in chosen.filter("task_id = 1").collect()] == ["https://example.org/deep"]
+    assert chosen.filter("task_id = 2").count() == 31
