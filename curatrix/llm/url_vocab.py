@@ -2,7 +2,7 @@
 
 An Aho-Corasick automaton finds all terms of the vocabulary in a lower-cased url in one pass. A hit
 counts only between word boundaries (a neighbour is no letter or digit of ``[a-z0-9]``). A url is
-rejected on one strict term, or when its distinct soft terms together reach the limit. Host rules
+rejected on one strict term, or when at least two distinct soft terms together reach the limit. Host rules
 come first: a rule names a host with all its subdomains and a path prefix, and the longest fitting
 rule decides.
 
@@ -51,6 +51,8 @@ SOFT = {
     "download": 1, "click": 1, "betting": 2, "escort": 2, "replica": 2, "lottery": 2,
 }
 LIMIT = 2
+#: Distinct soft terms without which no weight rejects.
+LEAST_SOFT = 2
 
 
 def host_of(url: Column) -> Column:
@@ -106,7 +108,7 @@ def judge_terms(rows: DataFrame, url: str, strict=STRICT, soft=SOFT, limit: int
             firm = [[t for t in f if t in hard] for f in found]
             weak = [[t for t in f if t in soft] for f in found]
             weight = [sum(soft[t] for t in w) for w in weak]
-            said = ["block" if f or w >= limit else "allow" for f, w in zip(firm, weight, strict=True)]
+            said = ["block" if f or (len(s) >= LEAST_SOFT and w >= limit) else "allow" for f, s, w in zip(firm, weak, weight, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(firm, pa.list_(pa.string())), pa.array(weak, pa.list_(pa.string())), pa.array(weight, pa.int32()), pa.array(said, pa.string())],
                 [*names, "strict_hits", "soft_hits", "soft_weight", "term_verdict"],
