@@ -49,9 +49,26 @@ class Settings:
     confident: float = 0.8  # confidence from which a pattern vouches for its instances
     accept: float = 0.9  # score from which a candidate is an identifier
     trailing: str = r"[\"')>\].,;:!?]+$"  # not part of a candidate
+    whole: bool = False  # context is the text around a match, else up to matches of the same kind
 
 
-def _pieces(text: Column, kind: str, pattern: str) -> Column:
+#: What a corpus is cleaned with: context across neighbouring matches.
+CORPUS = Settings(whole=True)
+
+
+def _starts(gaps: Column, found: Column) -> Column:
+    """Where each match starts."""
+    sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def step(done: Column, s: Column) -> Column:
+        start = done["at"] + s["gap"]
+        return F.struct((start + s["n"]).alias("at"), F.concat(done["starts"], F.array(start)).alias("starts"))
+
+    return F.aggregate(sizes, none, step, lambda done: done["starts"])
+
+
+def _pieces(text: Column, kind: str, pattern: str, whole: bool) -> Column:
     """Structs of (kind, number, found, gap length, words before, words after) for every match."""
 
     def of_gaps(found: Column):
@@ -67,7 +84,17 @@ def _pieces(text: Column, kind: str, pattern: str) -> Column:
                     F.substring(after, 1, CONTEXT).alias("after"),
                 )
 
-            return F.transform(found, one)
+            def around(starts: Column) -> Column:
+                def both(m: Column, i: Column) -> Column:
+                    start = F.element_at(starts, i + 1)
+                    near = F.least(start, F.lit(CONTEXT))
+                    piece = one(m, i)
+                    piece = piece.withField("before", F.substring(text, start - near + 1, near))
+                    return piece.withField("after", F.substring(text, start + F.length(m) + 1, F.lit(CONTEXT)))
+
+                return F.transform(found, both)
+
+            return let(_starts(gaps, found), around) if whole else F.transform(found, one)
 
         return let(F.split(text, pattern, -1), made)
 
@@ -102,13 +129,13 @@ def _holds(kind: Column, found: Column) -> Column:
     )
 
 
-def spans(docs: DataFrame, trailing: str = Settings.trailing) -> DataFrame:
+def spans(docs: DataFrame, trailing: str = Settings.trailing, whole: bool = False) -> DataFrame:
     """(key, row, kind, start, end, found, before, after) of all seeds and of the candidates that
     overlap none; ``docs`` has key, row and text."""
     patterns = {**SEEDS, "candidate": CANDIDATE}
 
     def every(text: Column) -> Column:
-        return F.concat(*(_pieces(text, k, p) for k, p in patterns.items()))
+        return F.concat(*(_pieces(text, k, p, whole) for k, p in patterns.items()))
 
     found = docs.select("key", "row", F.explode_outer(let(text_or_empty(F.col("text")), every)).alias("p")).filter("p.kind IS NOT NULL")
     # One row for each match, numbered by kind: starts are sums over the matches before.
@@ -187,7 +214,7 @@ def find_personal_data(docs: DataFrame, key: str, text: str, settings: Settings
     """(key, row, spans) for every row of ``docs``: an array of (start, place, kind, end) ordered by
     start, then by the kinds' order. ``row`` is ``row_key`` of the text."""
     rows = docs.select(F.col(key).alias("key"), row_key(F.col(text)).alias("row"), F.col(text).alias("text"))
-    every = cut_lineage(spans(rows, settings.trailing))
+    every = cut_lineage(spans(rows, settings.trailing, settings.whole))
     seeds = every.filter("kind <> 'candidate'").select(F.col("found").alias("instance"), "kind").distinct()
     context = every.select(F.col("found").alias("instance"), F.explode_outer(_patterns(F.col("before"), F.col("after"))).alias("pattern"))
     edges = cut_lineage(context.filter("pattern IS NOT NULL").distinct())
