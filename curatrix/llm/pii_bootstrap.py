@@ -19,6 +19,7 @@ the end exclusive.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ CONTEXT = 160
 
 @dataclass(frozen=True)
 class Settings:
-    rounds: int = 3
+    rounds: int | None = 3  # None: until no confidence changes
     least_seeds: int = 3  # distinct seeds of a kind that a pattern must have
     confident: float = 0.8  # confidence from which a pattern vouches for its instances
     accept: float = 0.9  # score from which a candidate is an identifier
@@ -52,8 +53,8 @@ class Settings:
     whole: bool = False  # context is the text around a match, else up to matches of the same kind
 
 
-#: What a corpus is cleaned with: context across neighbouring matches.
-CORPUS = Settings(whole=True)
+#: What a corpus is cleaned with: context across neighbouring matches, scores that have settled.
+CORPUS = Settings(rounds=None, whole=True)
 
 
 def _starts(gaps: Column, found: Column) -> Column:
@@ -197,11 +198,18 @@ def score_instances(edges: DataFrame, seeds: DataFrame, settings: Settings = Set
     sizes = inner.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     asked = cut_lineage(able.join(sizes, "pattern"))
     known = seeds.withColumn("score", F.lit(1.0))
-    scores = None
-    for _ in range(settings.rounds):
+    scores = state = None
+    for _ in count() if settings.rounds is None else range(settings.rounds):
         held = known if scores is None else known.unionByName(scores)
         sums = inner.join(held, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("total"))
         trust = asked.join(sums, ["pattern", "kind"]).withColumn("confidence", F.col("total") / F.col("n"))
+        if settings.rounds is None:
+            # Confidences only rise, and to a bound.
+            trust = cut_lineage(trust)
+            mixed = F.xxhash64("pattern", "kind", F.round("confidence", 6))
+            before, state = state, trust.agg(F.count(F.lit(1)), F.bit_xor(mixed)).first()
+            if state == before:
+                break
         trusted = trust.filter(F.col("confidence") >= settings.confident).select("pattern", "kind", "confidence")
         vouched = inner.join(trusted, "pattern").join(seeds.select("instance").distinct(), "instance", "left_anti")
         # A doubt of 0 is kept above 0 so that its logarithm is finite.

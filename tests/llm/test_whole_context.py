@@ -23,3 +23,19 @@ def test_identifiers_behind_others_are_found(spark):
     lists = [(500 + i, f"log host-83{i} host-84{i} 10.0.1.{i} end") for i in range(10, 30)] + [(200, "log host-8399 host-8499 Y-11q51 end")]
     made = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in P.find_personal_data(docs_of(spark, seeds + others + lists), "doc_id", "text", P.CORPUS).collect()}
     assert all(made[i] == ["context_ip"] for i, _ in others) and made[200] == ["context_ip"]
+
+
+def test_scores_follow_a_chain_of_patterns_to_its_end(spark):
+    # Pattern n vouches for candidate n only with the candidates of the patterns before it.
+    edges, seeds = [], [(f"s{i}", "ip") for i in range(12)]
+    for n in range(8):
+        edges += [(f"p{n}", f"s{i}") for i in range(12)] + [(f"p{n}", f"c{n}")]
+        edges += [(f"p{n}", f"c{n - 1}"), (f"p{n}", f"d{n - 1}"), (f"p{n}", f"e{n - 1}")] if n else []
+        edges += [(f"p{n}", f"d{n}"), (f"p{n}", f"e{n}")]
+    table = spark.createDataFrame(edges, "pattern string, instance string")
+    known = spark.createDataFrame(seeds, "instance string, kind string")
+    settings = {"confident": 0.75, "accept": 0.75}
+    short = P.score_instances(table, known, P.Settings(rounds=3, **settings)).select("instance").collect()
+    whole = P.score_instances(table, known, P.Settings(rounds=None, **settings)).select("instance").collect()
+    assert {r["instance"] for r in short} < {r["instance"] for r in whole}
+    assert {r["instance"] for r in whole} == {f"{c}{n}" for c in "cde" for n in range(8)}
