@@ -9,12 +9,15 @@ from curatrix import constants as K
 from curatrix.functions.text import clean_text, let, strip, words
 
 
-def extract_signals(task: Column) -> Column:
-    """[Q1] libraries, frameworks, language, keywords and concepts of a task."""
+def extract_signals(task: Column, max_concepts: int | None = None) -> Column:
+    """[Q1] libraries, frameworks, language, keywords and concepts of a task; of these the first
+    ``max_concepts`` where a number is asked for."""
     trimmed = F.transform(words(task), lambda w: F.lower(F.btrim(w, F.lit(K.SIGNAL_TRIM))))
     keywords = F.array_sort(F.array_distinct(F.filter(trimmed, lambda w: F.length(w) > 2)))
     libraries = F.array_intersect(keywords, F.array(*[F.lit(x) for x in K.KNOWN_LIBRARIES]))
-    concepts = F.slice(F.array_except(keywords, libraries), 1, 20)
+    concepts = F.array_except(keywords, libraries)
+    if max_concepts is not None:
+        concepts = F.slice(concepts, 1, max_concepts)
     return F.struct(
         libraries.alias("libraries"),
         libraries.alias("frameworks"),

@@ -23,7 +23,7 @@ SIGNALS = f"""words AS (SELECT task_id, task, languages,
 
 
 def _signals(t):
-    return t("coding_tasks").withColumn("s", Q.extract_signals(F.col("task")))
+    return t("coding_tasks").withColumn("s", Q.extract_signals(F.col("task"), 20))  # 20 as in SIGNALS
 
 
 def _numbered(rows, array, name):

@@ -2,6 +2,9 @@
 
 import inspect
 
+from pyspark.sql import functions as F
+
+from curatrix.functions import queries as Q
 from curatrix.plans.curate import collect_urls, curate
 from curatrix.plans.rank_queries import page_hits
 from curatrix.sources import payloads, tables
@@ -27,3 +30,9 @@ def test_pages_are_found_by_their_whole_text_and_cut_after_the_gates(spark):
     chosen = collect_urls(tasks, payloads.search_hits(hits), None, semantic)
     assert [r.url for r in chosen.filter("task_id = 1").collect()] == ["https://example.org/deep"]
     assert chosen.filter("task_id = 2").count() == 31
+
+
+def test_all_concepts_of_a_long_task(spark):
+    task = spark.createDataFrame([(" ".join(f"concept{i:02}" for i in range(35)),)], "task string")
+    made = task.select(Q.extract_signals(F.col("task")).alias("s"), Q.extract_signals(F.col("task"), 20).alias("few")).first()
+    assert len(made.s.concepts) == 35 and made.few.concepts == made.s.concepts[:20]
