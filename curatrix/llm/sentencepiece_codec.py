@@ -8,8 +8,8 @@ falls apart before each run of markers without changing its encoding; distinct p
 once, by the library's multithreaded batch call, and a process keeps a bounded number of them. Where a model does hold such a
 piece, whole texts are encoded.
 
-Parity: every distinct part is also encoded by the ``sentencepiece`` library, and so is the first
-whole text of each chunk; ``parity`` says whether all parts of a text agree.
+Parity: every whole text is also encoded by the ``sentencepiece`` library; ``parity`` says whether
+the ids are equal.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a literal marker
 character in a text decodes to a space (``lossless`` is false, as in the model's own library);
@@ -164,10 +164,8 @@ class Codec:
         self.by_parts = _parts_hold(self.model) and not self.model.charsmap and not self.model.squeeze
         self.tokenizer = build_tokenizer(self.model, cut=not self.by_parts)
         self.peer = sentencepiece.SentencePieceProcessor(model_proto=data)
-        # Part -> bytes of its ids (neither is an object the garbage collector visits), and the parts
-        # for which the other library disagrees.
+        # Part -> bytes of its ids (neither is an object the garbage collector visits).
         self._made: dict[str, bytes] = {}
-        self._wrong: set[str] = set()
         self._bytes = [
             bytes([int(p[3:-1], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode()
             for p, _, k in self.model.pieces
@@ -177,18 +175,16 @@ class Codec:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str], lead: str) -> None:
-        """Ids of parts by both libraries."""
+        """Ids of parts."""
         if len(self._made) + len(parts) > PARTS_KEPT:
-            self._made, self._wrong = {}, set()
+            self._made = {}
         # A part that is the lone prefix stands for itself only before another part.
         plain = [p for p in parts if p != lead]
         for at in range(0, len(plain), PARTS_AT_ONCE):
             some = plain[at : at + PARTS_AT_ONCE]
             raw = [p[len(lead) :].replace(MARK, " ") for p in some]
-            for p, a, b in zip(some, self._encode_all(raw), self.peer.encode(raw, num_threads=1), strict=True):
+            for p, a in zip(some, self._encode_all(raw), strict=True):
                 self._made[p] = struct.pack(f"<{len(a)}i", *a)
-                if a != b:
-                    self._wrong.add(p)
         if len(plain) < len(parts):
             self._made[lead] = np.array(self._lone(lead), "<i4").tobytes()
 
@@ -207,10 +203,7 @@ class Codec:
             new = list(distinct)
         self._learn(new, lead)
         ids = [np.frombuffer(b"".join(map(self._made.__getitem__, row)), "<i4") for row in parts]
-        same = [not self._wrong or self._wrong.isdisjoint(row) for row in parts]
-        if texts and ids[0].tolist() != self.peer.encode(texts[0]):
-            same[0] = False
-        return ids, same
+        return ids, [x.tolist() == self.peer.encode(t) for x, t in zip(ids, texts, strict=True)]
 
     @functools.lru_cache(maxsize=64)  # noqa: B019
     def _lone(self, part: str) -> list[int]:
