@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import blob_ledger, chat_format, crf_lines, decontaminate, nbsvm, pii_bootstrap, sentencepiece_codec, simhash_segments, substring_dedup, url_vocab
+from curatrix.llm import blob_ledger, chat_format, crf_lines, decontaminate, nbsvm, pii_bootstrap, sentencepiece_codec, simhash_segments, structure_repair, substring_dedup, url_vocab
 from curatrix.llm.common import cut_lineage, read_table
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -375,3 +375,98 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows of conversations with one of six things done to them, chosen by CRC-32 of ``conv_id:turn``."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(key.cast("binary")) % 20).alias("what"))
+    text = F.when(F.col("what") == 1, "").when(F.col("what") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("what") == 4, "user").otherwise(F.col("role"))
+    twice = F.explode(F.array_repeat(F.lit(0), F.when(F.col("what") == 3, 2).otherwise(1))).alias("copy")
+    return rows.filter("what <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), twice).drop("copy")
+
+
+def _best_sql(*candidates: str) -> str:
+    return f"list_min([{', '.join(candidates)}])"
+
+
+def _moved_sql(before: int, more: str, edits: str, when: str = "NOT gone") -> str:
+    return f"CASE WHEN {when} THEN {{'c': s{before}.c + {more}, 'e': s{before}.e || '{edits}'}} ELSE far END"
+
+
+_SURVIVORS_SQL = [
+    _best_sql(_moved_sql(0, "3", "D", "true")),
+    _best_sql(_moved_sql(1, "3", "D", "true"), _moved_sql(0, "cut", "K", "NOT gone AND initial = 's'")),
+    _best_sql(
+        _moved_sql(2, "3", "D", "true"),
+        *(_moved_sql(x, "cut", "K", "NOT gone AND initial = 'u'") for x in (0, 1, 3)), _moved_sql(2, "cut + 2", "IK", "NOT gone AND initial = 'u'"),
+        *(_moved_sql(x, "cut + 2", "R") for x in (0, 1, 3)), _moved_sql(2, "cut + 4", "IR"),
+    ),
+    _best_sql(
+        _moved_sql(3, "3", "D", "true"),
+        *(_moved_sql(x, "cut + 2", "IK", "NOT gone AND initial = 'a'") for x in (0, 1, 3)), _moved_sql(2, "cut", "K", "NOT gone AND initial = 'a'"),
+        *(_moved_sql(x, "cut + 4", "IR") for x in (0, 1, 3)), _moved_sql(2, "cut + 2", "R"),
+    ),
+]
+
+
+@query(
+    rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b::UBIGINT, range(8)::UBIGINT[]),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END)) AS t
+), chosen AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::UBIGINT)),
+      lambda c, b: xor(t[((xor(c, b) & 255) + 1)::BIGINT], c >> 8))) % 20 AS what
+  FROM conversations, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN what = 1 THEN '' WHEN what = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN what = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM chosen WHERE what <> 0
+), numbered AS (
+  SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed, left(role, 1) AS initial, lag(left(role, 1)) OVER w AS initial_before
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))
+), faults AS (
+  SELECT *, CASE WHEN trimmed = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM numbered
+), survivors AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'e': ''}} AS s0, {{'c': 1000000000::BIGINT, 'e': ''}} AS s1, {{'c': 1000000000::BIGINT, 'e': ''}} AS s2, {{'c': 1000000000::BIGINT, 'e': ''}} AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, {", ".join(_SURVIVORS_SQL)} FROM (
+    SELECT s.conv_id, f.i, s0, s1, s2, s3, f.initial, fault IN ('blank', 'duplicate') AS gone, (fault = 'truncated')::BIGINT AS cut, {{'c': 1000000000::BIGINT, 'e': ''}} AS far
+    FROM survivors s JOIN faults f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = s.i + 1)
+), ended AS (
+  SELECT conv_id, arg_max(list_min([s0, s3, {{'c': s2.c + 2, 'e': s2.e || 'I'}}, {{'c': s1.c + 4, 'e': s1.e || 'II'}}]), i) AS best FROM survivors GROUP BY conv_id
+), letters AS (
+  SELECT conv_id, k, best.e[k] AS letter, length(replace(best.e, 'D', '')) AS n_out,
+    length(replace(best.e[:k], 'D', '')) AS place, length(replace(best.e[:k], 'I', '')) AS i
+  FROM (SELECT conv_id, best, unnest(range(1, length(best.e) + 1)) AS k FROM ended)
+), repaired AS (
+  SELECT l.conv_id, string_agg(CASE letter WHEN 'K' THEN f.role ELSE CASE WHEN (place + n_out) % 2 = 1 THEN 'user' ELSE 'assistant' END END
+    || ':' || CASE letter WHEN 'I' THEN '' ELSE f.text END, chr(10) ORDER BY k) AS whole
+  FROM letters l LEFT JOIN faults f ON l.conv_id IS NOT DISTINCT FROM f.conv_id AND l.i = f.i WHERE letter <> 'D' GROUP BY l.conv_id
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (initial_before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, best.c AS cost, best.e AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON e.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+)
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = structure_repair.faulty(damaged(turns), "conv_id", "turn", "role", "text")
+    made = structure_repair.report(structure_repair.in_order(rows))
+    every = turns.select("conv_id").distinct()
+    joined = every.join(made, every["conv_id"].eqNullSafe(made["conv"]), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return joined.select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
