@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import blob_ledger, chat_format, crf_lines, decontaminate, nbsvm, pii_bootstrap, sentencepiece_codec, simhash_segments, structure_repair, substring_dedup, url_vocab
+from curatrix.llm import blob_ledger, chat_format, collocations, crf_lines, decontaminate, nbsvm, pii_bootstrap, sentencepiece_codec, simhash_segments, structure_repair, substring_dedup, url_vocab
 from curatrix.llm.common import cut_lineage, read_table
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -470,3 +470,41 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
+
+
+@query(
+    r"""
+WITH pieces AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), counts AS (
+  SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, range(1, 6) AS t(k) WHERE len(w) >= k) GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM counts WHERE words = 1 GROUP BY lang
+), candidates AS (
+  SELECT * FROM counts WHERE words > 1 AND a >= 100
+), inside AS (
+  SELECT lang, words AS longer, a, unnest(range(2, words)) AS size, string_split(phrase, ' ') AS w FROM candidates WHERE words > 2
+), held AS (
+  SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(a) AS largest
+  FROM (SELECT lang, a, size, w, unnest(range(1, longer - size + 2)) AS i FROM inside) GROUP BY ALL
+), cuts AS (
+  SELECT lang, phrase, words, a, string_split(phrase, ' ') AS w, unnest(range(1, words)) AS k
+  FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.lang = c.lang AND h.phrase = c.phrase AND 100 * h.largest >= 100 * c.a)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, k, f.a AS l, g.a AS r, n, ((1000::HUGEINT * c.a * n) // (f.a::HUGEINT * g.a))::BIGINT AS score
+  FROM cuts c JOIN counts f ON f.lang = c.lang AND f.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN counts g ON g.lang = c.lang AND g.phrase = array_to_string(c.w[k + 1:], ' ') JOIN totals t ON t.lang = c.lang
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= 2000
+"""
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"), "text", "lang")
