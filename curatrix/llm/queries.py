@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import blob_ledger, chat_format, collocations, crf_lines, decontaminate, nbsvm, pii_bootstrap, sentencepiece_codec, simhash_segments, structure_repair, substring_dedup, url_vocab
+from curatrix.llm import blob_ledger, chat_format, collocations, crf_lines, decontaminate, language_id, nbsvm, pii_bootstrap, sentencepiece_codec, simhash_segments, structure_repair, substring_dedup, url_vocab
 from curatrix.llm.common import cut_lineage, read_table
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -508,3 +508,13 @@ FROM lowest QUALIFY rank <= 2000
 )
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(read_table(spark, sf_dir, "documents"), "text", "lang")
+
+
+@query()
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    # A null id has no remainder and is learned from, like every id that is not held out.
+    model = language_id.train(docs.filter(~F.coalesce(held_out, F.lit(False))), "text", "lang")
+    made = language_id.predict(docs.select("doc_id", "text"), "text", model)
+    return made.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -240,23 +240,26 @@ def links(nodes: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
 def simhash_components(
     docs: DataFrame, key: str, text: str, shingle: int = 3, distance: int = 3, seed: int = 42, n: int = 1
 ) -> DataFrame:
-    """(key, row, fp, component_id) for every row: ``row_key`` of the text, the first of ``n``
-    fingerprints, and the smallest key that links reach."""
+    """(key, row, fp, component_id, root) for every row: ``row_key`` of the text, the first of ``n``
+    fingerprints, the smallest key that links reach, and a name of the group."""
     named = F.col("fp") if n == 1 else F.xxhash64("fps")
     rows = cut_lineage(fingerprints(docs, key, text, shingle, seed, n).withColumn("node", named))
     distinct = cut_lineage(rows.groupBy("node").agg(F.min("key").alias("first"), F.min("fps").alias("fps")))
     roots = connected_components(links(distinct.select("node", "fps"), distance))
     rooted = distinct.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = rooted.join(least, "root").select("node", "component_id")
-    return rows.select("key", "row", "fp", "node").join(found, "node").select(F.col("key").alias(key), "row", "fp", "component_id")
+    found = rooted.join(least, "root").select("node", "root", "component_id")
+    return rows.select("key", "row", "fp", "node").join(found, "node").select(F.col("key").alias(key), "row", "fp", "component_id", "root")
 
 
 def one_of_each(docs: DataFrame, key: str, text: str, **how: int) -> DataFrame:
-    """The rows of ``docs`` with the smallest key of their group; of equal rows one stays."""
+    """One row of ``docs`` of each group: that with the smallest key (null last), then ``row_key`` of
+    the text; of rows that agree in both, the one whose columns are least."""
     made = simhash_components(docs, key, text, **how)
-    kept = made.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_key"), F.col("row").alias("kept_row")).distinct()
+    first = F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), "row")).alias("first")
+    kept = made.groupBy("root").agg(first).select(F.col("first.key").alias("kept_key"), F.col("first.row").alias("kept_row"))
     row = free_name(docs, "row")
     named = docs.withColumn(row, row_key(F.col(text)))
     held = named.join(kept, same_row(named, kept, key, row, "kept_key", "kept_row"), "left_semi")
-    return held.dropDuplicates([key, row]).drop(row)
+    least = held.groupBy(key, row).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("whole"))
+    return least.select(*(F.col(f"whole.`{c}`") for c in docs.columns))
