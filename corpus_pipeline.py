@@ -8,46 +8,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import decontaminate, nbsvm, pii_bootstrap, sentencepiece_codec
-from curatrix.llm.common import free_name, read_table, row_key, same_row, shared_folder, text_or_empty
+from curatrix.llm import decontaminate, nbsvm, pii_bootstrap, sentencepiece_codec, simhash_segments
+from curatrix.llm.common import free_name, read_table, shared_folder
 from curatrix.llm.queries import QUALITY_AT, SENTENCEPIECE_MODEL
-from curatrix.operators.neardup import near_dedup
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Near copies: Jaccard similarity of the sets of five-word shingles.
-SIMILAR = {"shingle_size": 5, "threshold": 0.8}
-#: SimHash ranges in which most such copies lie; the tests' loops find them so on small tables.
-NEAR = {"shingle": 3, "distance": 5, "n": 4}
+#: Near copies: fingerprints of three-word shingles that differ in three bits at most.
+NEAR = {"shingle": 3, "distance": 3}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier, fitted on all labels that the sample's bound admits, accepts."""
+    """Rows that the classifier, fitted on all labels that the sample's bound admits, accepts. A null
+    text scores like an empty one; equal rows stay or go together; no column is added."""
     model = nbsvm.train(docs, read_table(spark, sf_dir, "labels"), "doc_id", "text", "quality")
     score = free_name(docs, "score")
     return nbsvm.score(docs, "text", model, score).filter(F.col(score) >= QUALITY_AT).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in the order of doc_id, null last; a row is kept unless its five-word similarity with a
-    row kept before it is 0.8 or more. Pairs are found by exact prefixes, so none is missed, and each
-    is checked on its shingle sets. A null text is an empty one; of equal rows one stays."""
-    row = free_name(docs, "row")
-    named = docs.withColumn(row, row_key(F.col("text"))).dropDuplicates(["doc_id", row])
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
-    texts = named.select(place.alias("order"), text_or_empty(F.col("text")).alias("text"))
-    kept = near_dedup(texts, "text", "order", **SIMILAR).select(F.col("order.id").alias("kept_id"), F.col("order.row").alias("kept_row"))
-    return named.join(kept, same_row(named, kept, "doc_id", row, "kept_id", "kept_row"), "left_semi").drop(row)
+    """One row of each group that links of fingerprints connect: that with the smallest doc_id, null
+    last. A null text is an empty one, and all empty texts are one group; equal rows are one group."""
+    return simhash_segments.one_of_each(docs, "doc_id", "text", **NEAR)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of which less than a twentieth of the words stands in windows of benchmark items."""
+    """Rows of which less than a twentieth of the words stands in windows of benchmark items. A null or
+    empty text has no words and stays; equal rows stay or go together; no column is added."""
     items = read_table(spark, sf_dir, "benchmark")
     return decontaminate.drop_contaminated(docs, "doc_id", "text", items, "item_id", "text")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with personal data replaced by its kind and n_chars counted again."""
+    """All rows, with personal data replaced by its kind and n_chars counted again. A null text stays
+    null; equal rows are redacted alike; no column is added."""
     made = pii_bootstrap.redact(docs, "doc_id", "text", pii_bootstrap.CORPUS)
     if "n_chars" not in docs.columns:
         return made
@@ -56,7 +50,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their token ids, and whether decoding gives the text back."""
+    """All rows with their token ids, and whether decoding gives the text back. A null or empty text
+    has no ids; equal rows get equal ids; input columns named like the new ones are replaced by them."""
     return sentencepiece_codec.encode_texts(docs, "text", SENTENCEPIECE_MODEL)
 
 
