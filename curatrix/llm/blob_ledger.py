@@ -6,8 +6,8 @@ lacks, each blob once however many paths or versions hold it, and joins the find
 back to all paths.
 
 Defined results: a null text is the empty blob; a null path or version is a path like any other;
-repeated rows each get their findings; an empty table gives empty results; other columns of the
-input are not read and cannot clash. A rule that changes gets a new version and is then scanned
+repeated rows each get their findings; an empty table gives empty results; very long texts are scanned in one
+linear pass a rule; other columns pass through, and one that is called like the new column is replaced. A rule that changes gets a new version and is then scanned
 again; findings of old versions stay in the ledger and are not reported.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import text_or_empty
+from curatrix.llm.common import free_name, text_or_empty
 
 LEDGER = (
     "blob string, rule string, rule_version int, spans array<struct<start: int, end: int>>"
@@ -53,7 +53,7 @@ RULES = (
     ),
     Rule("access", 1, r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", 1, r"[0-9a-f]+", least=24),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", least=30),
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", least=30),
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 
@@ -114,20 +114,22 @@ def scan_unseen(versions: DataFrame, text: str, ledger: DataFrame | None = None,
     return asked.mapInArrow(_scanner(rules), LEDGER)
 
 
-def findings(versions: DataFrame, text: str, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``versions`` without its text, with ``blob`` and ``found``: spans ordered by start, then
+def findings(versions: DataFrame, text: str, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "found_spans") -> DataFrame:
+    """``versions`` without its text, with ``into``: spans ordered by start, then
     by the order of the rules, from the ledger rows of the rules' current versions."""
     order = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)))
     current = " OR ".join(f"(rule = '{r.name}' AND rule_version = {r.version})" for r in rules)
+    kept = [c for c in versions.columns if c not in (text, into)]
+    blob, theirs, spans = free_name(versions, "blob"), free_name(versions, "found_blob"), free_name(versions, "spans")
     per_blob = (
         ledger.filter(current)
         .filter(F.size("spans") > 0)
         .dropDuplicates(["blob", "rule"])
         .select("blob", "rule", F.inline("spans"))
-        .groupBy(F.col("blob").alias("found_blob"))
-        .agg(F.array_sort(F.collect_list(F.struct("start", order[F.col("rule")].alias("place"), F.col("rule").alias("kind"), "end"))).alias("found_spans"))
+        .groupBy(F.col("blob").alias(theirs))
+        .agg(F.array_sort(F.collect_list(F.struct("start", order[F.col("rule")].alias("place"), F.col("rule").alias("kind"), "end"))).alias(spans))
     )
     none = F.array().cast("array<struct<start: int, place: int, kind: string, end: int>>")
-    held = versions.withColumn("found_blob", blob_id(F.col(text))).drop(text)
-    joined = held.join(per_blob, "found_blob", "left")
-    return joined.withColumn("found_spans", F.coalesce("found_spans", none))
+    held = versions.select(*(F.col(f"`{c}`") for c in kept), blob_id(F.col(text)).alias(blob))
+    joined = held.join(per_blob, F.col(blob) == F.col(theirs), "left")
+    return joined.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(spans, none).alias(into))

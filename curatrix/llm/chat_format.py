@@ -8,7 +8,7 @@ the one row of each conversation that holds all of its turns.
 Template: ``<|im_start|>role``, a line feed, the text, ``<|im_end|>``, a line feed. Control strings
 inside texts are escaped: a backslash goes behind their first character, after any backslashes that
 are there already, so the step back is exact for every text. A role's backslashes and line feeds
-are written as two characters each.
+are written as two characters each before its control strings are escaped, so roles come back exactly too.
 
 Defined results: a null role or text is empty; a null conversation id is a conversation of its
 own; turns are ordered by (turn, role, text), nulls first, so ties and repeated rows have one
@@ -41,11 +41,11 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescape_role(role: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"), r"\\\\", r"\\")
+    return F.regexp_replace(F.regexp_replace(unescape(role), r"(?<!\\)((?:\\\\)*)\\n", "$1\n"), r"\\\\", r"\\")
 
 
 def formatted(turn: Column) -> Column:

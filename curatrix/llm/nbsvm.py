@@ -11,7 +11,8 @@ the order of a hash of their id. It runs in one task on that sample; the model i
 ``2 ** Settings.bits`` weights. Scoring is one narrow pass over all rows.
 
 Defined results: a null text scores like the empty text, which has no indicator and gets the score of no evidence;
-rows without a label do not take part in the fit; repeated rows get equal scores; where a class
+rows without a label do not take part in the fit; repeated rows get equal scores; ties of the sample's hash go by
+id, label and text; very long texts are read whole, in one pass of fixed memory beside the text; a column called like the score is replaced; where a class
 has no labelled row every score is the share of label 1 among the labels (0.5 without labels);
 empty tables give no rows; only the id and text columns of the documents are read.
 """

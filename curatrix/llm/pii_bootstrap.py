@@ -4,9 +4,10 @@
 2. Candidates: other tokens that look like identifiers (a digit and at least five characters, or an
    ``@`` within).
 3. Each occurrence of a seed or candidate induces lexical patterns: the two words before it, the
-   three words before it, and the word on either side.
+   three words before it, and the word on either side. Words are whole, however long; white space
+   parts them, as do the ends of matches of the same kind.
 4. A graph joins patterns and instances (distinct strings, so copies of a document count once).
-   Spark scores it in rounds: a pattern's confidence for a kind is the mean score of its
+   Spark scores it in rounds, until no confidence changes: a pattern's confidence for a kind is the mean score of its
    instances; a candidate's score is one minus the product of its confident patterns' doubts.
 5. Candidates whose score reaches the limit are identifiers of that kind, wherever they occur.
 
@@ -39,65 +40,42 @@ SEEDS = {
 #: Marks the kind of what patterns discovered: "context_" and the kind of the seeds.
 FOUND = "context_"
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[\"'(<\[]*+(?=[^\x20\x09-\x0D]*[0-9@])[A-Za-z0-9+#@][^\x20\x09-\x0D]{4,}"
-#: Characters of context that are looked at on either side.
-CONTEXT = 160
-
-
 @dataclass(frozen=True)
 class Settings:
-    rounds: int | None = 3  # None: until no confidence changes
+    rounds: int | None = None  # None: until no confidence changes
     least_seeds: int = 3  # distinct seeds of a kind that a pattern must have
     confident: float = 0.8  # confidence from which a pattern vouches for its instances
     accept: float = 0.9  # score from which a candidate is an identifier
     trailing: str = r"[\"')>\].,;:!?]+$"  # not part of a candidate
-    whole: bool = False  # context is the text around a match, else up to matches of the same kind
-
 
-#: What a corpus is cleaned with: context across neighbouring matches, scores that have settled.
-CORPUS = Settings(rounds=None, whole=True)
 
+#: Code points of the pieces that a text is cut into where spans are taken out of it.
+PIECE = 1000
+BLANKS = r"[\x20\x09-\x0D]+"
 
-def _starts(gaps: Column, found: Column) -> Column:
-    """Where each match starts."""
-    sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
-    def step(done: Column, s: Column) -> Column:
-        start = done["at"] + s["gap"]
-        return F.struct((start + s["n"]).alias("at"), F.concat(done["starts"], F.array(start)).alias("starts"))
+def _pieces(text: Column, kind: str, pattern: str) -> Column:
+    """Structs of (kind, number, found, gap length, words before, words after) for every match. A context is made
+    of the few gaps and matches next to a match, so a text costs in proportion to its length."""
 
-    return F.aggregate(sizes, none, step, lambda done: done["starts"])
+    def of_gaps(found: Column):
+        def near(gaps: Column):
+            def made(flat: Column) -> Column:
+                # One word before a match of three words is the third at most; a match is a word or more.
+                def one(m: Column, i: Column) -> Column:
+                    tail = [F.substring_index(F.get(flat, i - k), " ", -4) for k in range(3)]
+                    before = F.concat_ws(" ", F.get(found, i - 3), tail[2], F.get(found, i - 2), tail[1], F.get(found, i - 1), tail[0])
+                    after = F.concat_ws(" ", F.substring_index(F.get(flat, i + 1), " ", 2), F.get(found, i + 1))
+                    return F.struct(
+                        F.lit(kind).alias("kind"), i.alias("number"), m.alias("found"), F.length(F.get(gaps, i)).alias("gap"),
+                        before.alias("before"), after.alias("after"),
+                    )
 
+                return F.transform(found, one)
 
-def _pieces(text: Column, kind: str, pattern: str, whole: bool) -> Column:
-    """Structs of (kind, number, found, gap length, words before, words after) for every match."""
+            return let(F.transform(gaps, lambda g: F.regexp_replace(g, BLANKS, " ")), made)
 
-    def of_gaps(found: Column):
-        def made(gaps: Column) -> Column:
-            def one(m: Column, i: Column) -> Column:
-                before, after = F.element_at(gaps, i + 1), F.element_at(gaps, i + 2)
-                return F.struct(
-                    F.lit(kind).alias("kind"),
-                    i.alias("number"),
-                    m.alias("found"),
-                    F.length(before).alias("gap"),
-                    F.substring(before, -CONTEXT, CONTEXT).alias("before"),
-                    F.substring(after, 1, CONTEXT).alias("after"),
-                )
-
-            def around(starts: Column) -> Column:
-                def both(m: Column, i: Column) -> Column:
-                    start = F.element_at(starts, i + 1)
-                    near = F.least(start, F.lit(CONTEXT))
-                    piece = one(m, i)
-                    piece = piece.withField("before", F.substring(text, start - near + 1, near))
-                    return piece.withField("after", F.substring(text, start + F.length(m) + 1, F.lit(CONTEXT)))
-
-                return F.transform(found, both)
-
-            return let(_starts(gaps, found), around) if whole else F.transform(found, one)
-
-        return let(F.split(text, pattern, -1), made)
+        return let(F.split(text, pattern, -1), near)
 
     empty = F.array().cast("array<struct<kind: string, number: int, found: string, gap: int, before: string, after: string>>")
     return let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda found: F.when(F.size(found) > 0, of_gaps(found)).otherwise(empty))
@@ -130,13 +108,14 @@ def _holds(kind: Column, found: Column) -> Column:
     )
 
 
-def spans(docs: DataFrame, trailing: str = Settings.trailing, whole: bool = False) -> DataFrame:
+def spans(docs: DataFrame, trailing: str = Settings.trailing) -> DataFrame:
     """(key, row, kind, start, end, found, before, after) of all seeds and of the candidates that
-    overlap none; ``docs`` has key, row and text."""
+    overlap none; ``docs`` has key, row and text. ``before`` ends with the three words before, ``after``
+    begins with the one behind."""
     patterns = {**SEEDS, "candidate": CANDIDATE}
 
     def every(text: Column) -> Column:
-        return F.concat(*(_pieces(text, k, p, whole) for k, p in patterns.items()))
+        return F.concat(*(_pieces(text, k, p) for k, p in patterns.items()))
 
     found = docs.select("key", "row", F.explode_outer(let(text_or_empty(F.col("text")), every)).alias("p")).filter("p.kind IS NOT NULL")
     # One row for each match, numbered by kind: starts are sums over the matches before.
@@ -155,7 +134,8 @@ def spans(docs: DataFrame, trailing: str = Settings.trailing, whole: bool = Fals
     })
     held = trimmed.filter(F.when(candidate, F.length("found") >= 5).otherwise(_holds(F.col("kind"), F.col("found"))))
     before = Window.partitionBy("key", "row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("key", "row").orderBy("start", "end", "kind").rowsBetween(1, Window.unboundedFollowing)
+    # What follows is what comes before in the opposite order: frames that reach to the end are worked out anew for every row.
+    after = Window.partitionBy("key", "row").orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
     seed = ~candidate
     reach = F.max(F.when(seed, F.col("end"))).over(before)
     next_one = F.min(F.when(seed, F.col("start"))).over(after)
@@ -222,7 +202,7 @@ def find_personal_data(docs: DataFrame, key: str, text: str, settings: Settings
     """(key, row, spans) for every row of ``docs``: an array of (start, place, kind, end) ordered by
     start, then by the kinds' order. ``row`` is ``row_key`` of the text."""
     rows = docs.select(F.col(key).alias("key"), row_key(F.col(text)).alias("row"), F.col(text).alias("text"))
-    every = cut_lineage(spans(rows, settings.trailing, settings.whole))
+    every = cut_lineage(spans(rows, settings.trailing))
     seeds = every.filter("kind <> 'candidate'").select(F.col("found").alias("instance"), "kind").distinct()
     context = every.select(F.col("found").alias("instance"), F.explode_outer(_patterns(F.col("before"), F.col("after"))).alias("pattern"))
     edges = cut_lineage(context.filter("pattern IS NOT NULL").distinct())
@@ -246,30 +226,47 @@ def find_personal_data(docs: DataFrame, key: str, text: str, settings: Settings
     return joined.select(F.col("key").alias(key), "row", F.coalesce("spans", none).alias("spans"))
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with every span, or run of overlapping spans, replaced by its first kind in angle
-    brackets."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
+def _between(pieces: Column, a: Column, b: Column) -> Column:
+    """Code points ``a`` (from 0) to ``b`` of a text in pieces."""
+    first, last = (a / PIECE).cast("int"), (b / PIECE).cast("int")
+    head = F.substring(F.get(pieces, first), a % PIECE + 1, F.lit(PIECE))
+    tail = F.substring(F.coalesce(F.get(pieces, last), F.lit("")), F.lit(1), b % PIECE)
+    inside = F.substring(F.get(pieces, first), a % PIECE + 1, b - a)
+    across = F.concat(F.coalesce(head, F.lit("")), F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), tail)
+    return F.when(first == last, F.coalesce(inside, F.lit(""))).otherwise(across)
+
+
+def redacted(text: Column, runs: Column) -> Column:
+    """The text with every run (start, kind, end) replaced by its kind in angle brackets; runs are ordered and apart."""
+
+    def made(pieces: Column) -> Column:
+        def one(r: Column, i: Column) -> Column:
+            since = F.coalesce(F.get(runs, i - 1)["end"], F.lit(0))
+            return F.concat(_between(pieces, since, r["start"]), F.lit("<"), F.upper(r["kind"]), F.lit(">"))
+
+        rest = _between(pieces, F.element_at(runs, -1)["end"], F.length(text))
+        return F.concat(F.array_join(F.transform(runs, one), ""), rest)
 
-    def step(done: Column, s: Column) -> Column:
-        fresh = s["start"] >= done["at"]
-        piece = F.concat(F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        more = F.when(fresh, F.concat(done["pieces"], F.array(piece))).otherwise(done["pieces"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), more.alias("pieces"))
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), 0), made)
 
-    def joined(done: Column) -> Column:
-        return F.concat(F.array_join(done["pieces"], ""), F.substring(text, done["at"] + 1, F.length(text)))
 
-    return F.aggregate(spans, start, step, joined)
+def _runs(found: DataFrame) -> DataFrame:
+    """(span_key, span_row, runs): overlapping spans joined, with the kind of the first."""
+    each = found.select("span_key", "span_row", F.posexplode("spans").alias("pos", "s"))
+    order = Window.partitionBy("span_key", "span_row").orderBy("pos")
+    reach = F.coalesce(F.max("s.end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = each.withColumn("fresh", (F.col("s.start") >= reach).cast("int")).withColumn("run", F.sum("fresh").over(order))
+    runs = numbered.groupBy("span_key", "span_row", "run").agg(F.min("s.start").alias("start"), F.min_by("s.kind", "pos").alias("kind"), F.max("s.end").alias("end"))
+    return runs.groupBy("span_key", "span_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("runs"))
 
 
 def redact(docs: DataFrame, key: str, text: str, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """``docs`` with personal data replaced in ``text``; all other columns and rows as they are."""
     found = find_personal_data(docs, key, text, settings).filter(F.size("spans") > 0)
     made = found.select(F.col(key).alias("span_key"), F.col("row").alias("span_row"), "spans").dropDuplicates(["span_key", "span_row"])
-    row, spans_ = free_name(docs, "row"), free_name(docs, "spans")
-    made = made.withColumnRenamed("spans", spans_)
+    row, runs = free_name(docs, "row"), free_name(docs, "runs")
+    made = _runs(made).withColumnRenamed("runs", runs)
     named = docs.withColumn(row, row_key(F.col(text)))
     joined = named.join(made, same_row(named, made, key, row, "span_key", "span_row"), "left")
-    clean = F.when(F.col(spans_).isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col(spans_)))
+    clean = F.when(F.col(runs).isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col(runs)))
     return joined.select(*(clean.alias(c) if c == text else named[c] for c in docs.columns))

@@ -59,8 +59,8 @@ WITH turns AS (
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), placed AS (
   SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n,
-    length(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')) + 24 + length(regexp_replace(text,
-      '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|system\|>|\|user\|>|\|assistant\|>|\|endoftext\|>|/?s>|</?SYS>>|/?INST\])', '\1\\\2\3', 'g')) AS chars
+    24 + length(regexp_replace(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n') || chr(10) || text,
+      '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|system\|>|\|user\|>|\|assistant\|>|\|endoftext\|>|/?s>|</?SYS>>|/?INST\])', '\1\\\2\3', 'g')) - 1 AS chars
   FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), summed AS (
   SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY place) AS upto FROM placed
@@ -155,16 +155,16 @@ WITH marked AS (
     (0, 'assign', 6, true, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
     (1, 'access', 20, true, '()(AKIA[A-Z0-9]+)'),
     (2, 'hex', 24, true, '()([0-9a-f]+)'),
-    (3, 'jwt', 30, false, '()(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)'),
+    (3, 'jwt', 30, false, '(^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)'),
     (4, 'pem', 0, false, '()(-----BEGIN [A-Z ]*PRIVATE KEY-----)')
   ) AS k(place, kind, least, own, pattern)
 ), found AS (
   SELECT doc_id, place, kind, least, own, regexp_extract_all(text, pattern, 0) AS whole,
-    regexp_extract_all(text, pattern, 2) AS inner_text, regexp_split_to_array(text, pattern) AS gaps
+    regexp_extract_all(text, pattern, 2) AS inner_text, CASE kind WHEN 'jwt' THEN regexp_extract_all(text, pattern, 1) END AS ahead, regexp_split_to_array(text, pattern) AS gaps
   FROM marked
 ), placed AS (
-  SELECT doc_id, place, kind, own, least, whole[i] AS m, inner_text[i] AS inside,
-    list_sum([length(x) for x in gaps[1:i]]) + coalesce(list_sum([length(x) for x in whole[1:i - 1]]), 0) AS s
+  SELECT doc_id, place, kind, own, least, whole[i][1 + coalesce(length(ahead[i]), 0):] AS m, inner_text[i] AS inside, coalesce(length(ahead[i]), 0)
+    + list_sum([length(x) for x in gaps[1:i]]) + coalesce(list_sum([length(x) for x in whole[1:i - 1]]), 0) AS s
   FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM found)
 ), spans AS (
   SELECT doc_id, place, kind, own, s::BIGINT AS s, (s + length(m))::BIGINT AS e FROM placed WHERE length(inside) >= least
@@ -176,17 +176,23 @@ WITH marked AS (
   FROM spans GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  CASE WHEN EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 2 = 0 AND coalesce(e.text, '') = coalesce(d.text, '')) THEN 0 ELSE 5 END AS n_later_pairs
 FROM documents d LEFT JOIN per_doc USING (doc_id)
 """
 )
 def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = cut_lineage(blob_ledger.scan_unseen(docs, "text"))
-    found = blob_ledger.findings(docs, "text", ledger)
+    # Two scans, as of a repository at two times: the second reads only what the ledger of the first lacks.
+    early = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    before = cut_lineage(blob_ledger.scan_unseen(docs.filter(early), "text"))
+    later = cut_lineage(blob_ledger.scan_unseen(docs.filter(~early), "text", before))
+    found = blob_ledger.findings(docs.withColumn("blob", blob_ledger.blob_id(F.col("text"))), "text", before.unionByName(later))
+    pairs = later.groupBy("blob").agg(F.count(F.lit(1)).alias("n_later_pairs"))
     spans = F.col("found_spans")
-    return found.select(
+    return found.join(pairs, "blob", "left").select(
         "doc_id",
+        F.coalesce("n_later_pairs", F.lit(0)).alias("n_later_pairs"),
         *(n_of(spans, k).alias(f"n_{k}") for k in BASE_SECRETS),
         F.sha2(joined_spans(of_kinds(spans, BASE_SECRETS)), 256).alias("base_sha256"),
         joined_spans(spans).alias("spans"),
@@ -198,6 +204,7 @@ def _term_sql(term: str) -> str:
 
 
 _SOFT_SQL = " + ".join(f"CASE WHEN {_term_sql(t)} THEN {w} ELSE 0 END" for t, w in url_vocab.SOFT.items())
+_SOFT_HITS_SQL = " + ".join(f"CASE WHEN {_term_sql(t)} THEN 1 ELSE 0 END" for t in url_vocab.SOFT)
 
 
 @query(
@@ -213,10 +220,10 @@ WITH parted AS (
     ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS r(h, p, v)
   WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
 ), judged AS (
-  SELECT *, {" OR ".join(_term_sql(t) for t in url_vocab.STRICT)} AS firm, {_SOFT_SQL} AS soft_weight FROM parted
+  SELECT *, {" OR ".join(_term_sql(t) for t in url_vocab.STRICT)} AS firm, {_SOFT_SQL} AS soft_weight, {_SOFT_HITS_SQL} AS soft_hits FROM parted
 )
 SELECT page_id, host, path, fit.rule AS rule,
-  coalesce(fit.verdict, CASE WHEN firm OR soft_weight >= {url_vocab.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(fit.verdict, CASE WHEN firm OR (soft_hits >= {url_vocab.LEAST_SOFT} AND soft_weight >= {url_vocab.LIMIT}) THEN 'block' ELSE 'allow' END) AS verdict,
   soft_weight::INT AS soft_weight
 FROM judged LEFT JOIN fits USING (page_id)
 """
@@ -236,26 +243,12 @@ def op8_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 BASE_PERSONAL = ("email", "ip", "card", "phone")
 
 
-def _graph_round(number: int) -> str:
-    """CTEs of one round of scores over the graph of patterns and instances."""
-    before = f" UNION ALL SELECT * FROM scores{number - 1}" if number else ""
-    return f"""trust{number} AS (
-  SELECT pattern, kind, sum(score) / any_value(n) AS confidence
-  FROM able JOIN sizes USING (pattern) JOIN inside USING (pattern)
-  JOIN (SELECT instance, kind, 1.0::DOUBLE AS score FROM seeds{before}) AS held USING (instance, kind)
-  GROUP BY pattern, kind HAVING sum(score) / any_value(n) >= 0.8
-), scores{number} AS (
-  SELECT instance, kind, 1 - exp(sum(ln(greatest(1 - confidence, 1e-6)))) AS score
-  FROM inside JOIN trust{number} USING (pattern) WHERE instance NOT IN (SELECT instance FROM seeds) GROUP BY instance, kind
-)"""
-
-
 _WORDS_OF = r"regexp_extract_all(lower(regexp_replace({}, '[0-9]', '0', 'g')), '[^\x20\x09-\x0D]+')"
 
 
 @query(
     rf"""
-WITH kinds(place, kind, pattern) AS (VALUES
+WITH RECURSIVE kinds(place, kind, pattern) AS (VALUES
   (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'),
   (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
   (2, 'card', '[0-9]([\x20-]?[0-9])+'),
@@ -265,21 +258,22 @@ WITH kinds(place, kind, pattern) AS (VALUES
   SELECT doc_id, place, kind, regexp_extract_all(coalesce(text, ''), pattern, 0) AS ms, regexp_split_to_array(coalesce(text, ''), pattern) AS gaps
   FROM documents, kinds
 ), pieces AS (
-  SELECT doc_id, place, kind, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, unnest(range(1, len(ms) + 1)) AS i FROM cut
+  SELECT doc_id, place, kind, m, gap, i, concat_ws(' ', lag(m, 3) OVER w, lag(gap, 2) OVER w, lag(m, 2) OVER w, lag(gap) OVER w, lag(m) OVER w, gap) AS before,
+    concat_ws(' ', next_gap, lead(m) OVER w) AS after
+  FROM (SELECT doc_id, place, kind, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, unnest(gaps[2:len(ms) + 1]) AS next_gap, unnest(range(1, len(ms) + 1)) AS i FROM cut)
+  WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)
 ), every AS (
-  SELECT doc_id, place, kind, m, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i)::BIGINT AS e FROM pieces
+  SELECT doc_id, place, kind, m, before, after, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i)::BIGINT AS e FROM pieces
 ), matches AS (
   SELECT *, e - length(m) AS s FROM every
   WHERE kind <> 'candidate' OR (regexp_matches(m, '(?s)^["''(<\[]*[A-Za-z0-9+#@].{{4,}}$') AND regexp_matches(m, '[0-9@]'))
-), placed AS (
-  SELECT *, coalesce(lag(e) OVER w, 0) AS since, lead(s) OVER w AS until FROM matches WINDOW w AS (PARTITION BY doc_id, kind ORDER BY s)
 ), trimmed AS (
-  SELECT p.doc_id, place, kind, since, until, s AS whole_s, e AS whole_e,
+  SELECT p.doc_id, place, kind, before, after,
     CASE kind WHEN 'candidate' THEN s + length(regexp_extract(m, '^["''(<\[]*')) ELSE s END AS s,
     CASE kind WHEN 'candidate' THEN e - length(regexp_extract(m, '["'')>\].,;:!?]+$')) ELSE e END AS e,
     CASE kind WHEN 'candidate' THEN regexp_replace(regexp_replace(m, '["'')>\].,;:!?]+$', ''), '^["''(<\[]*', '') ELSE m END AS found,
     regexp_replace(m, '[^0-9]', '', 'g') AS digits
-  FROM placed p
+  FROM matches p
 ), held AS (
   SELECT * FROM trimmed WHERE CASE kind
     WHEN 'email' THEN true
@@ -295,9 +289,9 @@ WITH kinds(place, kind, pattern) AS (VALUES
   SELECT * FROM base UNION ALL
   SELECT h.* FROM held h WHERE kind = 'candidate' AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND b.s < h.e AND h.s < b.e)
 ), contexts AS (
-  SELECT found AS instance, {_WORDS_OF.format("right(substring(text, since + 1, whole_s - since), 160)")} AS w,
-    {_WORDS_OF.format("left(substring(text, whole_e + 1, coalesce(until, length(text)) - whole_e), 160)")} AS v
-  FROM spans JOIN documents USING (doc_id)
+  SELECT found AS instance, {_WORDS_OF.format("before")} AS w,
+    {_WORDS_OF.format("after")} AS v
+  FROM spans
 ), edges AS (
   SELECT DISTINCT instance, pattern FROM (SELECT instance, unnest([
     CASE WHEN len(w) >= 2 THEN '2 ' || w[-2] || ' ' || w[-1] END,
@@ -312,10 +306,23 @@ WITH kinds(place, kind, pattern) AS (VALUES
   SELECT * FROM edges WHERE pattern IN (SELECT pattern FROM able)
 ), sizes AS (
   SELECT pattern, count(*) AS n FROM inside GROUP BY pattern
-), {_graph_round(0)}, {_graph_round(1)}, {_graph_round(2)},
-best AS (
+), rounds AS (
+  SELECT -1 AS number, instance, kind, 1.0::DOUBLE AS score, -1.0::DOUBLE AS total, -2.0::DOUBLE AS total_before FROM seeds
+  UNION ALL
+  SELECT number + 1, instance, kind, score, sum(score) OVER () AS total, total AS total_before FROM (
+    SELECT number, instance, kind, 1 - exp(sum(ln(greatest(1 - confidence, 1e-6)))) AS score, any_value(total) AS total
+    FROM inside JOIN (
+      SELECT number, pattern, kind, sum(score) / any_value(n) AS confidence, any_value(total) AS total
+      FROM able JOIN sizes USING (pattern) JOIN inside USING (pattern) JOIN (
+        SELECT DISTINCT r.number, r.total, held.instance, held.kind, held.score
+        FROM (SELECT DISTINCT number, total FROM rounds WHERE abs(total - total_before) > 1e-6) r,
+          (SELECT instance, kind, 1.0::DOUBLE AS score FROM seeds UNION ALL SELECT instance, kind, score FROM rounds WHERE number >= 0) held
+      ) AS held USING (instance, kind)
+      GROUP BY number, pattern, kind HAVING sum(score) / any_value(n) >= 0.8
+    ) AS trust USING (pattern) WHERE instance NOT IN (SELECT instance FROM seeds) GROUP BY number, instance, kind)
+), best AS (
   SELECT instance, arg_min(kind, struct_pack(d := -score, p := place)) AS kind
-  FROM scores2 JOIN (SELECT place, kind FROM kinds) USING (kind) WHERE score >= 0.9 GROUP BY instance
+  FROM (SELECT * FROM rounds WHERE number >= 0 QUALIFY number = max(number) OVER ()) JOIN (SELECT place, kind FROM kinds) USING (kind) WHERE score >= 0.9 GROUP BY instance
 ), result AS (
   SELECT doc_id, place, kind, s, e, true AS own FROM base UNION ALL
   SELECT doc_id, 4 + k.place, 'context_' || b.kind, s, e, false FROM spans x

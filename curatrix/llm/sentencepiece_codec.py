@@ -5,7 +5,7 @@ and byte fallback, the normaliser's character map and white-space settings. From
 tokenizer is rebuilt: normaliser, metaspace marker, unigram scores or BPE merges, byte fallback.
 No piece of a model with the usual settings holds the marker after another character, so a text
 falls apart before each run of markers without changing its encoding; distinct parts are encoded
-once, by the library's multithreaded batch call, and a process keeps a bounded number of them. Where a model does hold such a
+once, many joined, by the library's multithreaded batch call, and a process keeps a bounded number of them. Where a model does hold such a
 piece, whole texts are encoded.
 
 Parity: every whole text is also encoded by the ``sentencepiece`` library; ``parity`` says whether
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +42,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters of text that are worked on together, parts that are encoded together, and parts whose
 #: ids a process keeps; they bound its memory and change no result.
-CHUNK_CHARS, PARTS_AT_ONCE, PARTS_KEPT = 1_000_000, 8_000, 300_000
+CHUNK_CHARS, PARTS_AT_ONCE, PARTS_KEPT = 1_000_000, 2_000, 200_000
+PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 
 
 @dataclass(frozen=True)
@@ -115,8 +117,7 @@ def _merges(model: Model) -> list[tuple[str, str]]:
     return [(left, right) for *_, left, right in sorted(found)]
 
 
-def build_tokenizer(model: Model, cut: bool = True) -> Tokenizer:
-    """``cut``: cut whole texts into parts before the model; not needed for parts."""
+def build_tokenizer(model: Model) -> Tokenizer:
     pieces = model.pieces
     unknown = pieces[model.unknown][0]
     if model.kind == UNIGRAM:
@@ -135,7 +136,7 @@ def build_tokenizer(model: Model, cut: bool = True) -> Tokenizer:
     if model.escape:
         steps.append(normalizers.Replace(" ", MARK))
     made.normalizer = normalizers.Sequence(steps)
-    if cut and _parts_hold(model):
+    if _parts_hold(model):
         made.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
     tail = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
     made.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
@@ -162,59 +163,90 @@ class Codec:
             data = file.read()
         self.model = parse_model(data)
         self.by_parts = _parts_hold(self.model) and not self.model.charsmap and not self.model.squeeze
-        self.tokenizer = build_tokenizer(self.model, cut=not self.by_parts)
+        self.lead = MARK if self.model.dummy_prefix else ""
+        self.tokenizer = build_tokenizer(self.model)
+        # Parts are normalised where they are cut.
+        self._core = build_tokenizer(self.model) if self.by_parts else self.tokenizer
+        if self.by_parts:
+            self._core.normalizer = normalizers.Sequence([])
         self.peer = sentencepiece.SentencePieceProcessor(model_proto=data)
-        # Part -> bytes of its ids (neither is an object the garbage collector visits).
+        # Part -> bytes of its ids (neither is an object the garbage collector visits): those of late, and those before.
         self._made: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
         self._bytes = [
             bytes([int(p[3:-1], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode()
             for p, _, k in self.model.pieces
         ]
+        self._pieces = pa.array(self._bytes, pa.large_binary())
+        self._sizes = np.array([len(x) for x in self._bytes], np.int64)
 
     def _encode_all(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, parts: list[str], lead: str) -> None:
-        """Ids of parts."""
-        if len(self._made) + len(parts) > PARTS_KEPT:
-            self._made = {}
-        # A part that is the lone prefix stands for itself only before another part.
-        plain = [p for p in parts if p != lead]
-        for at in range(0, len(plain), PARTS_AT_ONCE):
-            some = plain[at : at + PARTS_AT_ONCE]
-            raw = [p[len(lead) :].replace(MARK, " ") for p in some]
-            for p, a in zip(some, self._encode_all(raw), strict=True):
-                self._made[p] = struct.pack(f"<{len(a)}i", *a)
-        if len(plain) < len(parts):
-            self._made[lead] = np.array(self._lone(lead), "<i4").tobytes()
+        return [e.ids for e in self._core.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of parts. Parts that begin with a marker and go on are encoded joined: the tokenizer
+        cuts them apart again, and each token knows its part."""
+        joined = [p for p in parts if p[0] == MARK and p[-1] != MARK]
+        single = [p for p in parts if not (p[0] == MARK and p[-1] != MARK)]
+        groups = [joined[at : at + PARTS_AT_ONCE] for at in range(0, len(joined), PARTS_AT_ONCE)]
+        for some, e in zip(groups, self._core.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            data, words = np.array(e.ids, "<i4").tobytes(), np.array(e.word_ids, np.int64)
+            ends = [*(4 * (np.flatnonzero(np.diff(words)) + 1)).tolist(), len(data)]
+            if len(ends) != len(some):
+                single += some
+                continue
+            start = 0
+            for p, end in zip(some, ends, strict=True):
+                self._made[p] = data[start:end]
+                start = end
+        for p, a in zip(single, self._encode_all(single), strict=True):
+            self._made[p] = struct.pack(f"<{len(a)}i", *a)
+
+    def _cut(self, text: str) -> list[str]:
+        """A text's parts: runs of markers and what follows each."""
+        if not text:
+            return []
+        if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
+            return PARTS(self.lead + text.replace(" ", MARK))
+        return (self.lead + text.replace(" ", " " + MARK)).split(" ")
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids (little-endian 32-bit) of every text, and whether the other library gives the same."""
+        peer = self.peer.encode(texts, num_threads=1)
         if not self.by_parts:
             ids = self._encode_all(texts)
-            same = [a == b for a, b in zip(ids, self.peer.encode(texts, num_threads=1), strict=True)]
-            return [np.array(x, "<i4") for x in ids], same
-        lead = MARK if self.model.dummy_prefix else ""
-        cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
-        parts = [cut(lead + t.replace(" ", MARK)) if t else [] for t in texts]
-        distinct = {p for row in parts for p in row}
-        new = [p for p in distinct if p not in self._made]
-        if len(self._made) + len(new) > PARTS_KEPT:
-            new = list(distinct)
-        self._learn(new, lead)
+            return [np.array(x, "<i4") for x in ids], [a == b for a, b in zip(ids, peer, strict=True)]
+        parts = [self._cut(t) for t in texts]
+        if len(self._made) > PARTS_KEPT:
+            self._made, self._before = {}, self._made
+        distinct = {p for row in parts for p in row}.difference(self._made)
+        new = distinct.difference(self._before)
+        for p in distinct - new:
+            self._made[p] = self._before[p]
+        self._learn(list(new))
         ids = [np.frombuffer(b"".join(map(self._made.__getitem__, row)), "<i4") for row in parts]
-        return ids, [x.tolist() == self.peer.encode(t) for x, t in zip(ids, texts, strict=True)]
-
-    @functools.lru_cache(maxsize=64)  # noqa: B019
-    def _lone(self, part: str) -> list[int]:
-        """Ids of a part that is a marker alone: the library's encoding of "x" + part, less "x"."""
-        head = self._encode_all(["x"])[0]
-        return self._encode_all(["x" + part.replace(MARK, " ")])[0][len(head) :]
+        return ids, [x.tolist() == y for x, y in zip(ids, peer, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self._bytes.__getitem__, ids)).decode("utf-8", "replace")
         return data[1:] if self.model.dummy_prefix and data[:1] == " " else data
 
+    def decode_beside(self, ids: list[np.ndarray], texts: list[str]) -> list[tuple[int, bool]]:
+        """Characters of each decoded text, and whether it is the text."""
+        flat = np.concatenate(ids)
+        data = memoryview(self._pieces.take(pa.array(flat)).buffers()[2] or b"")
+        ends = np.append(0, np.cumsum(self._sizes[flat]))[np.cumsum([len(x) for x in ids])]
+        out, start = [], 0
+        lead = b" " if self.model.dummy_prefix else b""
+        for x, t, end in zip(ids, texts, ends.tolist(), strict=True):
+            if data[start:end] == (lead + t.encode() if t else b""):
+                out.append((len(t), True))
+            else:
+                back = self.decode(x.tolist())
+                out.append((len(back), back == t))
+            start = end
+        return out
+
 
 @functools.lru_cache(maxsize=4)
 def codec(path: str, threads: int = 0) -> Codec:
@@ -242,13 +274,15 @@ def encode_texts(docs: DataFrame, text: str, model_path: str, threads: int = 0)
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = codec(model_path, threads)
+        context = TaskContext.get()
+        # As many threads as the task has cores, unless a number is asked for.
+        made = codec(model_path, threads or (context.cpus() if context else 0))
         for batch in batches:
             column = batch.column(names.index(text))
             for a, b in _chunks(pc.utf8_length(column).fill_null(0).to_pylist()):
                 some = [t or "" for t in column.slice(a, b - a).to_pylist()]
                 ids, parity = made.encode(some)
-                back = [made.decode(x.tolist()) for x in ids]
+                back = made.decode_beside(ids, some)
                 sizes = [len(x) for x in ids]
                 flat = np.concatenate(ids).astype(np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -258,8 +292,8 @@ def encode_texts(docs: DataFrame, text: str, model_path: str, threads: int = 0)
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                         pa.array(sizes, pa.int32()),
                         pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
-                        pa.array([len(x) for x in back], pa.int32()),
-                        pa.array([x == y for x, y in zip(back, some, strict=True)], pa.bool_()),
+                        pa.array([n for n, _ in back], pa.int32()),
+                        pa.array([same for _, same in back], pa.bool_()),
                         pa.array(parity, pa.bool_()),
                     ],
                     [*names, *NEW],

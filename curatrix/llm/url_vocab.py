@@ -8,7 +8,9 @@ rule decides.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, so no rule fits;
 the vocabulary still judges the whole string, and a null or empty one is allowed. Repeated rows
-give repeated results. Only the url column is read.
+give repeated results; rules of equal length cannot both fit but by the same name, of which the first by name counts; very long urls take one linear pass; an
+empty table gives no rows. Only the url column is read: ``filter_urls`` returns no other column than
+the key, and ``judge_terms`` replaces columns that are called like its own.
 """
 
 from __future__ import annotations
@@ -53,6 +55,7 @@ SOFT = {
 LIMIT = 2
 #: Distinct soft terms without which no weight rejects.
 LEAST_SOFT = 2
+FOUND = ("strict_hits", "soft_hits", "soft_weight", "term_verdict")
 
 
 def host_of(url: Column) -> Column:
@@ -96,8 +99,8 @@ def build(terms) -> ahocorasick.Automaton:
 def judge_terms(rows: DataFrame, url: str, strict=STRICT, soft=SOFT, limit: int = LIMIT) -> DataFrame:
     """``rows`` with ``strict_hits``, ``soft_hits`` (sorted distinct terms), ``soft_weight`` and
     ``term_verdict``."""
-    schema = rows.schema
-    names = rows.columns
+    rows = rows.select(*(F.col(f"`{c}`") for c in rows.columns if c not in FOUND))
+    schema, names = rows.schema, rows.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = build({*strict, *soft})
@@ -111,7 +114,7 @@ def judge_terms(rows: DataFrame, url: str, strict=STRICT, soft=SOFT, limit: int
             said = ["block" if f or (len(s) >= LEAST_SOFT and w >= limit) else "allow" for f, s, w in zip(firm, weak, weight, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(firm, pa.list_(pa.string())), pa.array(weak, pa.list_(pa.string())), pa.array(weight, pa.int32()), pa.array(said, pa.string())],
-                [*names, "strict_hits", "soft_hits", "soft_weight", "term_verdict"],
+                [*names, *FOUND],
             )
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)

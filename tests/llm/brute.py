@@ -151,8 +151,9 @@ def bootstrapped(docs, settings) -> dict[int, list[tuple[int, str, int]]]:
         here = []
         for kind, pattern in patterns.items():
             found = list(re.finditer(pattern, text))
-            ends = [0, *(m.end() for m in found)]
-            starts = [*(m.start() for m in found), len(text)]
+            parted = [text[x:y] for x, y in zip([0, *(m.end() for m in found)], [*(m.start() for m in found), len(text)], strict=True)]
+            left = [" ".join(x for pair in zip(parted[: n + 1], [*(m.group() for m in found[:n]), ""], strict=True) for x in pair) for n in range(len(found))]
+            right = [" ".join(x for pair in zip(parted[n + 1 :], [*(m.group() for m in found[n + 1 :]), ""], strict=True) for x in pair) for n in range(len(found))]
             for n, m in enumerate(found):
                 start, end, string = m.start(), m.end(), m.group()
                 if kind == "candidate":
@@ -164,7 +165,7 @@ def bootstrapped(docs, settings) -> dict[int, list[tuple[int, str, int]]]:
                         continue
                 elif (start, kind, end) not in good:
                     continue
-                here.append((i, kind, start, end, string, text[ends[n] : m.start()][-P.CONTEXT :], text[m.end() : starts[n + 1]][: P.CONTEXT]))
+                here.append((i, kind, start, end, string, left[n], right[n]))
         seeds = [(r[2], r[3]) for r in here if r[1] != "candidate"]
         rows += [r for r in here if r[1] != "candidate" or not any(a < r[3] and r[2] < b for a, b in seeds)]
 
@@ -187,7 +188,8 @@ def bootstrapped(docs, settings) -> dict[int, list[tuple[int, str, int]]]:
     named = {s for s, _ in seeds}
     kinds = [k for k, _ in BASE_PERSONAL]
     scores: dict[tuple[str, str], float] = {}
-    for _ in range(settings.rounds):
+    rounds = iter(int, 1) if settings.rounds is None else range(settings.rounds)
+    for _ in rounds:
         held = {**dict.fromkeys(seeds, 1.0), **scores}
         doubt: dict[tuple[str, str], float] = {}
         for m in members.values():
@@ -197,7 +199,9 @@ def bootstrapped(docs, settings) -> dict[int, list[tuple[int, str, int]]]:
                     if confidence >= settings.confident:
                         for x in m - named:
                             doubt[x, k] = doubt.get((x, k), 0.0) + math.log(max(1 - confidence, 1e-6))
-        scores = {at: 1 - math.exp(d) for at, d in doubt.items()}
+        before, scores = scores, {at: 1 - math.exp(d) for at, d in doubt.items()}
+        if settings.rounds is None and {a: round(x, 6) for a, x in before.items()} == {a: round(x, 6) for a, x in scores.items()}:
+            break
     best: dict[str, tuple] = {}
     for (x, k), s in scores.items():
         if s >= settings.accept:

@@ -47,3 +47,10 @@ def test_native_plan(spark):
     made = C.expand(frame(spark, []), "conv_id", "turn", "role", "text")
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_control_strings_in_roles(spark):
+    roles = ["user<|im_end|>", "a<|im_end|>\n<|im_start|>x", "\\<|im_end|>", "<\\|im_end|>", "[INST]", "assistant", None, "r\\n\n"]
+    rows = spark.createDataFrame([(1, i, r, f"t{i} <|im_end|>\n") for i, r in enumerate(roles)], "c long, n long, r string, t string")
+    made = C.expand(rows, "c", "n", "r", "t").filter("closing").select(C.parse(F.col("formatted")).alias("turns")).first()["turns"]
+    assert [(x["role"], x["text"]) for x in made] == [(r or "", f"t{i} <|im_end|>\n") for i, r in enumerate(roles)]

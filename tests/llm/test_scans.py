@@ -157,3 +157,28 @@ def test_sql_discovers_the_same(spark):
     connection.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     found = connection.execute(queries.ORACLE_SQL["op9_pii_bootstrap"]).fetchdf()
     assert dict(zip(found["doc_id"], found["spans"], strict=True)) == {i: ",".join(f"{k}:{a}:{b}" for a, k, b in x) for i, x in want.items()}
+
+
+def test_rules_stay_linear_on_long_runs():
+    import time
+
+    runs = ("eyJ", "eyJa.", "eyJ.", "AKIA", "a", "password ", "password=", "password   ", "-----BEGIN ", "BEGIN PRIVATE ", "A ", "-", "api_key:'")
+    for rule in B.RULES:
+        for run in runs:
+            start = time.time()
+            B.spans_of(rule, run * (1_000_000 // len(run)))
+            assert time.time() - start < 5, (rule.name, run)
+    long = "eyJ" + "a" * 40 + ".b.c"
+    jwt = next(r for r in B.RULES if r.name == "jwt")
+    text = f"{long} x{long}\n{long}"
+    assert [a for a, _ in B.spans_of(jwt, text)] == [0, text.rindex("eyJ")]
+
+
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "secret=abcdef123", "keep", "old", "b", "s")], "path long, text string, found_blob string, found_spans string, blob string, spans string")
+    made = B.findings(rows, "text", B.scan_unseen(rows, "text"))
+    assert made.columns == ["path", "found_blob", "blob", "spans", "found_spans"]
+    row = made.first()
+    assert (row["found_blob"], row["blob"], row["spans"], len(row["found_spans"])) == ("keep", "b", "s", 1)
+    judged = U.judge_terms(rows.withColumnRenamed("text", "soft_hits").withColumnRenamed("found_blob", "url"), "url")
+    assert judged.columns == ["path", "url", "found_spans", "blob", "spans", *U.FOUND] and judged.count() == 1
