@@ -5,9 +5,11 @@ stripes for blocks of text, a shuffle brings the stripes of a prefix together, a
 element by element. A merged stripe gives the prefix's extensions with their counts, the total of
 its continuations, and the largest extension, which is what decides whether the prefix is subsumed.
 
-Phrases grow one word a level, and a level fills stripes only where both phrases one word
-shorter may be frequent. That is asked of a bitmap of fixed size, so nothing broadcast grows with the data; a false
-yes costs a counter that is dropped when counts are known, and no frequent phrase is lost. Within a
+One pass counts words, and word pairs by a 64-bit hash only, which keeps the many rare pairs to twelve bytes
+each. Phrases then grow one word a level: stripes of pairs are filled where the pair's hash is
+frequent, longer ones where both phrases one word shorter may be frequent. That is asked of a bitmap of
+fixed size, so nothing broadcast grows with the data; a false yes costs a counter that is dropped when
+counts are known, and no frequent phrase is lost. Within a
 block phrases are told apart by exact word numbers, and afterwards as strings.
 
 A prefix that holds a thousandth of all words or more (fewer than a thousand can) has its stripe dealt out by the next word; totals
@@ -113,18 +115,26 @@ class Block:
         used = np.flatnonzero(n)
         return self.vocabulary.take(pa.array(used)), n[used], self.word_marks[used]
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the block's word pairs, and how often each occurs."""
+        inside = (self.ids[:-1] >= 0) & (self.ids[1:] >= 0)
+        return np.unique(_chain(self.marks[:-1], self.marks[1:])[inside], return_counts=True)
+
     def stripes(self, n: int, maybe: np.ndarray, bits: int) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]:
         """Prefixes of ``n - 1`` words, where each one's counter begins, next words and their counts."""
         w = self.ids
         size = len(w) - n + 1
         if size <= 0:
             return pa.array([], pa.binary()), np.zeros(1, np.int64), pa.array([], pa.binary()), np.zeros(0, np.int64)
-        marks = self.marks[: size + 1]
-        for k in range(1, n - 1):
-            marks = _chain(marks, self.marks[k : size + 1 + k])
+        # Pairs are asked for themselves, longer phrases for the two that are one word shorter.
+        asked = max(n - 1, 2)
+        among = len(w) - asked + 1
+        marks = self.marks[:among]
+        for k in range(1, asked):
+            marks = _chain(marks, self.marks[k : among + k])
         place = marks >> np.uint64(64 - bits)
         may = (maybe[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        good = may[:-1] & may[1:]
+        good = may if n == 2 else may[:-1] & may[1:]
         for k in range(n):
             good &= w[k : k + size] >= 0
         at = np.flatnonzero(good)
@@ -141,15 +151,25 @@ class Block:
 
 
 def count_words(docs: DataFrame, s: Settings) -> DataFrame:
-    """(lang, phrase, a, mark) of all words."""
+    """(lang, phrase, a, mark): all words; word pairs by their hash, without language and phrase; and
+    the number of words of each language, without a phrase. Words and pairs below ``least`` are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["lang", "phrase", "a", "mark"]
         for lang, text in blocks(batches, s.block):
-            words, n, marks = Block(text, lang).counts()
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), words.cast(pa.string()), pa.array(n), pa.array(marks.view(np.int64))], ["lang", "phrase", "a", "mark"])
+            block = Block(text, lang)
+            words, n, marks = block.counts()
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), words.cast(pa.string()), pa.array(n), pa.array(marks.view(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.nulls(1, pa.string()), pa.array([int(n.sum())], pa.int64()), pa.array([0], pa.int64())], names)
+            pairs, n = block.pairs()
+            for at in range(0, len(n), 100_000):
+                some = n[at : at + 100_000]
+                none = pa.nulls(len(some), pa.string())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(some), pa.array(pairs[at : at + 100_000].view(np.int64))], names)
 
     made = docs.mapInArrow(run, "lang string, phrase string, a long, mark long")
-    return made.groupBy("lang", "phrase").agg(F.sum("a").alias("a"), F.max("mark").alias("mark"))
+    summed = made.groupBy("lang", "phrase", "mark").agg(F.sum("a").alias("a"))
+    return summed.filter((F.col("a") >= s.least) | (F.col("lang").isNotNull() & F.col("phrase").isNull()))
 
 
 def bitmap(marks: DataFrame, bits: int) -> np.ndarray:
@@ -253,16 +273,17 @@ def phrase_counts(docs: DataFrame, text: str, lang: str, settings: Settings = Se
     largest): the most frequent phrase that is one word longer and holds it."""
     s = settings
     rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
-    words = cut_lineage(count_words(rows, s))
-    totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
+    found = cut_lineage(count_words(rows, s))
+    totals = found.filter("lang IS NOT NULL AND phrase IS NULL AND a > 0").select("lang", F.col("a").alias("n"))
     every = totals.agg(F.sum("n")).first()[0] or 0
-    level = words.filter(F.col("a") >= s.least)
+    level = found.filter("phrase IS NOT NULL")
+    pairs = found.filter("lang IS NULL")
     counts = level.select("lang", "phrase", F.lit(1).alias("words"), "a")
     largest = None
     for n in range(2, s.longest + 1):
         # At most 1,000 phrases of one length hold a thousandth of all words each.
         hot = frozenset((r["lang"], r["phrase"]) for r in level.filter(F.col("a") * 1000 > every).select("lang", "phrase").collect()) if every else frozenset()
-        stripes = cut_lineage(merge_stripes(fill_stripes(rows, n, bitmap(level, s.bits), hot, s), s.least))
+        stripes = cut_lineage(merge_stripes(fill_stripes(rows, n, bitmap(pairs if n == 2 else level, s.bits), hot, s), s.least))
         level = _extensions(stripes)
         counts = counts.unionByName(level.select("lang", "phrase", F.lit(n).alias("words"), "a"))
         right = stripes.select("lang", F.col("prefix").alias("phrase"), "largest")
