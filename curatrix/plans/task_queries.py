@@ -19,11 +19,11 @@ SIGNALS = f"""words AS (SELECT task_id, task, languages,
                      list_sort(list_distinct(list_filter({_TRIMMED}, lambda w: length(w) > 2))) AS keywords
               FROM coding_tasks),
     libs AS (SELECT *, list_filter(keywords, lambda w: w IN ({quoted(K.KNOWN_LIBRARIES)})) AS libraries,
-             list_filter(keywords, lambda w: w NOT IN ({quoted(K.KNOWN_LIBRARIES)}))[1:20] AS concepts FROM words)"""
+             list_filter(keywords, lambda w: w NOT IN ({quoted(K.KNOWN_LIBRARIES)})) AS concepts FROM words)"""
 
 
 def _signals(t):
-    return t("coding_tasks").withColumn("s", Q.extract_signals(F.col("task"), 20))  # 20 as in SIGNALS
+    return t("coding_tasks").withColumn("s", Q.extract_signals(F.col("task")))
 
 
 def _numbered(rows, array, name):

@@ -200,15 +200,17 @@ def robots_allowed(t):
     return filters.robots_allowed(t("pages"), t("robots")).select("page_id")
 
 
-#: Hits of each (task, query) that the queries over ``hits`` read, as their SQL does.
+#: Hits of each (task, query) that ``search_hits`` reports: its limit is the feature. All others read every hit.
 PER_QUERY = 8
 
-_HITS = f"""cut AS (SELECT *, row_number() OVER (PARTITION BY task_id, query ORDER BY seq) AS place FROM hits),
-    named AS (SELECT * REPLACE (coalesce(nullif(href, ''), nullif(url, '')) AS url) FROM cut WHERE place <= 8),
+_HITS = f"""named AS (SELECT * REPLACE (coalesce(nullif(href, ''), nullif(url, '')) AS url) FROM hits),
     web AS (SELECT task_id, seq, title, url, body AS snippet, {BOOST} AS score FROM named WHERE url IS NOT NULL)"""
 
 
-@query(f"WITH {_HITS} SELECT * FROM web", ("hits",))
+_FIRST_HITS = _HITS.replace("FROM hits", "FROM hits QUALIFY row_number() OVER (PARTITION BY task_id, query ORDER BY seq) <= 8")
+
+
+@query(f"WITH {_FIRST_HITS} SELECT * FROM web", ("hits",))
 def search_hits(t):
     return payloads.search_hits(t("hits"), PER_QUERY).drop("source")
 
@@ -222,7 +224,7 @@ _MERGED = """merged AS (
 
 @query(f"WITH {_HITS}, {_MERGED} SELECT * FROM merged", ("hits",))
 def merge_hits(t):
-    return ranking.merge_hits(payloads.search_hits(t("hits"), PER_QUERY)).drop("source")
+    return ranking.merge_hits(payloads.search_hits(t("hits"))).drop("source")
 
 
 def _numbered(rows):
@@ -329,7 +331,7 @@ _SELECT = f"""best AS (SELECT task_id, url, max(score) AS score, min(seq) AS seq
     ("hits", "tasks"),
 )
 def select_urls(t):
-    hits = payloads.search_hits(t("hits"), PER_QUERY)
+    hits = payloads.search_hits(t("hits"))
     scored = hits.withColumn("score", F.col("score") + U.url_rank(F.col("url")))
     return _placed(ranking.select_urls(scored, t("tasks")))
 
@@ -377,7 +379,7 @@ def code_candidates(t):
 
 
 def _collected(t):
-    return collect_urls(tasks_with_domains(t), payloads.search_hits(t("hits"), PER_QUERY), code_candidates(t))
+    return collect_urls(tasks_with_domains(t), payloads.search_hits(t("hits")), code_candidates(t))
 
 
 _COLLECT = f"WITH {_HITS}, {_MERGED}, {_REPO}, {_CODE}, {_GATED}, {_SELECT}"

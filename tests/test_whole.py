@@ -36,3 +36,24 @@ def test_all_concepts_of_a_long_task(spark):
     task = spark.createDataFrame([(" ".join(f"concept{i:02}" for i in range(35)),)], "task string")
     made = task.select(Q.extract_signals(F.col("task")).alias("s"), Q.extract_signals(F.col("task"), 20).alias("few")).first()
     assert len(made.s.concepts) == 35 and made.few.concepts == made.s.concepts[:20]
+
+
+def test_the_ninth_hit_of_a_query_can_win(spark):
+    from curatrix.operators.ranking import merge_hits
+    from curatrix.sources.payloads import search_hits
+
+    rows = [(1, "q", i, f"t{i}", f"https://site{i}.example/x", None, "b") for i in range(8)] + [(1, "q", 8, "last", "https://docs.python.org/3/", None, "b")]
+    hits = spark.createDataFrame(rows, "task_id long, query string, seq long, title string, href string, url string, body string")
+    merged = merge_hits(search_hits(hits))
+    assert merged.count() == 9
+    assert merged.orderBy("score", ascending=False).first()["title"] == "last"
+
+
+def test_all_concepts_of_a_task_are_kept(spark):
+    from pyspark.sql import functions as F
+
+    from curatrix.functions.queries import extract_signals
+
+    task = " ".join(f"concept{i:02d}" for i in range(30))
+    made = spark.createDataFrame([(task,)], "task string").select(extract_signals(F.col("task")).alias("s")).first()["s"]
+    assert len(made["concepts"]) == 30
