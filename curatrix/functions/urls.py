@@ -32,6 +32,13 @@ def url_path(url: Column) -> Column:
     return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))
 
 
+def percent_decoded(text: Column) -> Column:
+    """``%XX`` escapes as UTF-8 characters, U+FFFD where their bytes are none; a plus stays a plus, and
+    a percent sign without two hex digits stays as it is."""
+    plain = F.replace(text, F.lit("+"), F.lit("%2B"))
+    return F.url_decode(F.regexp_replace(plain, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def url_hostname(url: Column) -> Column:
     """Host without user, port and brackets, lower case."""
     host = F.regexp_replace(url_authority(url), "^.*@", "")

@@ -16,7 +16,7 @@ from curatrix.functions.text import (
     strip,
     text_or_empty,
 )
-from curatrix.functions.urls import domain_error, suspicious_pattern, url_origin, url_path
+from curatrix.functions.urls import domain_error, percent_decoded, suspicious_pattern, url_origin, url_path
 
 
 def fetched_ok(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
@@ -39,7 +39,8 @@ def not_spam(docs: DataFrame) -> DataFrame:
 
 def robots_rules(robots: DataFrame) -> DataFrame:
     """``robots(origin, body)`` to one row per origin: its agent groups in file order as
-    array<struct<agents, rules>>. A group ends at a blank line, or at an agent line after rules."""
+    array<struct<agents, rules>>, the paths percent-decoded. A group ends at a blank line, or at an
+    agent line after rules."""
     line = robots.select("origin", F.posexplode(lines(text_or_empty(F.col("body")))).alias("no", "raw"))
     body = strip(F.substring_index("raw", "#", 1))
     parsed = line.select(
@@ -66,7 +67,7 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     rule = F.struct(
         "no",
         ((F.col("key") == "allow") | (F.col("value") == "")).alias("allow"),
-        F.col("value").alias("path"),
+        percent_decoded(F.col("value")).alias("path"),
     )
     agent = F.col("key") == "user-agent"
     groups = rules.groupBy("origin", "grp").agg(
@@ -81,7 +82,8 @@ def robots_rules(robots: DataFrame) -> DataFrame:
 def robots_allowed(pages: DataFrame, robots: DataFrame, agent: str = "curatrix") -> DataFrame:
     """Pages their origin's robots rules allow; an origin without rules allows all.
 
-    The rules of an origin are one bounded array, so a hot origin multiplies no rows.
+    Paths of urls and rules are compared percent-decoded. The rules of an origin are one sorted
+    array, decoded once, so a hot origin multiplies no rows.
     """
     name = F.lit(agent.split("/")[0].lower())
     mine = F.filter(
@@ -90,7 +92,7 @@ def robots_allowed(pages: DataFrame, robots: DataFrame, agent: str = "curatrix")
         & F.exists(g["agents"], lambda a: F.contains(name, a)),
     )
     anyone = F.filter("groups", lambda g: F.array_contains(g["agents"], "*"))
-    path = url_path(F.col("url"))
+    path = percent_decoded(url_path(F.col("url")))
     decided = let(
         path,
         lambda p: F.get(

@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix import constants as K
-from curatrix.functions.text import at_most, task_terms, text_or_empty, text_relevance
+from curatrix.functions.text import at_most, let, task_terms, text_or_empty, text_relevance
 from curatrix.functions.urls import allowed_domain, url_rank
 from curatrix.operators.ranking import top_k
 from curatrix.operators.rows import one_row_each
@@ -80,14 +80,18 @@ def term_coverage(
     text: str = "text",
     task_id: str = "task_id",
     task: str = "task",
+    at_least: float | None = None,
 ) -> DataFrame:
-    """[J5, T2] (task_id, item_id, score) for all pairs with at least one shared term.
+    """[J5, T2, F14] (task_id, item_id, score) for all pairs with at least one shared term.
 
     Pairs that share no term score 0 and are left out. Both joins are on the term; the pair
-    counts are combined before the shuffle.
+    counts are combined before the shuffle. With ``at_least`` only pairs of that score are given,
+    and pairs that share nothing but a task's frequent terms are never made.
     """
     terms = task_term_table(tasks, task_id, task)
     found = item_terms(items, terms, item_id, text)
+    if at_least is not None and at_least > 0:
+        return _covered_pairs(found, terms, item_id, task_id, at_least)
     return (
         found.join(terms, "term")
         .groupBy(task_id, *item_id)
@@ -95,6 +99,49 @@ def term_coverage(
     )
 
 
+def leading_terms(found: DataFrame, terms: DataFrame, task_id: str, at_least: float) -> DataFrame:
+    """(task_id, term): the rarest terms of every task, one of which each item that covers a share of
+    ``at_least`` must hold.
+
+    A task's terms stand from the rarest to the most frequent. An item whose first term in that
+    order is the i-th shares at most the weight from there on; the term leads if that is enough.
+    Terms that no item holds weigh in ``n_terms`` only.
+    """
+    often = found.groupBy("term").agg(F.count(F.lit(1)).alias("items"))
+    from_here = Window.partitionBy(task_id).orderBy(F.desc("items"), F.desc("term")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    weighed = terms.join(often, "term").withColumn("left", F.sum("times").over(from_here))
+    return weighed.filter(F.col("left") / F.col("n_terms") >= at_least).select(task_id, "term")
+
+
+def candidate_pairs(found: DataFrame, leading: DataFrame, item_id: list[str], task_id: str) -> DataFrame:
+    """(task_id, item_id): pairs that share a leading term, each once."""
+    return found.join(leading, "term").select(task_id, *item_id).distinct()
+
+
+def _covered_pairs(
+    found: DataFrame, terms: DataFrame, item_id: list[str], task_id: str, at_least: float
+) -> DataFrame:
+    """Candidates with their exact score. The terms of a task and those of an item are one array
+    each, no longer than their texts, so a pair is scored in its own row."""
+    pairs = candidate_pairs(found, leading_terms(found, terms, task_id, at_least), item_id, task_id)
+    held = found.groupBy(*item_id).agg(F.collect_list("term").alias("held"))
+    wanted = terms.groupBy(task_id, "n_terms").agg(
+        F.collect_list("term").alias("wanted"), F.collect_list(F.struct("term", "times")).alias("weights")
+    )
+    shared = F.array_intersect("wanted", "held")
+
+    def weight(both: Column) -> Column:
+        mine = F.filter("weights", lambda w: F.array_contains(both, w["term"]))
+        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda total, w: total + w["times"])
+
+    scored = pairs.join(wanted, task_id).join(held, item_id).select(
+        task_id, *item_id, (let(shared, weight) / F.col("n_terms")).alias("score")
+    )
+    return scored.filter(F.col("score") >= at_least)
+
+
 def score_pairs(pairs: DataFrame, task: str = "task", text: str = "text") -> DataFrame:
     """[T2] Coverage of pairs that are already joined: row-local, no shuffle."""
     return pairs.withColumn("score", text_relevance(F.col(task), F.col(text)))
@@ -154,7 +201,7 @@ def matching_questions(
     ``tasks(task_id, task, tags)``, ``questions(question_id, title, tags, score)``. Titles are
     matched first, through terms, so a tag that many tasks and questions have pairs nothing.
     """
-    covered = term_coverage(tasks, questions, ["question_id"], "title").filter(F.col("score") >= at_least)
+    covered = term_coverage(tasks, questions, ["question_id"], "title", at_least=at_least)
     named = covered.withColumnRenamed("score", "coverage").join(tasks.select("task_id", F.col("tags").alias("asked")), "task_id")
     matched = named.join(questions, "question_id").filter(F.arrays_overlap("asked", "tags"))
     return top_k(matched.drop("asked"), max_results, ties=["question_id"])

@@ -40,7 +40,8 @@ def rank_corpus(
     removal, relative pruning and bucketing, with ``rank``, ``score`` and ``bucket``."""
     chunks = corpus_chunks(docs, doc_id)
     unique = near_dedup(chunks, "text", "seq")
-    scored = scoring.term_coverage(tasks, unique, ["seq"])
+    # Below the helpful mark no chunk stays, and the mark only cuts the tail of each task's ranks.
+    scored = scoring.term_coverage(tasks, unique, ["seq"], at_least=K.HELPFUL)
     best = filters.relative_prune(ranking.top_k(scored, k), *K.CHUNK_PRUNE)
     return filters.bucketize(best).join(chunks, "seq")
 

@@ -109,11 +109,17 @@ SQL = {
                     WHEN 0 THEN concat('User-agent: *', chr(10), 'Allow: /en/1', chr(10), 'Disallow: /en/')
                     WHEN 1 THEN concat('# rules', chr(10), 'User-agent: otherbot', chr(10), 'Disallow: /',
                                        chr(10), chr(10), 'User-Agent: CURATRIX', chr(10),
-                                       'disallow: /de/ # all of it', chr(10), 'Crawl-delay: 3')
+                                       'disallow: /%64%65/ # all of it', chr(10), 'Crawl-delay: 3')
                     WHEN 2 THEN concat('User-agent: *', chr(10), 'Disallow:', chr(10), 'Disallow: /')
                     ELSE concat('User-agent: *', chr(10), chr(10), 'Disallow: /') END AS body
         FROM (SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin FROM {pages})
         WHERE length(origin) % 5 <> 0""",
+    # Some paths with percent escapes: in a word, of a two-byte character, and a stray sign.
+    "escaped_pages": """
+        SELECT page_id,
+               CASE page_id % 4 WHEN 0 THEN replace(replace(url, '/en/', '/e%6E/'), '/de/', '/%64e/')
+                    WHEN 1 THEN concat(url, '%C3%A9%zz+') ELSE url END AS url
+        FROM {pages}""",
     "hits": """
         SELECT doc_id % (SELECT greatest(count(*), 1) FROM {benchmark}) AS task_id, concat('q', doc_id % 3) AS query, doc_id AS seq,
                split_part(text, chr(10), 1) AS title,

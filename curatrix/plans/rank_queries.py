@@ -58,12 +58,13 @@ def _longs(rows, *names):
     return rows
 
 
-def _covered(t):
-    return scoring.term_coverage(t("tasks"), t("documents"), ["doc_id"])
+def _covered(t, at_least=None):
+    return scoring.term_coverage(t("tasks"), t("documents"), ["doc_id"], at_least=at_least)
 
 
-def _ranked(t, k=K.TOP_CHUNKS):
-    return ranking.top_k(_covered(t), k, ties=["doc_id"])
+def _ranked(t, k=K.TOP_CHUNKS, at_least=None):
+    """A floor that a later step sets anyway only cuts the tail of each task: ranks stay."""
+    return ranking.top_k(_covered(t, at_least), k, ties=["doc_id"])
 
 
 @query(
@@ -100,7 +101,7 @@ def rank_chunks(t):
     ("tasks",),
 )
 def relative_prune(t):
-    return _longs(_scores(filters.relative_prune(_ranked(t), *K.CHUNK_PRUNE)), "rank")
+    return _longs(_scores(filters.relative_prune(_ranked(t, at_least=K.CHUNK_PRUNE[0]), *K.CHUNK_PRUNE)), "rank")
 
 
 _DOC_BUCKETS = f"""{coverage('documents', 'doc_id')}, positive AS (SELECT * FROM covered WHERE score > 0),
@@ -108,7 +109,7 @@ _DOC_BUCKETS = f"""{coverage('documents', 'doc_id')}, positive AS (SELECT * FROM
 
 
 def _bucketed(t):
-    return filters.bucketize(filters.relative_prune(_ranked(t), *K.CHUNK_PRUNE))
+    return filters.bucketize(filters.relative_prune(_ranked(t, at_least=K.HELPFUL), *K.CHUNK_PRUNE))
 
 
 @query(f"WITH {_DOC_BUCKETS} SELECT task_id, doc_id, rank, bucket FROM bucketed", ("tasks",))
@@ -132,7 +133,7 @@ def bucket_report(t):
     ("tasks",),
 )
 def min_relevance(t):
-    kept = filters.min_relevance(_covered(t), 0.5)
+    kept = filters.min_relevance(_covered(t, 0.5), 0.5)
     return kept.groupBy("task_id").agg(F.count(F.lit(1)).alias("docs"))
 
 
@@ -671,7 +672,7 @@ def page_hits(tasks, docs):
     """(hits, semantic) of extracted pages: every page whose whole text covers enough terms of a
     task, as raw hits in order of coverage, and that coverage by (task_id, url)."""
     cards = docs.select("page_id", F.concat_ws(" ", "title", "markdown").alias("text"))
-    found = scoring.term_coverage(tasks, cards, ["page_id"]).filter(F.col("score") >= K.WEB_MIN_RELEVANCE)
+    found = scoring.term_coverage(tasks, cards, ["page_id"], at_least=K.WEB_MIN_RELEVANCE)
     named = cut_lineage(found.join(docs.select("page_id", "source", "title", "summary"), "page_id"))
     order = Window.partitionBy("task_id").orderBy(F.desc("score"), "page_id")
     hits = named.select(

@@ -187,17 +187,17 @@ def min_page_length(t):
 
 @query(
     """WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin,
-                  regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS path FROM pages),
+                  url_decode(regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1)) AS path FROM escaped_pages),
     j AS (SELECT p.*, CASE WHEN robots.origin IS NOT NULL THEN length(p.origin) % 4 END AS kind
           FROM p LEFT JOIN robots USING (origin))
     SELECT page_id FROM j WHERE CASE kind
         WHEN 0 THEN starts_with(path, '/en/1') OR NOT starts_with(path, '/en/')
         WHEN 1 THEN NOT starts_with(path, '/de/')
         ELSE true END""",
-    ("robots",),
+    ("robots", "escaped_pages"),
 )
 def robots_allowed(t):
-    return filters.robots_allowed(t("pages"), t("robots")).select("page_id")
+    return filters.robots_allowed(t("escaped_pages"), t("robots")).select("page_id")
 
 
 #: Hits of each (task, query) that ``search_hits`` reports: its limit is the feature. All others read every hit.

@@ -1,3 +1,6 @@
+from urllib.parse import unquote
+from urllib.robotparser import RobotFileParser
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +186,24 @@ def test_cache_age_edges(spark):
     assert cache.cache_split(asked, store, now, None)[0].count() == 4
 
 
+def test_percent_decoded(spark):
+    texts = ["/a%2Fb", "/%C3%A9t%c3%a9", "/a+b%2B", "/100%", "/%zz%4", "%", "", None, "/%F0%9F%99%82", "/x%FFy", "/é%25"]
+    want = [None if t is None else unquote(t, errors="replace") for t in texts]
+    assert column(spark, texts, U.percent_decoded) == want
+
+
+def test_robots_compares_decoded_paths(spark):
+    body = "User-agent: *\nDisallow: /caf%C3%A9/\nDisallow: /a%20b\nDisallow: /ü\nDisallow: /50%"
+    robots = spark.createDataFrame([("http://h", body)], "origin string, body string")
+    urls = ["http://h/café/x", "http://h/caf%c3%a9/x", "http://h/c%61f%C3%A9/", "http://h/caf%E9/x", "http://h/a b", "http://h/a+b",
+            "http://h/%C3%BCx", "http://h/50%/x", "http://h/50%25/x", "http://h/%", "http://h/cafe/"]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    kept = {r.url for r in filters.robots_allowed(pages, robots).collect()}
+    peer = RobotFileParser()
+    peer.parse(body.split("\n"))
+    assert kept == {u for u in urls if peer.can_fetch("curatrix", u)}
+
+
 def test_robots(spark):
     body = "\n".join([
         "User-agent: otherbot", "Disallow: /", "", "User-agent: Curatrix", "User-agent: third", "Allow: /a/b  # fine",

@@ -43,6 +43,30 @@ def test_merge_hits_first_of_equals_wins(spark):
     assert got == {"u": (0, "new", 3.0), "v": (1, "v", 2.0)}
 
 
+def test_coverage_under_a_floor(spark):
+    """Equal to the plain filter, ties with the floor included, from far fewer pairs."""
+    rng = random.Random(9)
+    rare = [f"rare{i:03d}" for i in range(400)]  # none inside another
+    common = ["system", "value", "number"]
+    tasks = [(i, " ".join([*common, *rng.sample(rare, 5), rare[i], rare[i]])) for i in range(40)] + [(40, "a of"), (41, None), (42, "absent words only")]
+    items = [(i, " ".join([*common, *rng.sample(rare, 6)])) for i in range(300)] + [(300 + i, tasks[i][1]) for i in range(20)]
+    items += [(400, None), (401, ""), (402, "system " * 3000)]
+    t = spark.createDataFrame(tasks, "task_id bigint, task string")
+    d = spark.createDataFrame(items, "item bigint, text string")
+    plain = {(r.task_id, r.item): r.score for r in scoring.term_coverage(t, d, ["item"]).collect()}
+    for floor in (0.0, 0.1, 0.3, 0.4, 0.5, 0.6, 1.0, 1.1):
+        got = scoring.term_coverage(t, d, ["item"], at_least=floor).collect()
+        assert {(r.task_id, r.item): r.score for r in got} == {k: v for k, v in plain.items() if v >= floor}
+        assert len(got) == len({(r.task_id, r.item) for r in got})
+    terms = scoring.task_term_table(t)
+    found = scoring.item_terms(d, terms, ["item"], "text")
+    leading = scoring.leading_terms(found, terms, "task_id", 0.5)
+    pairs = scoring.candidate_pairs(found, leading, ["item"], "task_id").count()
+    assert len(plain) > 40 * 300 and pairs < len(plain) / 5
+    empty = scoring.term_coverage(t, d.limit(0), ["item"], at_least=0.5)
+    assert empty.count() == 0 and scoring.term_coverage(t.limit(0), d, ["item"], at_least=0.5).count() == 0
+
+
 def test_term_coverage_equals_substring_search(spark):
     rng = random.Random(4)
     alphabet = "abc_9"
