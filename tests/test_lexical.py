@@ -52,3 +52,14 @@ def test_on_a_table(spark):
     df = spark.createDataFrame([("read csv", "how to read csv files"), ("x", None)], "a string, b string")
     got = [r.s for r in df.select(L.lexical_score(F.col("a"), F.col("b")).alias("s")).collect()]
     assert got == [1.0, 0.0]
+
+
+def test_few_windows_are_aligned(monkeypatch):
+    """Prose against prose: every window shares most characters, but few can beat the best."""
+    rng = random.Random(5)
+    words = ["value", "system", "number", "water", "people", "order", "state", "under"]
+    task, title = (" ".join(rng.choice(words) for _ in range(n)) for n in (30, 200))
+    want, calls, plain = windows(task, title), [], L._lcs
+    monkeypatch.setattr(L, "_lcs", lambda *a: calls.append(1) or plain(*a))
+    assert L.partial_ratio(task, title) == pytest.approx(want)
+    assert len(calls) < (len(title) - len(task)) / 4
