@@ -41,18 +41,23 @@ def _code_point(piece: Column) -> Column:
 
 
 def unescape_html(text: Column) -> Column:
-    """Numeric and common named entities to characters."""
-    pieces = F.split(text, "&#")
-    numeric = let(
-        pieces,
-        lambda p: F.concat(
-            p[0], F.array_join(F.transform(F.slice(p, 2, F.size(p)), _code_point), "")
-        ),
-    )
-    text = F.when(F.contains(text, F.lit("&#")), numeric).otherwise(text)
-    for entity, character in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    """Numeric and common named entities to characters. Text without any is looked through once."""
+
+    def numeric(pieces: Column) -> Column:
+        return F.concat(
+            pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), _code_point), "")
+        )
+
+    def named(plain: Column) -> Column:
+        for entity, character in ENTITIES:
+            plain = F.replace(plain, F.lit(entity), F.lit(character))
+        return F.replace(plain, F.lit("&amp;"), F.lit("&"))
+
+    def unescaped(t: Column) -> Column:
+        decoded = F.when(F.contains(t, F.lit("&#")), let(F.split(t, "&#"), numeric)).otherwise(t)
+        return F.when(F.contains(t, F.lit("&")), named(decoded)).otherwise(t)
+
+    return let(text, unescaped)
 
 
 def strip_tags(html: Column, glue: str) -> Column:
@@ -162,15 +167,15 @@ def html_snippets(main: Column, max_chars: int | None = None) -> Column:
     """[E5] Every pre and every code block of the main html in page order, a nested one after
     the block around it, as array<struct<language, code>>."""
     # Only the opening < is consumed, so that blocks inside a block are found as well.
-    pattern = F.lit(r"(?is)<(?=(pre|code)((?:\s[^>]*)?)>(.*?)</\1\s*>)")
-    blocks = F.arrays_zip(
-        F.regexp_extract_all(main, pattern, F.lit(2)).alias("attributes"),
-        F.regexp_extract_all(main, pattern, F.lit(3)).alias("body"),
-    )
+    # Attributes hold no >, so they and the body are found as one.
+    pattern = F.lit(r"(?is)<(?=(pre|code)((?:\s[^>]*)?>.*?)</\1\s*>)")
+    blocks = F.regexp_extract_all(main, pattern, F.lit(2))
 
     def snippet(block: Column) -> Column:
-        name = F.regexp_extract(block["attributes"], r"(?i)class=[\"']([^\"']*)[\"']", 1)
-        code = F.regexp_replace(unescape_html(strip_tags(block["body"], "\n")), r"^[\n ]+|[\n ]+\z", "")
+        attributes = F.substring_index(block, ">", 1)
+        name = F.regexp_extract(attributes, r"(?i)class=[\"']([^\"']*)[\"']", 1)
+        body = F.substring(block, F.length(attributes) + 2, F.length(block))
+        code = F.regexp_replace(unescape_html(strip_tags(body, "\n")), r"^[\n ]+|[\n ]+\z", "")
         return let(
             code,
             lambda c: F.struct(

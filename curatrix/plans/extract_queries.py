@@ -8,6 +8,7 @@ from curatrix import constants as K
 from curatrix.functions import extract as X
 from curatrix.operators import extraction, patterns
 from curatrix.operators.assemble import pattern_rows
+from curatrix.operators.rows import one_row_each
 from curatrix.plans.registry import WS, query
 from curatrix.plans.text_queries import line_list, stripped
 from curatrix.sources.tables import pages_of_raw
@@ -199,7 +200,7 @@ def html_snippets(t):
         F.lit("<article><pre><code class='"), F.col("class_name"), F.lit("'>"), safe,
         F.lit("</code></pre></article>"),
     )
-    rows = t("blocks").select("doc_id", F.posexplode(X.html_snippets(X.main_html(html))).alias("no", "s"))
+    rows = one_row_each(t("blocks"), ["doc_id"], X.html_snippets(X.main_html(html)), "s", "no")
     return rows.select("doc_id", (F.col("no") + 1).cast("bigint").alias("no"), "s.code")
 
 

@@ -137,3 +137,28 @@ def test_patterns(spark):
     best = {r.pattern_type: (r.source, r.confidence) for r in patterns.best_patterns(patterns.detect_patterns(df)).collect()}
     assert best["api_client"] == ("s2", 0.85)
     assert set(best) <= set(K.PATTERN_TEXT)
+
+
+def test_snippets_of_odd_tags(spark):
+    """Attributes and body of a block are found as one; entities of every kind are read back."""
+    body = "x &lt; 1 &amp;&amp; y &#65;&#x42; z = 1\nsecond line of this block of code"
+    pages = [
+        f"<article><pre>{body}</pre></article>",
+        f"<article><pre data-a='1' class='language-py'><code>{body}</code></pre></article>",
+        f"<article><pre\n><b>{body}</b> > 2</pre></article>",
+        "<article><prefix>none</prefix></article>",
+        None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(pages)), "id int, html string")
+    got = {r.id: r.s for r in rows.select("id", E.html_snippets(F.col("html")).alias("s")).collect()}
+    plain = "x < 1 && y AB z = 1\nsecond line of this block of code"
+    assert [(s.language, s.code) for s in got[0]] == [("text", plain)]
+    assert [(s.language, s.code) for s in got[1]] == [("python", plain), ("text", plain)]
+    assert [s.code for s in got[2]] == [plain + "\n > 2"]
+    assert got[3] == [] and got[4] is None
+
+
+def test_a_text_is_unescaped_from_one_value(spark):
+    rows = spark.createDataFrame([("a&lt;b",)], "t string")
+    plan = rows.select(E.unescape_html(F.lower("t")).alias("u"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
