@@ -25,7 +25,7 @@ RUN = re.compile("[a-z0-9_]{3,}")
 ANCHORS = (3, 6, 12)  # a term has at least three characters
 ROWS_PER_BLOCK = 2048
 # No result depends on these: sizes of blocks, parts that meet a block of units, numbers of a matrix, runs kept.
-ITEMS_PER_BLOCK, CHARS_PER_BLOCK, UNITS_PER_BLOCK, SPREAD, CELLS, RUNS_KEPT = 1024, 1 << 22, 256, 64, 1 << 22, 200_000
+ITEMS_PER_BLOCK, CHARS_PER_BLOCK, UNITS_PER_BLOCK, SPREAD, CELLS, RUNS_KEPT = 1024, 1 << 21, 256, 64, 1 << 20, 50_000
 
 
 def task_term_table(tasks: DataFrame, task_id: str = "task_id", task: str = "task") -> DataFrame:
@@ -172,9 +172,9 @@ class _Units:
             self.anchored.setdefault(term[:size], []).append(term)
         self.sizes = sorted({len(anchor) for anchor in self.anchored})
         self.best, self.high = best, np.full((best or 0, len(lists)), -1.0)  # the best scores so far
-        self.held: dict[str, list[int]] = {}
+        self.held: dict[str, tuple[int, ...]] = {}
 
-    def terms_of(self, run: str) -> list[int]:
+    def terms_of(self, run: str) -> tuple[int, ...]:
         """Numbers of the terms inside a run, each found by its first 3, 6 or 12 characters."""
         if run not in self.held:
             if len(self.held) >= RUNS_KEPT:
@@ -185,7 +185,7 @@ class _Units:
                     for term in self.anchored.get(run[at : at + size], ()):
                         if run.startswith(term, at):
                             found.add(self.number[term])
-            self.held[run] = sorted(found)
+            self.held[run] = tuple(sorted(found))
         return self.held[run]
 
     def scored(
