@@ -173,6 +173,8 @@ class Codec:
         # Part -> bytes of its ids (neither is an object the garbage collector visits): those of late, and those before.
         self._made: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}
+        # Parts that decoding does not give back.
+        self._lossy: set[str] = set()
         self._bytes = [
             bytes([int(p[3:-1], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode()
             for p, _, k in self.model.pieces
@@ -201,6 +203,21 @@ class Codec:
                 start = end
         for p, a in zip(single, self._encode_all(single), strict=True):
             self._made[p] = struct.pack(f"<{len(a)}i", *a)
+        self._decode_parts(parts)
+
+    def _decode_parts(self, parts: list[str]) -> None:
+        """Notes the parts that decoding does not give back."""
+        if not parts:
+            return
+        made = [self._made[p] for p in parts]
+        flat = np.frombuffer(b"".join(made), "<i4")
+        data = bytes(self._pieces.take(pa.array(flat)).buffers()[2] or b"")
+        ends = np.append(0, np.cumsum(self._sizes[flat]))[np.cumsum([len(m) // 4 for m in made])]
+        start = 0
+        for p, end in zip(parts, ends.tolist(), strict=True):
+            if data[start:end] != p.replace(MARK, " ").encode():
+                self._lossy.add(p)
+            start = end
 
     def _cut(self, text: str) -> list[str]:
         """A text's parts: runs of markers and what follows each."""
@@ -212,27 +229,40 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids (little-endian 32-bit) of every text, and whether the other library gives the same."""
+        return self.encode_beside(texts)[:2]
+
+    def encode_beside(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        """As ``encode``, and whether a text's parts, decoded, are the text. A text's ids are those of its
+        parts one after the other, so what its parts decode to is what it decodes to."""
         peer = self.peer.encode(texts, num_threads=1)
         if not self.by_parts:
             ids = self._encode_all(texts)
-            return [np.array(x, "<i4") for x in ids], [a == b for a, b in zip(ids, peer, strict=True)]
+            return [np.array(x, "<i4") for x in ids], [a == b for a, b in zip(ids, peer, strict=True)], [False] * len(texts)
         parts = [self._cut(t) for t in texts]
         if len(self._made) > PARTS_KEPT:
             self._made, self._before = {}, self._made
-        distinct = {p for row in parts for p in row}.difference(self._made)
+            self._lossy.intersection_update(self._before)
+        distinct = set().union(*parts).difference(self._made)
         new = distinct.difference(self._before)
         for p in distinct - new:
             self._made[p] = self._before[p]
         self._learn(list(new))
         ids = [np.frombuffer(b"".join(map(self._made.__getitem__, row)), "<i4") for row in parts]
-        return ids, [x.tolist() == y for x, y in zip(ids, peer, strict=True)]
+        # A marker in a text would be decoded to a space.
+        whole = [MARK not in t and self._lossy.isdisjoint(row) for t, row in zip(texts, parts, strict=True)]
+        return ids, [x.tolist() == y for x, y in zip(ids, peer, strict=True)], whole
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self._bytes.__getitem__, ids)).decode("utf-8", "replace")
         return data[1:] if self.model.dummy_prefix and data[:1] == " " else data
 
-    def decode_beside(self, ids: list[np.ndarray], texts: list[str]) -> list[tuple[int, bool]]:
-        """Characters of each decoded text, and whether it is the text."""
+    def decode_beside(self, ids: list[np.ndarray], texts: list[str], whole: list[bool] | None = None) -> list[tuple[int, bool]]:
+        """Characters of each decoded text, and whether it is the text; ``whole`` says where its parts
+        were found to be."""
+        if whole is not None:
+            rest = [i for i, same in enumerate(whole) if not same]
+            back = iter(self.decode_beside([ids[i] for i in rest], [texts[i] for i in rest]) if rest else [])
+            return [(len(t), True) if same else next(back) for t, same in zip(texts, whole, strict=True)]
         flat = np.concatenate(ids)
         data = memoryview(self._pieces.take(pa.array(flat)).buffers()[2] or b"")
         ends = np.append(0, np.cumsum(self._sizes[flat]))[np.cumsum([len(x) for x in ids])]
@@ -281,8 +311,8 @@ def encode_texts(docs: DataFrame, text: str, model_path: str, threads: int = 0)
             column = batch.column(names.index(text))
             for a, b in _chunks(pc.utf8_length(column).fill_null(0).to_pylist()):
                 some = [t or "" for t in column.slice(a, b - a).to_pylist()]
-                ids, parity = made.encode(some)
-                back = made.decode_beside(ids, some)
+                ids, parity, whole = made.encode_beside(some)
+                back = made.decode_beside(ids, some, whole)
                 sizes = [len(x) for x in ids]
                 flat = np.concatenate(ids).astype(np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)

@@ -80,3 +80,22 @@ def test_rows(spark):
     back = C.decode_ids(made.select("doc_id", "token_ids"), "token_ids", SENTENCEPIECE_MODEL).collect()
     assert {r["doc_id"]: r["decoded"] for r in back} == {i: (t or "").replace("▁", " ") for i, t, _, _ in rows}
     assert C.encode_texts(docs.limit(0), "text", SENTENCEPIECE_MODEL).count() == 0
+
+
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_decoding_by_parts_equals_decoding_whole_texts(tmp_path, byte_fallback):
+    path = tmp_path / "hand.model"
+    path.write_bytes(unigram_model(byte_fallback))
+    codec = C.Codec(str(path))
+    texts = [*ODD, "the abc the", "the é ü", "the abc the"]
+    for _ in range(2):
+        ids, _, whole = codec.encode_beside(texts)
+        assert codec.decode_beside(ids, texts, whole) == codec.decode_beside(ids, texts)
+        assert all(w <= same for w, (_, same) in zip(whole, codec.decode_beside(ids, texts), strict=True))
+        assert whole[-3] and whole[-1] and not whole[ODD.index("a▁b")] and whole[ODD.index("漢字 " * 300)] == byte_fallback
+    # A part with wrong ids is told where it is learnt.
+    codec._made, codec._before = {}, {}
+    learn = codec._encode_all
+    codec._encode_all = lambda some: [[4] for _ in some] if len(some) == 1 else learn(some)
+    codec._learn(["xyz"])
+    assert "xyz" in codec._lossy and codec.encode_beside(["the abc the"])[2] == [True]
