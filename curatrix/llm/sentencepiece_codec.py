@@ -5,7 +5,7 @@ and byte fallback, the normaliser's character map and white-space settings. From
 tokenizer is rebuilt: normaliser, metaspace marker, unigram scores or BPE merges, byte fallback.
 No piece of a model with the usual settings holds the marker after another character, so a text
 falls apart before each run of markers without changing its encoding; distinct parts are encoded
-once, many joined, by the library's multithreaded batch call, and a process keeps a bounded number of them. Where a model does hold such a
+once, many as the words of one text, by the library's multithreaded batch call, and a process keeps a bounded number of them. Where a model does hold such a
 piece, whole texts are encoded.
 
 Parity: every whole text is also encoded by the ``sentencepiece`` library; ``parity`` says whether
@@ -43,6 +43,7 @@ UNIGRAM, BPE = 1, 2
 #: Characters of text that are worked on together, parts that are encoded together, and parts whose
 #: ids a process keeps; they bound its memory and change no result.
 CHUNK_CHARS, PARTS_AT_ONCE, PARTS_KEPT = 1_000_000, 2_000, 200_000
+CACHE = 10_000  # words that the library keeps where whole texts are encoded
 PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 
 
@@ -117,17 +118,21 @@ def _merges(model: Model) -> list[tuple[str, str]]:
     return [(left, right) for *_, left, right in sorted(found)]
 
 
-def build_tokenizer(model: Model) -> Tokenizer:
+def _core_model(model: Model, cache: int) -> models.Model:
+    """The model that encodes what the steps before it give; the library keeps ``cache`` words."""
     pieces = model.pieces
-    unknown = pieces[model.unknown][0]
     if model.kind == UNIGRAM:
-        core = models.Unigram([(p, s) for p, s, _ in pieces], model.unknown, model.byte_fallback)
-    elif model.kind == BPE:
+        return models.Unigram([(p, s) for p, s, _ in pieces], model.unknown, model.byte_fallback)
+    if model.kind == BPE:
         vocabulary = {p: i for i, (p, _, _) in enumerate(pieces)}
-        core = models.BPE(vocabulary, _merges(model), unk_token=unknown, fuse_unk=True, byte_fallback=model.byte_fallback)
-    else:
-        raise ValueError(f"model type {model.kind} is neither unigram nor BPE")
-    made = Tokenizer(core)
+        unknown = pieces[model.unknown][0]
+        return models.BPE(vocabulary, _merges(model), unk_token=unknown, fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=cache)
+    raise ValueError(f"model type {model.kind} is neither unigram nor BPE")
+
+
+def build_tokenizer(model: Model) -> Tokenizer:
+    pieces = model.pieces
+    made = Tokenizer(_core_model(model, CACHE))
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze:
         steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
@@ -165,10 +170,9 @@ class Codec:
         self.by_parts = _parts_hold(self.model) and not self.model.charsmap and not self.model.squeeze
         self.lead = MARK if self.model.dummy_prefix else ""
         self.tokenizer = build_tokenizer(self.model)
-        # Parts are normalised where they are cut.
-        self._core = build_tokenizer(self.model) if self.by_parts else self.tokenizer
-        if self.by_parts:
-            self._core.normalizer = normalizers.Sequence([])
+        # Parts are normalised where they are cut, come cut, and each is encoded once: no steps, no cache.
+        self._core = Tokenizer(_core_model(self.model, 0)) if self.by_parts else self.tokenizer
+        self._core.encode_special_tokens = True
         self.peer = sentencepiece.SentencePieceProcessor(model_proto=data)
         # Part -> bytes of its ids (neither is an object the garbage collector visits): those of late, and those before.
         self._made: dict[str, bytes] = {}
@@ -181,26 +185,27 @@ class Codec:
         ]
         self._pieces = pa.array(self._bytes, pa.large_binary())
         self._sizes = np.array([len(x) for x in self._bytes], np.int64)
+        self._leads = np.array([p[:1] == MARK for p, _, _ in self.model.pieces], bool)
 
     def _encode_all(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._core.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
-        """Ids of parts. Parts that begin with a marker and go on are encoded joined: the tokenizer
-        cuts them apart again, and each token knows its part."""
-        joined = [p for p in parts if p[0] == MARK and p[-1] != MARK]
-        single = [p for p in parts if not (p[0] == MARK and p[-1] != MARK)]
-        groups = [joined[at : at + PARTS_AT_ONCE] for at in range(0, len(joined), PARTS_AT_ONCE)]
-        for some, e in zip(groups, self._core.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            data, words = np.array(e.ids, "<i4").tobytes(), np.array(e.word_ids, np.int64)
-            ends = [*(4 * (np.flatnonzero(np.diff(words)) + 1)).tolist(), len(data)]
-            if len(ends) != len(some):
+        """Ids of parts. Those with one marker, in front, are handed over as the words of one text: a part
+        begins where a token begins with a marker, if there are as many such tokens as parts."""
+        single = [p for p in parts if p[0] != MARK or p[1:2] == MARK]
+        marked = [p for p in parts if p[0] == MARK and p[1:2] != MARK]
+        groups = [marked[at : at + PARTS_AT_ONCE] for at in range(0, len(marked), PARTS_AT_ONCE)]
+        words = self._core.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False) if groups else []
+        for some, e in zip(groups, words, strict=True):
+            ids = np.array(e.ids, "<i4")
+            begins = (4 * np.flatnonzero(self._leads[ids])).tolist()
+            if len(begins) != len(some) or begins[0]:
                 single += some
                 continue
-            start = 0
-            for p, end in zip(some, ends, strict=True):
+            data = ids.tobytes()
+            for p, start, end in zip(some, begins, [*begins[1:], len(data)], strict=True):
                 self._made[p] = data[start:end]
-                start = end
         for p, a in zip(single, self._encode_all(single), strict=True):
             self._made[p] = struct.pack(f"<{len(a)}i", *a)
         self._decode_parts(parts)
@@ -219,13 +224,17 @@ class Codec:
                 self._lossy.add(p)
             start = end
 
-    def _cut(self, text: str) -> list[str]:
-        """A text's parts: runs of markers and what follows each."""
-        if not text:
-            return []
-        if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
-            return PARTS(self.lead + text.replace(" ", MARK))
-        return (self.lead + text.replace(" ", " " + MARK)).split(" ")
+    def _cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The parts of all texts one after the other, and how many each has: runs of markers and what
+        follows each."""
+        parted = []
+        for t in texts:
+            if "  " in t or MARK in t or t[:1] == " " or t[-1:] == " ":
+                parted.append(" ".join(PARTS(self.lead + t.replace(" ", MARK))))
+            else:
+                parted.append(self.lead + t.replace(" ", " " + MARK) if t else None)
+        lists = pc.split_pattern(pa.array(parted, pa.large_string()), " ")
+        return lists.flatten(), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids (little-endian 32-bit) of every text, and whether the other library gives the same."""
@@ -234,23 +243,36 @@ class Codec:
     def encode_beside(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
         """As ``encode``, and whether a text's parts, decoded, are the text. A text's ids are those of its
         parts one after the other, so what its parts decode to is what it decodes to."""
-        peer = self.peer.encode(texts, num_threads=1)
+        peer = self.peer.encode(texts, num_threads=1, out_type="numpy")
         if not self.by_parts:
-            ids = self._encode_all(texts)
-            return [np.array(x, "<i4") for x in ids], [a == b for a, b in zip(ids, peer, strict=True)], [False] * len(texts)
-        parts = [self._cut(t) for t in texts]
+            ids = [np.array(x, "<i4") for x in self._encode_all(texts)]
+            return ids, [np.array_equal(a, b) for a, b in zip(ids, peer, strict=True)], [False] * len(texts)
+        parts, sizes = self._cut(texts)
         if len(self._made) > PARTS_KEPT:
             self._made, self._before = {}, self._made
             self._lossy.intersection_update(self._before)
-        distinct = set().union(*parts).difference(self._made)
-        new = distinct.difference(self._before)
-        for p in distinct - new:
-            self._made[p] = self._before[p]
-        self._learn(list(new))
-        ids = [np.frombuffer(b"".join(map(self._made.__getitem__, row)), "<i4") for row in parts]
+        coded = parts.dictionary_encode()
+        distinct, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+        unknown = [p for p in distinct if p not in self._made]
+        for p in unknown:
+            if p in self._before:
+                self._made[p] = self._before[p]
+        self._learn([p for p in unknown if p not in self._made])
+        # The ids of distinct parts, then those of all parts in the order of the texts.
+        made = [self._made[p] for p in distinct]
+        own = np.frombuffer(b"".join(made), "<i4")
+        lengths = np.array([len(m) // 4 for m in made], np.int64)
+        each = lengths[which]
+        ends = np.cumsum(each)
+        flat = own[np.repeat((np.cumsum(lengths) - lengths)[which] - ends + each, each) + np.arange(each.sum())]
+        last = np.cumsum(sizes)
+        cuts = np.append(0, ends)[np.append(0, last)].tolist()
+        ids = [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        lossy = np.array([p in self._lossy for p in distinct], np.int64) if self._lossy else np.zeros(len(distinct), np.int64)
+        n_lossy = np.append(0, np.cumsum(lossy[which]))
         # A marker in a text would be decoded to a space.
-        whole = [MARK not in t and self._lossy.isdisjoint(row) for t, row in zip(texts, parts, strict=True)]
-        return ids, [x.tolist() == y for x, y in zip(ids, peer, strict=True)], whole
+        whole = [MARK not in t and n == 0 for t, n in zip(texts, (n_lossy[last] - n_lossy[last - sizes]).tolist(), strict=True)]
+        return ids, [np.array_equal(x, y) for x, y in zip(ids, peer, strict=True)], whole
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self._bytes.__getitem__, ids)).decode("utf-8", "replace")

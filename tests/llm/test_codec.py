@@ -99,3 +99,23 @@ def test_decoding_by_parts_equals_decoding_whole_texts(tmp_path, byte_fallback):
     codec._encode_all = lambda some: [[4] for _ in some] if len(some) == 1 else learn(some)
     codec._learn(["xyz"])
     assert "xyz" in codec._lossy and codec.encode_beside(["the abc the"])[2] == [True]
+
+
+def test_a_part_is_looked_up_once_for_many_texts(tmp_path):
+    path = tmp_path / "hand.model"
+    path.write_bytes(unigram_model())
+    codec = C.Codec(str(path))
+    texts = [*ODD, "the abc the", "ab  ab", "the an"] * 50
+    looked = []
+
+    class Counted(dict):
+        def __getitem__(self, part):
+            looked.append(part)
+            return dict.__getitem__(self, part)
+
+    codec._made = Counted()
+    ids, _, whole = codec.encode_beside(texts)
+    assert [x.tolist() for x in ids] == [e.ids for e in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert whole == [same and C.MARK not in t for t, (_, same) in zip(texts, codec.decode_beside(ids, texts), strict=True)]
+    # Once where it is decoded, once for all texts that hold it.
+    assert len(looked) == 2 * len(set(looked)) == 2 * len(codec._made)
