@@ -169,7 +169,6 @@ class Codec:
         self.model = parse_model(data)
         self.by_parts = _parts_hold(self.model) and not self.model.charsmap and not self.model.squeeze
         self.lead = MARK if self.model.dummy_prefix else ""
-        self.tokenizer = build_tokenizer(self.model)
         # Parts are normalised where they are cut, come cut, and each is encoded once: no steps, no cache.
         self._core = Tokenizer(_core_model(self.model, 0)) if self.by_parts else self.tokenizer
         self._core.encode_special_tokens = True
@@ -187,6 +186,11 @@ class Codec:
         self._sizes = np.array([len(x) for x in self._bytes], np.int64)
         self._leads = np.array([p[:1] == MARK for p, _, _ in self.model.pieces], bool)
 
+    @functools.cached_property
+    def tokenizer(self) -> Tokenizer:
+        """Encodes whole texts; made where it is asked for."""
+        return build_tokenizer(self.model)
+
     def _encode_all(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._core.encode_batch_fast(texts, add_special_tokens=False)]
 

@@ -119,3 +119,12 @@ def test_a_part_is_looked_up_once_for_many_texts(tmp_path):
     assert whole == [same and C.MARK not in t for t, (_, same) in zip(texts, codec.decode_beside(ids, texts), strict=True)]
     # Once where it is decoded, once for all texts that hold it.
     assert len(looked) == 2 * len(set(looked)) == 2 * len(codec._made)
+
+
+def test_a_worker_that_encodes_parts_holds_one_tokenizer(tmp_path):
+    path = tmp_path / "hand.model"
+    path.write_bytes(unigram_model())
+    codec = C.Codec(str(path))
+    ids, _ = codec.encode(["the abc the"])
+    assert codec.by_parts and "tokenizer" not in vars(codec)
+    assert codec.tokenizer.encode("the abc the", add_special_tokens=False).ids == ids[0].tolist()
