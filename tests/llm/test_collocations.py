@@ -66,6 +66,33 @@ def test_empty(spark):
     assert made(spark, [(None, None)], C.Settings()) == set()
 
 
+def test_texts_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = [("new york city hall and more words", "en")] * 30
+    table = spark.createDataFrame(docs, "text string, lang string").repartition(3)
+    s = C.Settings(least=7, bits=16)
+    assert {tuple(r) for r in C.mine(table.mapInArrow(counted, table.schema), "text", "lang", s).collect()} == plain(docs, s)
+    assert read.value == len(docs)
+
+
+def test_rows_of_stripes_are_bounded_by_buckets(spark):
+    r = random.Random(4)
+    docs = [(" ".join(f"w{r.randrange(30)}" for _ in range(3000)), lang) for lang in ("en", "fr") for _ in range(4)]
+    table = spark.createDataFrame(docs, "text string, lang string").repartition(2)
+    s = C.Settings(least=2, top=100_000, bits=16, buckets=5, block=1_000_000)
+    stored = C.store_blocks(table, s)
+    rows = C.fill_stripes(stored, 3, C.bitmap(C.count_pairs(stored, s), s.bits), C.np.zeros(0, "int64"), s)
+    counters = rows.selectExpr("explode(counts) c").count()
+    assert rows.count() <= stored.count() * s.buckets < 100 < counters
+    assert made(spark, docs, s) == plain(docs, s)
+
+
 def test_products_beyond_64_bits(spark):
     rows = spark.createDataFrame([(10**12, 9 * 10**12, 10**6, 10**12)], "a long, n long, l long, r long")
     ratio = "(CAST(1000 * a AS DECIMAL(18, 0)) * CAST(n AS DECIMAL(19, 0))) DIV (CAST(l AS DECIMAL(18, 0)) * CAST(r AS DECIMAL(19, 0)))"
